@@ -73,6 +73,18 @@ def _clear() -> None:
             return
 
 
+def ship_code() -> None:
+    """Sends this package's functions to Python workers by value, so that executors need not have it installed."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
+
+ship_code()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartitions a scan that has fewer splits than cores, before CPU-bound Python work on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
