@@ -24,3 +24,49 @@ SELECT file_id, piece_no::BIGINT AS piece_no, a AS first_line,
   CASE WHEN n - a + 1 <= 400 THEN n ELSE s - 1 END::BIGINT AS last_line
 FROM walk
 """
+
+P2_FOUND = r"""
+WITH ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY message_id
+    ORDER BY coalesce(input_tokens, output_tokens, cache_read_input_tokens, cache_creation_input_tokens) IS NULL,
+             coalesce(input_tokens, 0)::HUGEINT + coalesce(output_tokens, 0) + coalesce(cache_read_input_tokens, 0)
+               + coalesce(cache_creation_input_tokens, 0) DESC,
+             received_at NULLS LAST, delivery_id) AS place
+  FROM log_messages WHERE message_id IS NOT NULL),
+turns AS (
+  SELECT session_id, message_id, delivery_id, log_path, line_no, event_ts, lower(trim(row_type, E' \t\n\r ')) AS role
+  FROM ranked WHERE place = 1 AND session_id IS NOT NULL AND NOT coalesce(is_sidechain, false)),
+main AS (SELECT * FROM turns WHERE role IN ('user', 'assistant')),
+lines AS (SELECT log_path, line_no, max(event_ts) AS ts FROM log_messages WHERE event_ts IS NOT NULL GROUP BY ALL),
+found AS (
+  SELECT m.delivery_id, max_by(l.ts, l.line_no) AS ts
+  FROM main m JOIN lines l ON l.log_path = m.log_path AND l.line_no < m.line_no
+  WHERE m.event_ts IS NULL GROUP BY m.delivery_id),
+timed AS (SELECT m.*, coalesce(m.event_ts, f.ts) AS happened FROM main m LEFT JOIN found f USING (delivery_id)),
+flags AS (
+  SELECT delivery_id,
+    bool_or(block_type = 'text' AND regexp_matches(coalesce(block_text, ''), '[^\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]')) AS speaks,
+    bool_or(block_type = 'tool_use') AS calls
+  FROM log_blocks GROUP BY delivery_id),
+numbered AS (
+  SELECT t.*, row_number() OVER w AS turn_no,
+    role = 'user' AND coalesce(speaks, false) AS prompt,
+    role = 'assistant' AND coalesce(speaks, false) AND NOT coalesce(calls, false) AS reply
+  FROM timed t LEFT JOIN flags f USING (delivery_id)
+  WINDOW w AS (PARTITION BY session_id ORDER BY happened NULLS FIRST, line_no NULLS FIRST, delivery_id)),
+acts AS (
+  SELECT session_id, prompt, lead(reply) OVER (PARTITION BY session_id ORDER BY turn_no) AS answered
+  FROM numbered WHERE prompt OR reply),
+tools AS (
+  SELECT n.session_id, n.turn_no, b.block_type, CASE WHEN block_type = 'tool_use' THEN block_id ELSE tool_use_id END AS tool
+  FROM numbered n JOIN log_blocks b USING (delivery_id) WHERE block_type IN ('tool_use', 'tool_result')),
+bad AS (
+  SELECT session_id FROM numbered WHERE turn_no = 1 AND NOT prompt
+  UNION SELECT session_id FROM acts WHERE prompt AND NOT coalesce(answered, false)
+  UNION SELECT session_id FROM tools u WHERE block_type = 'tool_use' AND NOT EXISTS (
+    SELECT 1 FROM tools r WHERE r.session_id = u.session_id AND r.tool = u.tool AND r.block_type = 'tool_result' AND r.turn_no > u.turn_no)
+  UNION SELECT session_id FROM tools r WHERE block_type = 'tool_result' AND NOT EXISTS (
+    SELECT 1 FROM tools u WHERE u.session_id = r.session_id AND r.tool = u.tool AND u.block_type = 'tool_use' AND u.turn_no < r.turn_no))
+SELECT session_id, turn_no, message_id FROM numbered WHERE session_id NOT IN (SELECT session_id FROM bad)
+"""
