@@ -165,7 +165,7 @@ def human_age(seconds: Column) -> Column:
 
 def day_comparison(today: Column, before: Column) -> Column:
     """Change against the day before in percent, held at 999; a dash where a side is unknown, new from nothing."""
-    change = F.round((today - before) * 100.0 / before).cast("long")
+    change = F.round(F.try_divide((today - before) * 100.0, before)).cast("long")
     return (
         F.when(today.isNull() | before.isNull(), "—")
         .when((before == 0) & (today == 0), "0%")

@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,10 +56,9 @@ class Table:
 
     def __init__(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/skein-{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.path = scratch_path(self.spark)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
-        _written.append((self.spark, self.path))
         self.schema = self.spark.read.parquet(self.path).schema
 
     @property
