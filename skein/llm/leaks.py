@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\W_]+")
 FORMAT_CHARACTERS = regex.compile(r"\p{Cf}+")
 RUN = 12  # consecutive words that make a leak
 PASSAGE = 2 * RUN  # words of a query passage; passages start RUN + 1 apart, so every run lies whole in one of them
-BLOCK = 16  # items of an index block
+BLOCK = 2  # items of an index block
 K1, B = 1.2, 0.75
 
 
@@ -73,6 +73,7 @@ class ItemIndex:
                 self.scores[w].append(score)
                 block_best[w, i // BLOCK] = max(block_best[w, i // BLOCK], score)
         self.best = block_best.max(axis=1)
+        self.worst = [min(line, default=0.0) for line in self.scores]
         self.best[0] = -1e9  # a word that no item has: no run goes across it
         self.block_best = [row.tolist() for row in block_best]
         self.block_floor = [min(self.floor[b * BLOCK : (b + 1) * BLOCK], default=math.inf) for b in range(blocks)]
@@ -83,16 +84,25 @@ class ItemIndex:
         raw = np.asarray(words, dtype=np.int32).tobytes()
         return {raw[4 * i : 4 * (i + RUN)]: i for i in range(len(words) - RUN + 1)}
 
-    def passages(self, coded: np.ndarray) -> list[int]:
-        """Starts of the passages in which some run can reach the least floor by its words' greatest impacts."""
+    def passages(self, coded: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(start, threshold) of the passages in which some run can reach the least floor by its words' greatest impacts.
+
+        The threshold is the least score that any of these runs has against an item that holds it, whichever it is: the
+        sum of its different words' smallest impacts.
+        """
         if len(coded) < RUN:
-            return []
+            return
         total = np.concatenate(([0.0], np.cumsum(self.best[coded])))
         able = np.flatnonzero(total[RUN:] - total[:-RUN] >= self.least - 1e-3)
-        return np.unique(able // (RUN + 1) * (RUN + 1)).tolist()
-
-    def retrieve(self, passage: list[int]) -> list[int]:
-        """Items whose BM25 score for the passage reaches their floor, by block-max WAND."""
+        starts = able // (RUN + 1) * (RUN + 1)
+        for start in np.unique(starts).tolist():
+            part = coded[start : start + PASSAGE].tolist()
+            runs = (able[starts == start] - start).tolist()
+            yield start, min(sum(self.worst[w] for w in set(part[i : i + RUN])) for i in runs) - 1e-9
+
+    def retrieve(self, passage: list[int], threshold: float = 0.0) -> list[int]:
+        """Items whose BM25 score for the passage reaches the threshold and their own floor, by block-max WAND."""
+        least = max(self.least, threshold)
         cursors = [[self.postings[w][0], 0, w] for w in set(passage) if w]
         found = []
         while cursors:
@@ -100,7 +110,7 @@ class ItemIndex:
             bound, pivot = 0.0, -1
             for k, (_, _, w) in enumerate(cursors):
                 bound += self.best[w]
-                if bound >= self.least:
+                if bound >= least:
                     pivot = k
                     break
             if pivot < 0:
@@ -109,14 +119,14 @@ class ItemIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(self.block_best[w][block] for _, _, w in cursors[: pivot + 1]) < self.block_floor[block]:
+            if sum(self.block_best[w][block] for _, _, w in cursors[: pivot + 1]) < max(least, self.block_floor[block]):
                 goal = (block + 1) * BLOCK
                 if pivot + 1 < len(cursors):
                     goal = min(goal, cursors[pivot + 1][0])
                 moved = cursors[: pivot + 1]
             elif cursors[0][0] == item:
                 at = cursors[: pivot + 1]
-                if sum(self.scores[w][place] for _, place, w in at) >= self.floor[item]:
+                if sum(self.scores[w][place] for _, place, w in at) >= max(least, self.floor[item]):
                     found.append(item)
                 goal, moved = item + 1, at
             else:
@@ -136,10 +146,10 @@ class ItemIndex:
             return
         coded = np.fromiter(map(self.terms.get, words, _zeros()), dtype=np.int32, count=len(words))
         shared: dict[int, set[int]] = {}
-        for start in self.passages(coded):
+        for start, threshold in self.passages(coded):
             part = coded[start : start + PASSAGE]
             raw = part.tobytes()
-            for item in self.retrieve(part.tolist()):
+            for item in self.retrieve(part.tolist(), threshold):
                 runs = self.runs[item]
                 for i in range(len(part) - RUN + 1):
                     if (place := runs.get(raw[4 * i : 4 * (i + RUN)])) is not None:
