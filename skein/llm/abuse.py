@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -336,13 +337,16 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, **options) -> DataFram
     """
     model = fitted_model(documents, labels, **options)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.calibrated(*model.best(text)) if text else 0.0 for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": scores, "abusive": [s >= model.threshold for s in scores]})
-
-    texts = spread(documents.select("doc_id", "source", "text"), "doc_id")
-    return texts.mapInPandas(score, "doc_id long, source string, score double, abusive boolean")
+            scores = [model.calibrated(*model.best(text.as_py())) if text.is_valid else 0.0 for text in batch.column(2)]
+            flags = [s >= model.threshold for s in scores]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "source", "score", "abusive"]
+            )
+
+    texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "doc_id")
+    return texts.mapInArrow(score, "doc_id long, source string, score double, abusive boolean")
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:
