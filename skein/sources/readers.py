@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,27 +36,59 @@ COUNTER_LINE = T.StructType([
 ])
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, byte_size, modified_at) of the regular files under ``root`` that may be indexed, by relative path.
+
+    Denied directories are not entered and links are not followed.  Only names are listed here, on the driver; Spark's
+    own listing would leave out every name that begins with an underscore or a dot.
+    """
+    found, todo = [], [""]
+    while todo:
+        here = todo.pop()
+        try:
+            entries = list(os.scandir(os.path.join(root, here)))
+        except PermissionError:
+            if not here:
+                raise
+            continue
+        for e in entries:
+            path = f"{here}/{e.name}" if here else e.name
+            if e.is_dir(follow_symlinks=False):
+                hidden = e.name.startswith(".") and e.name not in P.KEPT_HIDDEN_DIRECTORIES
+                if not hidden and e.name not in P.IGNORED_DIRECTORIES:
+                    todo.append(path)
+            elif e.is_file(follow_symlinks=False):
+                stat = e.stat(follow_symlinks=False)
+                found.append((path, stat.st_size, stat.st_mtime))
+    return spark.createDataFrame(sorted(found), "path string, byte_size long, modified_at double")
+
+
 def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] | None = None) -> DataFrame:
     """(path, language, byte_size, line_count, content_hash, modified_at, content) of the indexable files under ``root``.
 
-    Denied directories, denied and sensitive names, ignored paths, files over 2 MB and files that are not text stay
-    out.  Listing and reading are distributed; sizes are tested before contents are decoded.
+    Denied and sensitive names, ignored paths, files over 2 MB and files that are not text stay out.  Names and sizes
+    are tested first; what is left is read by the tasks, from a folder that all of them see.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.regexp_replace("path", rf"^(file:)?/*{re.escape(base.removeprefix('file:').lstrip('/'))}/", "")
-    files = raw.where(F.col("length") <= MOST_BYTES).select(
-        relative.alias("path"), F.col("length").alias("byte_size"), (F.unix_micros("modificationTime") / 1e6).alias("modified_at"), "content"
-    )
-    p = F.col("path")
-    files = files.where(~P.ignored_directory(p) & ~P.ignored_file(p))
+    files = list_tree(spark, root).where(F.col("byte_size") <= MOST_BYTES)
+    files = files.where(~P.ignored_directory(F.col("path")) & ~P.ignored_file(F.col("path")))
     if ignore_lines:
         files = P.ignored_by_rules(files, ignore_lines).where("not ignored").drop("ignored")
-    text = F.decode("content", "UTF-8")
-    readable = F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))
-    return files.where(readable).select(
-        "path", X.language_of(p).alias("language"), "byte_size", F.size(F.split(text, "\n")).alias("line_count"),
-        F.sha2("content", 256).alias("content_hash"), "modified_at", text.alias("content"),
+
+    def read(batches):
+        for batch in batches:
+            texts = []
+            for path in batch["path"]:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        texts.append(f.read(MOST_BYTES + 1).decode("utf-8"))
+                except (OSError, UnicodeDecodeError):
+                    texts.append(None)
+            yield batch.assign(content=texts)
+
+    texts = files.mapInPandas(read, "path string, byte_size long, modified_at double, content string")
+    return texts.where("content is not null").select(
+        "path", X.language_of(F.col("path")).alias("language"), "byte_size", F.size(F.split("content", "\n")).alias("line_count"),
+        F.sha2("content", 256).alias("content_hash"), "modified_at", "content",
     )
 
 
