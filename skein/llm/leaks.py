@@ -22,7 +22,8 @@ FORMAT_CHARACTERS = regex.compile(r"\p{Cf}+")
 RUN = 12  # consecutive words that make a leak
 PASSAGE = 2 * RUN  # words of a query passage; passages start RUN + 1 apart, so every run lies whole in one of them
 BLOCK = 2  # items of an index block
-K1, B = 1.2, 0.75
+MEMO = 50_000  # passages whose answer a task remembers
+K1, B = 0.3, 0.0  # passages ask, so an item's length says nothing
 
 
 def words_of(text: str) -> list[str]:
@@ -78,6 +79,7 @@ class ItemIndex:
         self.block_best = [row.tolist() for row in block_best]
         self.block_floor = [min(self.floor[b * BLOCK : (b + 1) * BLOCK], default=math.inf) for b in range(blocks)]
         self.least = min(self.floor, default=math.inf)
+        self.asked: dict[bytes, list[int]] = {}  # passages met before in this task
 
     @staticmethod
     def _runs(words: list[int]) -> dict[bytes, int]:
@@ -88,13 +90,18 @@ class ItemIndex:
         """(start, threshold) of the passages in which some run can reach the least floor by its words' greatest impacts.
 
         The threshold is the least score that any of these runs has against an item that holds it, whichever it is: the
-        sum of its different words' smallest impacts.
+        sum of its different words' smallest impacts.  Passages are laid from the start of each stretch of such runs, so
+        that copies of one item give the same passages.
         """
         if len(coded) < RUN:
             return
         total = np.concatenate(([0.0], np.cumsum(self.best[coded])))
         able = np.flatnonzero(total[RUN:] - total[:-RUN] >= self.least - 1e-3)
-        starts = able // (RUN + 1) * (RUN + 1)
+        if not len(able):
+            return
+        first = np.concatenate(([True], np.diff(able) > 1))
+        origin = able[first][np.cumsum(first) - 1]
+        starts = origin + (able - origin) // (RUN + 1) * (RUN + 1)
         for start in np.unique(starts).tolist():
             part = coded[start : start + PASSAGE].tolist()
             runs = (able[starts == start] - start).tolist()
@@ -149,7 +156,11 @@ class ItemIndex:
         for start, threshold in self.passages(coded):
             part = coded[start : start + PASSAGE]
             raw = part.tobytes()
-            for item in self.retrieve(part.tolist(), threshold):
+            if (items := self.asked.get(raw)) is None:
+                if len(self.asked) >= MEMO:
+                    self.asked.clear()
+                items = self.asked[raw] = self.retrieve(part.tolist(), threshold)
+            for item in items:
                 runs = self.runs[item]
                 for i in range(len(part) - RUN + 1):
                     if (place := runs.get(raw[4 * i : 4 * (i + RUN)])) is not None:
