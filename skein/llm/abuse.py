@@ -33,7 +33,7 @@ SEED_WORDS = (
 ).split()
 
 FORMAT_CHARACTERS = regex.compile(r"[\p{Cf}\p{Mn}]+")
-SPACED_OUT = re.compile(r"(?<![^\W_])[^\W\d_]([-_.*+ ])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
+SPACED_OUT = re.compile(r"(?<![^\W_])[^\W\d_]([-_.+ ])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 HANGUL_GAP = re.compile(r"(?<=[가-힣])[\d.*_\-·]+(?=[가-힣])")
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!+'’][^\W_]+)*")
 ODD = re.compile(r"[^a-zäöüß가-힣]")
@@ -52,7 +52,7 @@ def plain_text(text: str) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    return TOKEN.findall(plain_text(text))
+    return ["0" if t.isdigit() else t for t in TOKEN.findall(plain_text(text))]
 
 
 class Speller:
@@ -83,7 +83,7 @@ class Speller:
 
     def _read(self, token: str) -> str:
         folded = token.translate(LOOKALIKES)
-        options = [folded, folded.translate(LEET), folded.translate(LEET_L)]
+        options = [folded, folded.translate(LEET), folded.translate(LEET_L), folded.replace("*", "")]
         options += [STRETCHED.sub(r"\1", o) for o in options] + [STRETCHED.sub(r"\1\1", o) for o in options]
         for option in options:
             if option in self.words:

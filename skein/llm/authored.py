@@ -32,6 +32,10 @@ GENERATOR_LINE = (
 BANNER_LINE = r"(?i)^\s*(//|#|--|/\*+!?|;)\s*[\w.\-]+ v?\d+\.\d+(\.\d+)*\s*\|\s*\(c\).*licen[sc]e"
 
 
+NUMBER = r"^(0x[0-9a-fA-F]+|[0-9]+(\.[0-9]+)?)$"
+ENCODED = r"([0-9a-fA-F]{32,}|[A-Za-z0-9+/]{60,})"
+
+
 @dataclass(frozen=True)
 class Layout:
     """Thresholds for one language: what hand-written code of it stays under."""
@@ -66,13 +70,13 @@ def layout_statistics(head: Column) -> dict[str, Column]:
     share = lambda kept: F.when(size > 0, F.length(F.regexp_replace(text, kept, "")) / size).otherwise(0.0)
     many = lambda pattern: F.when(size > 0, F.regexp_count(text, F.lit(pattern)) / size).otherwise(0.0)
     lengths = F.transform(F.split(text, "\n"), lambda line: F.length(line))
-    runs = F.regexp_extract_all(text, F.lit(r"([0-9a-fA-F]{32,}|[A-Za-z0-9+/]{60,})"), 1)
+    runs = F.regexp_extract_all(text, F.lit(ENCODED), 1)
     return {
         "longest_line": F.array_max(lengths),
         "mean_line": F.when(size > 0, size / F.size(lengths)).otherwise(0.0),
         "whitespace": share(r"\S"),
         "alphanumeric": share(r"[^\p{L}\p{N}]"),
-        "numbers": many(r"(?<![\w.])(0x[0-9a-fA-F]+|\d+(\.\d+)?)(?![\w.])"),
+        "numbers": F.when(size > 0, F.size(F.filter(F.regexp_extract_all(text, F.lit(r"([\w.]+)"), 1), lambda w: w.rlike(NUMBER))) / size).otherwise(0.0),
         "statements": many(r"[;{}]"),
         "encoded_run": F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)),
     }
@@ -128,8 +132,9 @@ def file_origins(files: DataFrame, heads: DataFrame, symbols: DataFrame) -> Data
         .when(F.col("path").rlike(OUTPUT_PATH) | F.col("path").rlike(GENERATED_NAME) | head.rlike(GENERATOR_LINE), "generated")
         .when(F.col("path").rlike(BUNDLE_NAME), "bundled")
         .when(head.rlike(BANNER_LINE) | F.col("path").rlike(rf"(^|/){RELEASE_NAME}") | (F.col("headless") & F.col("copies").isNotNull()), "vendored")
+        .when(packed, "bundled")
         .when(encoded, "data")
-        .when(packed | (dense & (F.col("declared") > 0)), "bundled")
+        .when(dense & (F.col("declared") > 0), "bundled")
         .when(dense | (barren & F.col("headless")), "data")
         .otherwise("written")
     )

@@ -24,7 +24,7 @@ def p2_found(spark, directory):
     return conversations(table(spark, directory, "log_messages"), table(spark, directory, "log_blocks"))
 
 
-@registry.query("p4_found")
+@registry.query("p4_found", sql.P4_FOUND)
 def p4_found(spark, directory):
     return not_written_here(table(spark, directory, "files"), table(spark, directory, "file_heads"), table(spark, directory, "symbols"))
 

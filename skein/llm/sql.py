@@ -1,5 +1,7 @@
 """DuckDB oracles of the pN queries."""
 
+from . import authored as A
+
 P1_FOUND = """
 WITH RECURSIVE lengths AS (
   SELECT f.id AS file_id, coalesce(f.counted, s.kept) AS n
@@ -70,3 +72,42 @@ bad AS (
     SELECT 1 FROM tools u WHERE u.session_id = r.session_id AND r.tool = u.tool AND u.block_type = 'tool_use' AND u.turn_no < r.turn_no))
 SELECT session_id, turn_no, message_id FROM numbered WHERE session_id NOT IN (SELECT session_id FROM bad)
 """
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _limit(field: str) -> str:
+    cases = "".join(f" WHEN '{name}' THEN {getattr(layout, field)}" for name, layout in A.LAYOUTS.items())
+    return f"CASE language{cases} ELSE {getattr(A.Layout(), field)} END"
+
+
+P4_FOUND = f"""
+WITH f AS (SELECT DISTINCT id AS file_id, coalesce(path, '') AS path, language, byte_size, line_count FROM files WHERE id IS NOT NULL),
+h AS (SELECT file_id, arg_max(head_text, length(head_text)) AS head FROM file_heads GROUP BY file_id),
+s AS (SELECT file_id, count(*) AS declared FROM symbols GROUP BY file_id),
+r AS (
+  SELECT f.*, coalesce(head, '') AS head, coalesce(declared, 0) AS declared, length(coalesce(head, '')) AS size,
+    CASE WHEN line_count > 0 AND byte_size >= 0 THEN byte_size / line_count END AS line_bytes, trim(coalesce(head, '')) = '' AS headless,
+    regexp_extract(path, {_quoted(A.PACKAGE)}, 1) AS package, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.\\w+$', '') AS stem,
+    regexp_matches(path, {_quoted(A.VENDOR_PATH)}) AS vendor_dir
+  FROM f LEFT JOIN h USING (file_id) LEFT JOIN s USING (file_id)),
+p AS (SELECT package AS stem FROM r WHERE vendor_dir AND package <> '' GROUP BY package HAVING count(*) > 1),
+l AS (
+  SELECT *, stem IN (SELECT stem FROM p) AS packaged, list_max(list_transform(string_split(head, chr(10)), lambda x: length(x))) AS longest,
+    CASE WHEN size > 0 THEN length(regexp_replace(head, '\\S', '', 'g')) / size ELSE 0 END AS space,
+    CASE WHEN size > 0 THEN length(regexp_replace(head, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / size ELSE 0 END AS alnum,
+    CASE WHEN size > 0 THEN len(list_filter(regexp_extract_all(head, '[\\w.]+'), lambda w: regexp_matches(w, {_quoted(A.NUMBER)}))) / size ELSE 0 END AS numbers,
+    CASE WHEN size > 0 THEN len(regexp_extract_all(head, '[;{{}}]')) / size ELSE 0 END AS statements,
+    coalesce(list_max(list_transform(regexp_extract_all(head, {_quoted(A.ENCODED)}, 1), lambda x: length(x))), 0) AS run
+  FROM r)
+SELECT file_id FROM l
+WHERE vendor_dir OR regexp_matches(path, {_quoted(A.OUTPUT_PATH)}) OR regexp_matches(path, {_quoted(A.GENERATED_NAME)}) OR regexp_matches(head, {_quoted(A.GENERATOR_LINE)})
+  OR regexp_matches(path, {_quoted(A.BUNDLE_NAME)}) OR regexp_matches(head, {_quoted(A.BANNER_LINE)}) OR regexp_matches(path, {_quoted("(^|/)" + A.RELEASE_NAME)})
+  OR (headless AND packaged) OR run > {_limit('encoded_run')} OR numbers > {_limit('numbers')}
+  OR (alnum > {_limit('alphanumeric')} AND space < {_limit('unbroken_whitespace')})
+  OR (longest > {_limit('longest_line')} AND space < {_limit('dense_whitespace')} AND statements > {_limit('statement_share')})
+  OR coalesce(line_bytes > {_limit('mean_line')}, false)
+  OR (declared = 0 AND headless AND (coalesce(byte_size >= {A.BARREN_BYTES}, false) OR coalesce(line_count >= {A.BARREN_LINES}, false)))
+"""
