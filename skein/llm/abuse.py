@@ -258,8 +258,13 @@ class Fitter:
         sizes = np.asarray([len(s) for s in scored] or [1])
         model.scale = float(np.exp(np.median(model.rate * tops - np.log(sizes)) + math.log(math.log(2))))
 
-    def calibrate(self, background: dict[str, float] | None = None, folds: int = 2) -> AbuseModel:
-        """The model of all rows, with the threshold that parts marked from unmarked texts best on held-out folds."""
+    def calibrate(self, background: dict[str, float] | None = None, folds: int = 2, evidence: float = 18.0, sure: int = 100) -> AbuseModel:
+        """The model of all rows, with the threshold that parts marked from unmarked texts best on held-out folds.
+
+        The rated sample holds more abuse than the corpus, so its best threshold lets too much through there; the
+        threshold therefore asks for a score of at least ``evidence``, or a share of it while fewer than ``sure`` texts
+        are marked.
+        """
         held: list[tuple[float, bool]] = []
         for k in range(folds):
             model = self.fit([i for i in range(len(self.tokens)) if i % folds != k], background)
@@ -276,7 +281,7 @@ class Fitter:
             if score > follows and (f1 := 2 * hits / (n + marked)) > best[0]:
                 best = (f1, (score + follows) / 2)
         self.f1 = best[0]
-        model.threshold = max(best[1], 1.0)
+        model.threshold = max(best[1], evidence * min(1.0, marked / sure))
         return model
 
 

@@ -122,7 +122,11 @@ def test_agrees_with_held_out_raters(spark):
     d = "/root/testdata/sf0.1"
     docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/abuse_labels.parquet")
     rows = A.labelled_texts(docs, marks, 10_000).collect()
-    fitter = A.Fitter([r["text"] for r in rows[::2]], [r["marked"] for r in rows[::2]])
-    model = fitter.calibrate()
-    right = sum((model.calibrated(*model.best(r["text"])) >= model.threshold) == r["marked"] for r in rows[1::2])
-    assert right >= 0.9 * len(rows[1::2])
+    hits = flagged = marked = 0
+    for part in (0, 1):
+        fitter = A.Fitter([r["text"] for r in rows[part::2]], [r["marked"] for r in rows[part::2]])
+        model = fitter.calibrate()
+        for r in rows[1 - part :: 2]:
+            said = model.calibrated(*model.best(r["text"])) >= model.threshold
+            hits, flagged, marked = hits + (said and r["marked"]), flagged + said, marked + r["marked"]
+    assert hits >= 0.8 * flagged and hits >= 0.5 * marked
