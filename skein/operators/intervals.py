@@ -7,20 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 
-def merged_intervals(rows: DataFrame, *, key: Sequence[str], start: str, end: str) -> DataFrame:
+
+def merged_intervals(rows: DataFrame, *, key: Sequence[str], start: str, end: str, hot_rows: int = scan.HOT_ROWS) -> DataFrame:
     """(key, start, end): the union of each key's intervals; touching ones merge, reversed or open ones are left out."""
-    valid = rows.where((F.col(start) <= F.col(end)))
-    w = Window.partitionBy(*key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = valid.withColumn("__new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1)))
-    island = opened.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
+    valid = rows.where((F.col(start) <= F.col(end))).select(*key, start, end)
+    fresh = lambda before: F.coalesce((F.col(start) > before).cast("int"), F.lit(1))
+
+    def small(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(start, end)
+        opened = df.withColumn("__new", fresh(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+        return opened.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+    def large(df: DataFrame) -> DataFrame:
+        parts = scan.carried(scan.parted(df, key, [start, end]), key, {"__reach": F.col(end)}, pick=F.max, fold=F.max)
+        w = Window.partitionBy(*key, scan.PART).orderBy(scan.ROW)
+        inside = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        opened = parts.withColumn("__new", fresh(F.greatest(inside, F.col("__reach"))))
+        opened = scan.carried(opened, key, {"__opened": F.col("__new")}, pick=F.sum, fold=F.sum)
+        island = F.coalesce("__opened", F.lit(0)) + F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return opened.withColumn("__island", island).drop("__new", "__reach", "__opened", scan.PART, scan.ROW)
+
+    islands = scan.by_size(valid, key, small, large, hot_rows)
+    return islands.groupBy(*key, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def union_length(rows: DataFrame, *, key: Sequence[str], start: str, end: str) -> DataFrame:
+def union_length(rows: DataFrame, *, key: Sequence[str], start: str, end: str, hot_rows: int = scan.HOT_ROWS) -> DataFrame:
     """(key, length): measure of the union; a key with only a point has 0, a key without a valid interval no row."""
-    return merged_intervals(rows, key=key, start=start, end=end).groupBy(*key).agg(F.sum(F.col(end) - F.col(start)).alias("length"))
+    return merged_intervals(rows, key=key, start=start, end=end, hot_rows=hot_rows).groupBy(*key).agg(F.sum(F.col(end) - F.col(start)).alias("length"))
 
 
 def paired_runs(events: DataFrame, *, key: Sequence[str], kind: str, at: str, now: Column) -> DataFrame:

@@ -112,19 +112,20 @@ def fill_budget(candidates: DataFrame, budget: int, *, group: str, size: str, or
     left only shrinks.  The rest is out beforehand, so the sequential part sees at most about budget * ln(budget) items
     of a group, whatever the group's size.  Items of size 0 or less always fit; an unknown size never does.
     """
-    place = F.row_number().over(Window.partitionBy(group, size).orderBy(*order))
-    able = F.when(F.col(size) > 0, (F.col(size) <= budget) & (place <= F.floor(F.lit(budget) / F.col(size)))).otherwise(False)
-    marked = candidates.withColumn("__able", able)
-    contenders = marked.where("__able").withColumn("__rank", F.struct(*[c for c in order_keys(order)], F.col("id")))
-    listed = contenders.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__rank", F.col(size).alias("size"), F.col("id").alias("id")))).alias("items"))
+    sized = candidates.where((F.col(size) > 0) & (F.col(size) <= budget)).select(group, "id", F.col(size).alias("__size"), F.struct(*order_keys(order)).alias("__rank"))
+    place = F.row_number().over(Window.partitionBy(group, "__size").orderBy("__rank", "id"))
+    # The constant limit is applied before the shuffle, so a size that most items share sends few of them.
+    first = sized.withColumn("__place", place).where(F.col("__place") <= max(budget, 0))
+    contenders = first.where(F.col("__place") <= F.floor(F.lit(budget) / F.col("__size")))
+    listed = contenders.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__rank", "id", F.col("__size").alias("size")))).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
     folded = F.aggregate("items", start, lambda acc, x: F.when(
         acc["used"] + x["size"] <= budget,
         F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["taken"], x["id"]).alias("taken")),
     ).otherwise(acc))
     taken = listed.select(group, F.explode(folded["taken"]).alias("id"), F.lit(True).alias("__taken"))
-    joined = marked.join(taken, [group, "id"], "left")
-    return joined.withColumn("included", F.coalesce("__taken", F.col(size) <= 0, F.lit(False))).drop("__able", "__taken")
+    joined = candidates.join(taken, [group, "id"], "left")
+    return joined.withColumn("included", F.coalesce("__taken", F.col(size) <= 0, F.lit(False))).drop("__taken")
 
 
 def order_keys(order: Sequence[Column]) -> list[Column]:

@@ -8,17 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import saturating_sum
+from . import scan
 
 
-def counter_deltas(rows: DataFrame, *, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def counter_deltas(rows: DataFrame, *, key: Sequence[str], order: Sequence[str], value: str, hot_rows: int = scan.HOT_ROWS) -> DataFrame:
     """``rows`` with ``delta``: growth of a cumulative counter; a fall means a restart, whose value is the growth.
 
     The first reading counts in full.  Readings without a value are left out, and growth of 0 or less gives no row.
     """
-    before = F.lag(value).over(Window.partitionBy(*key).orderBy(*order))
     known = rows.where(F.col(value).isNotNull())
+
+    def small(df: DataFrame) -> DataFrame:
+        return df.withColumn("__before", F.lag(value).over(Window.partitionBy(*key).orderBy(*order)))
+
+    def large(df: DataFrame) -> DataFrame:
+        parts = scan.parted(df, key, order)
+        last = F.struct(scan.ROW, F.col(value).alias("v"))
+        parts = scan.carried(parts, key, {"__carry": last}, pick=F.max, fold=F.max)
+        inside = F.lag(value).over(Window.partitionBy(*key, scan.PART).orderBy(scan.ROW))
+        return parts.withColumn("__before", F.coalesce(inside, F.col("__carry.v"))).drop("__carry", scan.PART, scan.ROW)
+
+    seen = scan.by_size(known, key, small, large, hot_rows)
+    before = F.col("__before")
     delta = F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before)
-    return known.withColumn("delta", delta).where("delta > 0")
+    return seen.withColumn("delta", delta).drop("__before").where("delta > 0")
 
 
 def canonical_counters(rows: DataFrame, *, key: Sequence[str], at: str, sequence: str, value: str) -> DataFrame:
@@ -31,10 +44,22 @@ def canonical_counters(rows: DataFrame, *, key: Sequence[str], at: str, sequence
     return counter_deltas(points, key=key, order=[at, sequence], value=value).drop(value)
 
 
-def carried_forward(rows: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def carried_forward(rows: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str], hot_rows: int = scan.HOT_ROWS) -> DataFrame:
     """``rows`` with each of ``columns`` filled from the latest earlier row of the key that has it."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+    def small(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+    def large(df: DataFrame) -> DataFrame:
+        parts = scan.parted(df, key, order)
+        known = {f"__{c}_carry": F.when(F.col(c).isNotNull(), F.struct(scan.ROW, F.col(c).alias("v"))) for c in columns}
+        parts = scan.carried(parts, key, known, pick=F.max, fold=F.max)
+        w = Window.partitionBy(*key, scan.PART).orderBy(scan.ROW).rowsBetween(Window.unboundedPreceding, 0)
+        filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"__{c}_carry.v")) for c in columns}
+        return parts.withColumns(filled).drop(*known, scan.PART, scan.ROW)
+
+    return scan.by_size(rows, key, small, large, hot_rows)
 
 
 def message_totals(rows: DataFrame, *, key: str, counters: Sequence[str], at: str, tie: str, labels: Sequence[str] = ()) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,31 @@ def test_counter_resets(spark, readings, total):
     assert U.counter_deltas(df, key=["s"], order=["i"], value="v").agg(F.sum("delta")).first()[0] == total
 
 
+@pytest.mark.parametrize("hot", [0, 40, 10**6])
+def test_hot_keys_give_the_same(spark, hot):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), i, rng.choice([None, rng.randrange(500)]), rng.choice([None, "a", "b"]), rng.randrange(3000), rng.randrange(-2, 30)) for i in range(400)]
+    df = spark.createDataFrame([(k, i, v, c, a, a + n) for k, i, v, c, a, n in rows], "k string, i int, v long, c string, a long, b long")
+    last, seen, want_delta, want_carry = {}, {}, [], []
+    for k, i, v, c, *_ in rows:
+        if v is not None:
+            delta = v if k not in last or v < last[k] else v - last[k]
+            last[k] = v
+            if delta > 0:
+                want_delta.append((i, delta))
+        seen[k] = c if c is not None else seen.get(k)
+        want_carry.append((i, seen[k]))
+    got = U.counter_deltas(df, key=["k"], order=["i"], value="v", hot_rows=hot).collect()
+    assert sorted((r["i"], r["delta"]) for r in got) == want_delta
+    assert sorted((r["i"], r["c"]) for r in U.carried_forward(df, key=["k"], order=["i"], columns=["c"], hot_rows=hot).collect()) == want_carry
+    covered = {}
+    for k, _, _, _, a, n in rows:
+        if n >= 0:
+            covered.setdefault(k, set()).update(range(a, a + n))
+    got = {r["k"]: r["length"] for r in I.union_length(df, key=["k"], start="a", end="b", hot_rows=hot).collect()}
+    assert got == {k: len(v) for k, v in covered.items()}
+
+
 def test_copied_counters(spark):
     rows = [("s", 1, 0, 100), ("s", 2, 0, 100), ("s", 3, 0, 130), ("s", 4, 0, 5), ("s", 5, 0, 8)]
     df = spark.createDataFrame(rows + rows, "s string, at int, n int, v long")
