@@ -70,15 +70,15 @@ class Speller:
                         self.masked.setdefault(once[:j] + "*" + once[j + 1 :], word)
         self.seen: dict[str, str] = {}
 
+    def all(self, tokens: list[str]) -> list[str]:
+        known = self.seen.get
+        return [known(t) or self(t) for t in tokens]
+
     def __call__(self, token: str) -> str:
-        if token in self.words:
-            return token
-        if ODD.search(token) is None and STRETCHED.search(token) is None:
-            return token
-        if len(self.seen) > 100_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
-        if (found := self.seen.get(token)) is None:
-            found = self.seen[token] = self._read(token)
+        plain = token in self.words or (ODD.search(token) is None and STRETCHED.search(token) is None)
+        found = self.seen[token] = token if plain else self._read(token)
         return found
 
     def _read(self, token: str) -> str:
@@ -128,21 +128,21 @@ class AbuseModel:
     def read(self, text: str) -> list[str]:
         if self.speller is None:
             self.speller = Speller(self.words)
-        return [self.speller(t) for t in tokens_of(text)]
+        return self.speller.all(tokens_of(text))
 
     def scores(self, tokens: list[str]) -> list[float]:
         """Each position by the longest n-gram ending there that the model knows, less the drift."""
         odds, drift, out = self.odds, self.drift, []
+        unknown = odds.get(UNKNOWN, 0.0)
         before = two_before = None
         for t in tokens:
-            pair = f"{before} {t}"
-            s = odds.get(f"{two_before} {pair}")
+            s = odds.get(t)
             if s is None:
-                s = odds.get(pair)
-                if s is None:
-                    s = odds.get(t)
-                    if s is None:
-                        s = odds.get(UNKNOWN, 0.0)
+                s = unknown
+            elif (longer := odds.get(pair := f"{before} {t}")) is not None:  # a known n-gram has known shorter ones
+                s = longer
+                if (longer := odds.get(f"{two_before} {pair}")) is not None:
+                    s = longer
             out.append(s - drift)
             two_before, before = before, t
         return out
@@ -181,7 +181,7 @@ class Fitter:
         self.seeds = set(SEED_WORDS)
         self.words = sorted({t for t, n in counts.items() if n >= 2 and len(t) > 2 and ODD.search(t) is None and STRETCHED.search(t) is None} | self.seeds)
         speller = Speller(self.words)
-        self.tokens = [[speller(t) for t in toks] for toks in raw]
+        self.tokens = [speller.all(toks) for toks in raw]
         totals = Counter(g for toks in self.tokens for g in {g for _, g in grams(toks)})
         self.known = sorted((g for g, n in totals.items() if n >= least), key=lambda g: (g.count(" "), g))
         del totals
