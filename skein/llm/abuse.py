@@ -136,13 +136,10 @@ class AbuseModel:
         unknown = odds.get(UNKNOWN, 0.0)
         before = two_before = None
         for t in tokens:
-            s = odds.get(t)
-            if s is None:
-                s = unknown
-            elif (longer := odds.get(pair := f"{before} {t}")) is not None:  # a known n-gram has known shorter ones
-                s = longer
-                if (longer := odds.get(f"{two_before} {pair}")) is not None:
-                    s = longer
+            pair = f"{before} {t}"
+            s = odds.get(f"{two_before} {pair}")
+            if s is None and (s := odds.get(pair)) is None:
+                s = odds.get(t, unknown)
             out.append(s - drift)
             two_before, before = before, t
         return out
