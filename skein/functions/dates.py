@@ -43,22 +43,19 @@ def month_grid(months: DataFrame, *, month: str = "month") -> DataFrame:
 
 
 def covering_period(day: Column, today: Column) -> Column:
-    """The shortest period up to today that has the day; null for older or later days."""
+    """The shortest period that reaches back to the day; null for older days."""
     age = F.datediff(today, day)
     out = F.lit(None).cast("int")
     for length in sorted(PERIODS, reverse=True):
-        out = F.when((age >= 0) & (age < length), F.lit(length)).otherwise(out)
+        out = F.when(age < length, F.lit(length)).otherwise(out)
     return out
 
 
 def duration_text(seconds: Column) -> Column:
-    """'2h 05m' from an hour on, else '5m'; a dash for no value."""
-    minutes = F.floor(seconds / 60)
-    return (
-        F.when(seconds.isNull(), "—")
-        .when(minutes >= 60, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit("m")))
-        .otherwise(F.concat(minutes.cast("string"), F.lit("m")))
-    )
+    """Hours, minutes and seconds (HH:MM:SS), held at a hundred hours; a dash for no value."""
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(seconds / 3600), two(F.floor(seconds / 60) % 60), two(seconds % 60))
+    return F.when(seconds.isNull(), "—").when(seconds >= 360_000, "≥100h").otherwise(clock)
 
 
 def stale(generated: Column, now: Column, zone: str, *, after: int = 1800, ahead: int = 300) -> Column:

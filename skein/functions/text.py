@@ -23,8 +23,9 @@ LANGUAGES = {
 TEXT_EXTENSIONS = ("md", "txt", "json", "yaml", "yml", "toml", "xml", "html", "css", "sql", "sh")
 REFERENCE = r"([\p{L}\p{N}_./-]+\.[\p{L}\p{N}_-]+)"
 MARKER = r"(^|[^\p{L}\p{N}_])(TODO|FIXME|HACK|XXX)([^\p{L}\p{N}_]|$)"
-# Spellings of an unknown model.
-UNKNOWN_MODELS = ("", "unknown", "model unknown", "<synthetic>", "synthetic", "null", "none", "n/a")
+# Spellings of an unknown model, and what is shown for them.
+UNKNOWN_MODELS = ("", "unknown", "unknown model", "unknown-model", "unknown_model", "(unknown)", "모델 미상", "미상")
+UNKNOWN_MODEL = "모델 미상"
 CODE_CHARACTERS, PROSE_CHARACTERS = 3.6, 4.0  # fixed values: characters a token
 
 
@@ -68,7 +69,7 @@ def path_stem(path: Column) -> Column:
 
 def module_stem(module: Column) -> Column:
     parts = F.filter(F.split(module, r"[/.:]"), lambda p: p != "")
-    return F.coalesce(F.lower(F.try_element_at(parts, F.lit(-1))), F.lit(""))
+    return F.lower(F.coalesce(F.try_element_at(parts, F.lit(-1)), module))
 
 
 def is_code(language: Column) -> Column:
@@ -90,7 +91,7 @@ def identifiers(text: Column) -> Column:
 
 def model_name(model: Column) -> Column:
     trimmed = F.trim(model)
-    return F.when(trimmed.isNull() | F.lower(trimmed).isin(*UNKNOWN_MODELS), "unknown").otherwise(trimmed)
+    return F.when(trimmed.isNull() | F.lower(trimmed).isin(*UNKNOWN_MODELS), UNKNOWN_MODEL).otherwise(trimmed)
 
 
 def safe_label(value: Column, fallback: str) -> Column:
@@ -129,12 +130,12 @@ def abbreviated(tokens: Column) -> Column:
 
 
 def compact(value: Column) -> Column:
-    """As ``abbreviated`` to the trillions, a dash for no value and an exponent from 1e15."""
+    """As ``abbreviated`` to the trillions, a dash for no value and an exponent (1.2e15) from 1e15."""
     v = value.cast("double")
     one = lambda by, unit: F.concat(F.format_string("%.1f", v / by), F.lit(unit))
     return (
         F.when(value.isNull(), "—")
-        .when(v >= 1e15, F.format_string("%.1e", v))
+        .when(v >= 1e15, F.replace(F.format_string("%.1e", v), F.lit("e+"), F.lit("e")))
         .when(v >= 1e12, one(1e12, "T"))
         .when(v >= 1e9, one(1e9, "B"))
         .when(v >= 1e6, one(1e6, "M"))
@@ -153,22 +154,32 @@ def saturating_add(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_add(F.greatest(a, F.lit(0).cast("long")), F.greatest(b, F.lit(0).cast("long"))), F.lit(2**63 - 1))
 
 
+def korean_count(tokens: Column) -> Column:
+    """Count in units of ten thousand and a hundred million, whole or with one decimal; grouped digits below."""
+
+    def unit(by: float, name: str) -> Column:
+        tenths = F.round(tokens / by * 10).cast("long")
+        whole = F.floor(tenths / 10).cast("string")
+        return F.concat(F.when(tenths % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), (tenths % 10).cast("string"))), F.lit(name))
+
+    return F.when(tokens >= 100_000_000, unit(1e8, "억")).when(tokens >= 10_000, unit(1e4, "만")).otherwise(F.format_number(tokens, 0))
+
+
 def human_age(seconds: Column) -> Column:
+    """Age in years, months or days."""
     days = F.floor(seconds / 86_400)
-    return (
-        F.when(days >= 365, F.concat((F.floor(days / 365)).cast("string"), F.lit(" years")))
-        .when(days >= 30, F.concat((F.floor(days / 30)).cast("string"), F.lit(" months")))
-        .when(days >= 1, F.concat(days.cast("string"), F.lit(" days")))
-        .otherwise("today")
-    )
+    part = lambda by, unit: F.concat(F.floor(days / by).cast("string"), F.lit(unit))
+    return F.when(days >= 365, part(365, "년")).when(days >= 30, part(30, "개월")).when(days >= 1, part(1, "일")).otherwise("오늘")
 
 
 def day_comparison(today: Column, before: Column) -> Column:
-    """Change against the day before in percent, held at 999; a dash where a side is unknown, new from nothing."""
-    change = F.round(F.try_divide((today - before) * 100.0, before)).cast("long")
+    """Change against the day before in percent, halves to even, over 999 as such; nothing known, nothing said."""
+    percent = (F.try_divide(today.cast("double"), before) - 1) * 100
+    shown = F.bround(percent).cast("long")
     return (
-        F.when(today.isNull() | before.isNull(), "—")
-        .when((before == 0) & (today == 0), "0%")
-        .when(before == 0, "new")
-        .otherwise(F.concat(F.when(change >= 0, "+").otherwise(""), F.least(change, F.lit(999)).cast("string"), F.lit("%")))
+        F.when(today.isNull() | before.isNull(), "전일 비교 기록 없음")
+        .when((before <= 0) & (today == 0), "전일과 동일")
+        .when(before <= 0, "전일 0 · 오늘 기록 있음")
+        .when(percent > 999, "전일 전체 대비 +999% 초과")
+        .otherwise(F.concat(F.lit("전일 전체 대비 "), F.format_string("%+d", shown), F.lit("%")))
     )

@@ -34,7 +34,7 @@ def sliced_files(sources: DataFrame, declared: DataFrame, terms: list[str]) -> D
     rows = rows.withColumn("keep", F.array_sort(F.array_distinct(F.concat(heads, bodies, first))))
     whole = (F.col("total") < MIN_LINES) | (F.size(F.coalesce("bodies", F.array().cast("array<struct<line:int,end:int>>"))) == 0) | (F.size("keep") > MOST_KEPT * F.col("total"))
     mark = F.when(F.col("language").isin("python", "ruby"), "#").otherwise("//")
-    gap = lambda n: F.concat(mark, F.lit(" … ("), n.cast("string"), F.lit(" lines left out)"))
+    gap = lambda n: F.concat(mark, F.lit(" … ("), n.cast("string"), F.lit("줄 생략)"))
 
     def part(n: Column, i: Column) -> Column:
         before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("keep"), F.greatest(i, F.lit(1))))

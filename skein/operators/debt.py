@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.paths import test_path
 
 HASH_LANGUAGES = ("python", "ruby")

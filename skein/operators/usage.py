@@ -177,8 +177,10 @@ def pending_calls(events: DataFrame, *, key: Sequence[str], order: Sequence[str]
 
 
 def collection_health(states: DataFrame, *, state: str) -> DataFrame:
-    """(health): one label for all providers, the worst first."""
-    any_of = lambda value: F.coalesce(F.bool_or(F.col(state) == value), F.lit(False))
-    return states.agg(
-        F.when(any_of("unavailable"), "unavailable").when(any_of("partial"), "partial").when(any_of("ready"), "ready").otherwise("no records").alias("health")
+    """(health): one label for all providers, the worst first; unsupported ones don't count."""
+    supported = states.where(F.col(state) != "unsupported")
+    any_of = lambda *values: F.coalesce(F.bool_or(F.col(state).isin(*values)), F.lit(False))
+    return supported.agg(
+        F.when(F.count(F.lit(1)) == 0, "앱 연결 필요").when(any_of("unavailable", "failed"), "일부 수집 불가").when(any_of("partial"), "집계 범위 제한")
+        .when(any_of("ready"), "로컬 기록 집계").otherwise("기록 없음").alias("health")
     )

@@ -10,7 +10,7 @@ from ..operators import debt as B
 from ..operators import index as X
 from ..operators import refine as Q
 from ..registry import Registry, table
-from .common import FILES, STOPS, in_list, subwords_sql
+from .common import FILES, in_list, subwords_sql
 from .text import once
 
 registry = Registry()

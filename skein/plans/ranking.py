@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as R
 from ..registry import Registry, table
-from .common import FILES, STEM, STOPS, subwords_sql
+from .common import FILES, STEM, subwords_sql
 from .text import once
 
 registry = Registry()
@@ -29,7 +29,7 @@ sizes AS (SELECT project, count(DISTINCT id) AS n FROM f GROUP BY project),
 weights AS (SELECT project, term, {_idf} AS idf FROM (SELECT project, term, sum(counts) AS df FROM hits GROUP BY ALL) JOIN sizes USING (project)),
 lexical AS (SELECT project, id, sum(best * idf) * (1 + 0.2 * (count(*) - 1)) AS score, count(*) AS matched FROM hits JOIN weights USING (project, term) GROUP BY ALL)"""
 _edges = f"""calls AS (
-  SELECT DISTINCT project, id AS src, coalesce(lower(list_filter(regexp_split_to_array(module, '[/.:]'), lambda p: p <> '')[-1]), '') AS stem FROM imports JOIN f ON f.id = file_id),
+  SELECT DISTINCT project, id AS src, lower(coalesce(list_filter(regexp_split_to_array(module, '[/.:]'), lambda p: p <> '')[-1], module)) AS stem FROM imports JOIN f ON f.id = file_id),
 stems AS (SELECT project, id AS dst, lower({STEM}) AS stem FROM f),
 half AS (SELECT project, src, dst FROM calls JOIN stems USING (project, stem) WHERE src <> dst),
 edges AS (SELECT project, src, dst FROM half UNION SELECT project, dst, src FROM half)"""
@@ -151,3 +151,14 @@ def graph_expand_2hop(spark, d):
     edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("project", F.lit("all"))
     seeds = half.where("src % 97 = 5").select(F.lit("all").alias("project"), F.col("src").alias("id"), F.lit(1.0).alias("score")).distinct()
     return R.expand_scores(seeds, edges).select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
+
+
+@query("module_edges", f"""WITH f AS (
+      SELECT project, min(id) AS id, dir AS path FROM (SELECT project, id, string_split(path, '/')[-2] AS dir FROM {FILES}) WHERE dir IS NOT NULL GROUP BY project, dir), {_edges}
+    SELECT project, src, dst FROM edges""")
+def module_edges(spark, d):
+    """Edges between directories, the first file of each standing for it."""
+    parts = F.split("path", "/")
+    files = once(table(spark, d, "files")).where(F.size(parts) > 1).select("project", "id", F.element_at(parts, -2).alias("dir"))
+    first = files.groupBy("project", "dir").agg(F.min("id").alias("id")).withColumnRenamed("dir", "path")
+    return R.import_edges(first, table(spark, d, "imports")).select("project", "src", "dst")

@@ -119,7 +119,7 @@ def month_grid(spark, d):
 
 
 @query("covering_periods", """
-    SELECT period, count(*) AS n FROM (SELECT CASE WHEN age BETWEEN 0 AND 6 THEN 7 WHEN age BETWEEN 7 AND 29 THEN 30 WHEN age BETWEEN 30 AND 89 THEN 90 END AS period
+    SELECT period, count(*) AS n FROM (SELECT CASE WHEN age < 7 THEN 7 WHEN age < 30 THEN 30 WHEN age < 90 THEN 90 END AS period
       FROM (SELECT date_diff('day', event_ts::DATE, DATE '2026-06-01') AS age FROM log_messages)) GROUP BY period""")
 def covering_periods(spark, d):
     period = D.covering_period(F.to_date("event_ts"), F.lit("2026-06-01").cast("date"))
@@ -137,8 +137,8 @@ def day_lengths(spark, d):
 @query("day_comparisons", """
     WITH t AS (SELECT event_ts::DATE AS day, sum(output_tokens)::BIGINT AS n FROM log_messages WHERE event_ts IS NOT NULL GROUP BY 1),
     l AS (SELECT day, n, lag(n) OVER (ORDER BY day) AS b FROM t)
-    SELECT day::VARCHAR AS day, CASE WHEN n IS NULL OR b IS NULL THEN '—' WHEN b = 0 AND n = 0 THEN '0%' WHEN b = 0 THEN 'new'
-      ELSE (CASE WHEN c >= 0 THEN '+' ELSE '' END) || least(c, 999) || '%' END AS change FROM (SELECT *, round((n - b) * 100.0::DOUBLE / nullif(b, 0))::BIGINT AS c FROM l)""")
+    SELECT day::VARCHAR AS day, CASE WHEN n IS NULL OR b IS NULL THEN '전일 비교 기록 없음' WHEN b <= 0 AND n = 0 THEN '전일과 동일' WHEN b <= 0 THEN '전일 0 · 오늘 기록 있음'
+      WHEN p > 999 THEN '전일 전체 대비 +999% 초과' ELSE '전일 전체 대비 ' || printf('%+d', round_even(p, 0)::BIGINT) || '%' END AS change FROM (SELECT *, (n::DOUBLE / nullif(b, 0) - 1) * 100 AS p FROM l)""")
 def day_comparisons(spark, d):
     from pyspark.sql import Window
 
@@ -148,8 +148,8 @@ def day_comparisons(spark, d):
 
 
 @query("duration_texts", """
-    SELECT session_id, CASE WHEN s IS NULL THEN '—' WHEN m >= 60 THEN (m // 60) || 'h ' || lpad((m % 60)::VARCHAR, 2, '0') || 'm' ELSE m || 'm' END AS lasted
-    FROM (SELECT session_id, s, s // 60 AS m FROM (SELECT session_id, floor(epoch(max(event_ts)))::BIGINT - floor(epoch(min(event_ts)))::BIGINT AS s FROM log_messages WHERE session_id IS NOT NULL GROUP BY session_id))""")
+    SELECT session_id, CASE WHEN s IS NULL THEN '—' WHEN s >= 360000 THEN '≥100h' ELSE lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS lasted
+    FROM ((SELECT session_id, floor(epoch(max(event_ts)))::BIGINT - floor(epoch(min(event_ts)))::BIGINT AS s FROM log_messages WHERE session_id IS NOT NULL GROUP BY session_id))""")
 def duration_texts(spark, d):
     at = F.unix_seconds(F.col("event_ts").cast("timestamp"))
     s = table(spark, d, "log_messages").where("session_id is not null").groupBy("session_id").agg((F.max(at) - F.min(at)).alias("s"))
@@ -181,7 +181,7 @@ def pruned_sessions(spark, d):
     return S.pruned(rows, table(spark, d, "log_messages"), key="session_id")
 
 
-@query("collection_health", "SELECT CASE WHEN bool_or(phase = 'unavailable') THEN 'unavailable' WHEN bool_or(phase = 'partial') THEN 'partial' WHEN bool_or(phase = 'ready') THEN 'ready' ELSE 'no records' END AS health FROM (SELECT CASE phase WHEN 'unknown' THEN 'partial' ELSE 'ready' END AS phase FROM session_status)")
+@query("collection_health", "SELECT CASE WHEN bool_or(phase = 'partial') THEN '집계 범위 제한' WHEN bool_or(phase = 'ready') THEN '로컬 기록 집계' ELSE '기록 없음' END AS health FROM (SELECT CASE phase WHEN 'unknown' THEN 'partial' ELSE 'ready' END AS phase FROM session_status)")
 def collection_health(spark, d):
     from ..operators.usage import collection_health as health
 

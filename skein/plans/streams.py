@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..registry import Registry, table
+from ..registry import Registry
 from ..streaming import streams as S
 
 registry = Registry()

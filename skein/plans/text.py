@@ -61,7 +61,7 @@ def path_stems(spark, d):
 
 @query("module_stems", """
     SELECT stem, count(*) AS n FROM (
-      SELECT coalesce(lower(list_filter(regexp_split_to_array(module, '[/.:]'), lambda p: p <> '')[-1]), '') AS stem FROM imports)
+      SELECT lower(coalesce(list_filter(regexp_split_to_array(module, '[/.:]'), lambda p: p <> '')[-1], module)) AS stem FROM imports)
     GROUP BY stem""")
 def module_stems(spark, d):
     return table(spark, d, "imports").select(T.module_stem(F.col("module")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
@@ -83,7 +83,7 @@ def project_token_baseline(spark, d):
 
 _abbreviated = """CASE WHEN v < 1000 THEN '~' || v WHEN v < 1000000 THEN '~' || printf('%.1f', v / 1e3) || 'K'
   WHEN v < 1000000000 THEN '~' || printf('%.1f', v / 1e6) || 'M' ELSE '~' || printf('%.1f', v / 1e9) || 'B' END"""
-_compact = """CASE WHEN v IS NULL THEN '—' WHEN v >= 1e15 THEN printf('%.1e', v::DOUBLE) WHEN v >= 1e12 THEN printf('%.1f', v / 1e12) || 'T'
+_compact = """CASE WHEN v IS NULL THEN '—' WHEN v >= 1e15 THEN replace(printf('%.1e', v::DOUBLE), 'e+', 'e') WHEN v >= 1e12 THEN printf('%.1f', v / 1e12) || 'T'
   WHEN v >= 1e9 THEN printf('%.1f', v / 1e9) || 'B' WHEN v >= 1e6 THEN printf('%.1f', v / 1e6) || 'M'
   WHEN v >= 1e3 THEN printf('%.1f', v / 1e3) || 'K' ELSE v::VARCHAR END"""
 
@@ -171,7 +171,7 @@ _models = in_list(T.UNKNOWN_MODELS)
 
 
 @query("labels_and_digests", f"""
-    SELECT delivery_id, CASE WHEN model IS NULL OR lower(trim(model)) IN {_models} THEN 'unknown' ELSE trim(model) END AS model,
+    SELECT delivery_id, CASE WHEN model IS NULL OR lower(trim(model)) IN {_models} THEN '모델 미상' ELSE trim(model) END AS model,
       coalesce(nullif(substr(regexp_replace(cwd, '\\p{{Cc}}', '', 'g'), 1, 100), ''), 'no project') AS label,
       substr(sha256(log_path), 1, 12) AS digest, replace(regexp_extract(log_path, '^([^/]*)', 1), '-', '/') AS directory
     FROM log_messages""")
@@ -194,7 +194,7 @@ def saturating_totals(spark, d):
 
 
 @query("redacted_texts", """
-    SELECT doc_id, replace(replace(body, 'conf/secrets.json:3', '[redacted file]'), '.env.local', '[redacted file]') AS body
+    SELECT doc_id, replace(replace(body, 'conf/secrets.json:3', '[민감 파일]'), '.env.local', '[민감 파일]') AS body
     FROM (SELECT doc_id, 'see conf/secrets.json:3, then (.env.local) and ' || source AS body FROM documents WHERE source IS NOT NULL)""")
 def redacted_texts(spark, d):
     docs = table(spark, d, "documents").where("source is not null")
@@ -202,7 +202,19 @@ def redacted_texts(spark, d):
 
 
 @query("human_ages", f"""
-    SELECT id, CASE WHEN x >= 365 THEN (x // 365) || ' years' WHEN x >= 30 THEN (x // 30) || ' months' WHEN x >= 1 THEN x || ' days' ELSE 'today' END AS age
+    SELECT id, CASE WHEN x >= 365 THEN (x // 365) || '년' WHEN x >= 30 THEN (x // 30) || '개월' WHEN x >= 1 THEN x || '일' ELSE '오늘' END AS age
     FROM (SELECT id, floor((1781000000 - modified_at) / 86400)::BIGINT AS x FROM {FILES})""")
 def human_ages(spark, d):
     return once(table(spark, d, "files")).select("id", T.human_age(F.lit(1781000000) - F.col("modified_at")).alias("age"))
+
+
+_korean = "CASE WHEN v >= {by} THEN CASE WHEN t % 10 = 0 THEN (t // 10)::VARCHAR ELSE (t // 10) || '.' || (t % 10) END || '{unit}' END"
+
+
+@query("korean_counts", f"""
+    SELECT id, coalesce({_korean.format(by=100000000, unit="억").replace("t ", "h ").replace("(t", "(h")}, {_korean.format(by=10000, unit="만")}, format('{{:,}}', v)) AS label
+    FROM (SELECT id, v, round(v / 1e8 * 10)::BIGINT AS h, round(v / 1e4 * 10)::BIGINT AS t FROM (SELECT id, (byte_size * CASE WHEN id % 3 = 0 THEN 1000 WHEN id % 3 = 1 THEN 10 ELSE 1 END)::BIGINT AS v FROM {FILES} WHERE byte_size IS NOT NULL))""")
+def korean_counts(spark, d):
+    f = once(table(spark, d, "files")).where("byte_size is not null")
+    v = (F.col("byte_size") * F.when(F.col("id") % 3 == 0, 1000).when(F.col("id") % 3 == 1, 10).otherwise(1)).cast("long")
+    return f.select("id", T.korean_count(v).alias("label"))

@@ -77,8 +77,8 @@ def test_slices(spark):
     declared = X.declarations(docs)
     ends = B.block_ends(docs.join(declared.where("kind <> 'import'").groupBy("file_id").agg(F.collect_set("line").alias("lines")), "file_id"))
     out = {r["file_id"]: r for r in C.sliced_files(docs, declared.join(ends, ["file_id", "line"], "left"), ["login"]).collect()}
-    assert out[1]["sliced"] and out[1]["kept_lines"] == 7 and "# … (20 lines left out)\ndef login():\n    a\n    b\n" in out[1]["content"]
-    assert out[1]["content"].endswith("def other():\n# … (6 lines left out)\n")
+    assert out[1]["sliced"] and out[1]["kept_lines"] == 7 and "# … (20줄 생략)\ndef login():\n    a\n    b\n" in out[1]["content"]
+    assert out[1]["content"].endswith("def other():\n# … (6줄 생략)\n")
     assert not out[2]["sliced"] and out[2]["content"] == "def login():\n  x"
 
 
@@ -124,7 +124,7 @@ def test_stores(spark, tmp_path):
         S.write_snapshot(daily, ranks.withColumn("tokens", F.lit(-1)), str(tmp_path / "s"))
     path = str(tmp_path / "u")
     S.append_usage(spark.createDataFrame([("read .env now",)], "query string"), path)
-    assert spark.read.parquet(path).first()["query"] == "read [redacted file] now"
+    assert spark.read.parquet(path).first()["query"] == "read [민감 파일] now"
     S.write_activity(spark.createDataFrame([("a", 1)], "key string, v long"), str(tmp_path / "act"))
     S.write_activity(spark.createDataFrame([("a", 2), ("b", 1)], "key string, v long"), str(tmp_path / "act"))
     assert {(r["key"], r["v"]) for r in spark.read.json(str(tmp_path / "act")).collect()} == {("a", 2), ("b", 1)}

@@ -22,7 +22,7 @@ def test_null_texts_stay_null(spark):
     nothing = F.lit(None).cast("string")
     for f in (T.subwords, T.query_terms, T.path_stem, T.identifiers, T.normalized_remote, P.rename_target):
         assert value(spark, f(nothing)) is None
-    assert value(spark, T.model_name(nothing)) == "unknown" and value(spark, T.safe_label(nothing, "x")) == "x"
+    assert value(spark, T.model_name(nothing)) == T.UNKNOWN_MODEL and value(spark, T.safe_label(nothing, "x")) == "x"
 
 
 def test_terms_and_references(spark):
@@ -51,7 +51,12 @@ def test_numbers(spark):
     assert [value(spark, T.compact(F.lit(n).cast("long"))) for n in (None, 999, 1500, 2_500_000, 3 * 10**12)] == ["—", "999", "1.5K", "2.5M", "3.0T"]
     assert value(spark, T.saturating_add(F.lit(2**63 - 2), F.lit(5).cast("long"))) == 2**63 - 1
     assert value(spark, T.saturating_add(F.lit(-9).cast("long"), F.lit(5).cast("long"))) == 5
-    assert [value(spark, T.day_comparison(F.lit(a).cast("long"), F.lit(b).cast("long"))) for a, b in ((None, 1), (0, 0), (5, 0), (5, 10), (900, 1))] == ["—", "0%", "new", "-50%", "+999%"]
+    assert [value(spark, T.day_comparison(F.lit(a).cast("long"), F.lit(b).cast("long"))) for a, b in ((None, 1), (0, 0), (5, 0), (5, 10), (9, 8), (900, 1))] == [
+        "전일 비교 기록 없음", "전일과 동일", "전일 0 · 오늘 기록 있음", "전일 전체 대비 -50%", "전일 전체 대비 +12%", "전일 전체 대비 +999% 초과",
+    ]
+    assert [value(spark, T.korean_count(F.lit(n).cast("long"))) for n in (5670, 34_000, 20_000, 120_000_000)] == ["5,670", "3.4만", "2만", "1.2억"]
+    assert value(spark, T.compact(F.lit(12 * 10**14))) == "1.2e15"
+    assert [value(spark, D.duration_text(F.lit(n).cast("long"))) for n in (None, 59, 3_725, 360_000)] == ["—", "00:00:59", "01:02:05", "≥100h"]
 
 
 def test_remotes(spark):
@@ -68,7 +73,7 @@ def test_sensitive(spark, path, expected):
 
 
 def test_redaction_keeps_what_stands_between(spark):
-    assert value(spark, P.redacted(F.lit("open (.env), conf/secrets.json:12;  then a.py"))) == "open ([redacted file]), [redacted file];  then a.py"
+    assert value(spark, P.redacted(F.lit("open (.env), conf/secrets.json:12;  then a.py"))) == "open ([민감 파일]), [민감 파일];  then a.py"
 
 
 @pytest.mark.parametrize("old, new", [("src/{old => new}/file.swift", "src/new/file.swift"), ("a.py => b.py", "b.py"), ("x/{a => }/y.py", "x/y.py"), ("plain.py", "plain.py")])
