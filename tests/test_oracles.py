@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,9 +13,14 @@ DIRECTORY = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
+def cell(v):
+    if v is None or pd.isna(v):
+        return "null"
+    return str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+
+
 def rows(df):
-    cells = lambda v: str(int(v)) if isinstance(v, float) and v == v and v.is_integer() else "None" if v is None or v != v else str(v)
-    return sorted(tuple(map(cells, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
+    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
 
 @pytest.fixture(scope="module")
