@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..registry import Registry
+from ..registry import Registry, table
 from ..streaming import streams as S
 
 registry = Registry()
@@ -27,10 +27,11 @@ def stream_daily_totals(spark, d):
 @query("stream_turn_states")
 def stream_turn_states(spark, d):
     stream = S.table_stream(spark, d, "log_messages", "event_ts").where("session_id is not null and event_ts is not null")
-    event = S.turn_event(F.col("row_type"), F.col("stop_reason"), F.col("is_sidechain"))
-    events = stream.select(
-        "session_id", F.col("event_ts").alias("ts"), (F.unix_micros("event_ts") / 1e6).alias("at"), "line_no", event.alias("event"), F.col("message_id").alias("tool")
-    ).where("event is not null")
+    rows = stream.join(S.turn_blocks(table(spark, d, "log_blocks")), "delivery_id", "left")
+    said = S.turn_events(*(F.col(c) for c in ("row_type", "stop_reason", "is_sidechain", "opening", "answers", "calls")))
+    events = rows.select(
+        "session_id", F.col("event_ts").alias("ts"), (F.unix_micros("event_ts") / 1e6).alias("at"), "line_no", F.posexplode(said).alias("step", "e")
+    ).select("session_id", "ts", "at", "line_no", "step", "e.event", "e.tool")
     return S.run_to_end(S.turn_states(events))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -65,17 +65,41 @@ def refreshed_index(batch: DataFrame, existing: DataFrame) -> tuple[DataFrame, D
     return merged_index(batch, existing), status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def turn_event(row_type: Column, stop_reason: Column, aside: Column) -> Column:
-    """started, tool_started, ended, interrupted or activity from a message row; null for what says nothing of a turn."""
-    role = F.lower(F.trim(row_type))
-    event = (
-        F.when(role == "user", "started")
-        .when((role == "assistant") & stop_reason.isin("end_turn", "stop_sequence"), "ended")
-        .when((role == "assistant") & (stop_reason == "max_tokens"), "interrupted")
-        .when((role == "assistant") & (stop_reason == "tool_use"), "tool_started")
-        .when(role == "assistant", "activity")
+INTERRUPTED = "[Request interrupted by user"
+TURN_EVENTS = "array<struct<event:string,tool:string>>"
+
+
+def turn_blocks(blocks: DataFrame) -> DataFrame:
+    """(delivery_id, opening, answers, calls) of every delivered row with blocks: its first text block's beginning, whether it
+    holds a tool result, and its tool events in order of their blocks.  A tool block without an id can't be followed."""
+    kind = F.col("block_type")
+    tool = F.when(kind == "tool_use", F.col("block_id")).when(kind == "tool_result", F.col("tool_use_id"))
+    event = F.when(kind == "tool_use", "tool_started").otherwise("tool_finished")
+    begins = F.substring(F.coalesce("block_text", F.lit("")), 1, len(INTERRUPTED))
+    return blocks.groupBy("delivery_id").agg(
+        F.min_by(begins, F.when(kind == "text", F.col("block_no"))).alias("opening"),
+        F.max(kind == "tool_result").alias("answers"),
+        F.array_sort(F.collect_list(F.when(tool.isNotNull(), F.struct("block_no", event.alias("event"), tool.alias("tool"))))).alias("calls"),
     )
-    return F.when(~F.coalesce(aside, F.lit(False)), event)
+
+
+def turn_events(row_type: Column, stop_reason: Column, aside: Column, opening: Column, answers: Column, calls: Column) -> Column:
+    """What a message row says of its turn, as an array of (event, tool) in order; empty for a row that says nothing.
+
+    A user row starts a turn if it has text and no tool result, and interrupts one if its text says so.  An assistant row is
+    activity, and ends or interrupts the turn after its calls.  Every tool block is one event under its own id.
+    """
+    role, text = F.lower(F.trim(row_type)), F.coalesce(opening, F.lit(""))
+    stopped = (role == "user") & (text == INTERRUPTED)
+    first = F.when(stopped, "interrupted").when((role == "user") & (text != "") & ~F.coalesce(answers, F.lit(False)), "started").when(role == "assistant", "activity")
+    last = F.when((role == "assistant") & stop_reason.isin("end_turn", "stop_sequence"), "ended").when((role == "assistant") & (stop_reason == "max_tokens"), "interrupted")
+
+    def one(event: Column) -> Column:
+        return F.array(F.struct(event.alias("event"), F.lit(None).cast("string").alias("tool")))
+
+    tools = F.transform(F.coalesce(calls, F.array().cast("array<struct<block_no:int,event:string,tool:string>>")), lambda c: F.struct(c["event"].alias("event"), c["tool"].alias("tool")))
+    said = F.when(stopped, one(first)).otherwise(F.filter(F.concat(one(first), tools, one(last)), lambda e: e["event"].isNotNull()))
+    return F.when(role.isin("user", "assistant") & ~F.coalesce(aside, F.lit(False)), said).otherwise(F.array().cast(TURN_EVENTS))
 
 
 @dataclass
@@ -149,24 +173,25 @@ class TurnProcessor(StatefulProcessor):
     def _read(self) -> Turn:
         return Turn(**json.loads(self.turn.get()[0])) if self.turn.exists() else Turn()
 
-    def _row(self, key, turn: Turn, now: float) -> pd.DataFrame:
+    def _row(self, key, turn: Turn, now: float) -> Row:
         phase, recheck = turn.status(now)
-        return pd.DataFrame([(key[0], phase, turn.started, turn.ended, turn.last, len(turn.pending), recheck)], columns=TURN_SCHEMA.names)
+        return Row(*TURN_SCHEMA.names)(key[0], phase, turn.started, turn.ended, turn.last, len(turn.pending), recheck)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn = self._read()
-        events = sorted((r.at, r.line_no, r.event, r.tool) for batch in rows for r in batch.itertuples())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.turn.exists()
+        turn = self._read() if known else Turn()
+        events = sorted(((r.at, r.line_no, r.step, r.event, r.tool) for r in rows), key=lambda e: (*e[:4], e[4] or ""))
         now = events[-1][0]
-        for at, _, event, tool in events:
+        for at, _, _, event, tool in events:
             turn.apply(event, at, tool, now)
         self.turn.update((json.dumps(asdict(turn)),))
         if turn.working and turn.last is not None:
-            for timer in list(self.handle.listTimers()):
+            for timer in list(self.handle.listTimers()) if known else ():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int((turn.last + QUIET) * 1000))
         yield self._row(key, turn, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs() / 1000
         turn = self._read()
         phase, recheck = turn.status(now)
@@ -179,8 +204,11 @@ class TurnProcessor(StatefulProcessor):
 
 
 def turn_states(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
-    """Status rows of every session as its events come in; ``events`` has (session_id, ts, at, line_no, event, tool)."""
-    return events.withWatermark("ts", late).groupBy("session_id").transformWithStateInPandas(
+    """Status rows of every session as its events come in; ``events`` has (session_id, ts, at, line_no, event, tool), and
+    step where a line has several events."""
+    if "step" not in events.columns:
+        events = events.withColumn("step", F.lit(0))
+    return events.withWatermark("ts", late).groupBy("session_id").transformWithState(
         statefulProcessor=TurnProcessor(), outputStructType=TURN_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
