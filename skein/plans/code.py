@@ -172,21 +172,45 @@ def signature_outline(spark, d):
     return B.outline(once(table(spark, d, "files")).orderBy("path", "id").limit(5), table(spark, d, "symbols"))
 
 
+def texts(spark, d):
+    """Documents as sources; they carry no programming language and are read as Python."""
+    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), "text")
+
+
+def _blocks(sources, declared):
+    lines = declared.where("kind <> 'import'").groupBy("file_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return B.block_ends(sources.join(lines, "file_id"))
+
+
+def _sliced(sources):
+    declared = X.declarations(sources)
+    return C.sliced_files(sources, declared.join(_blocks(sources, declared), ["file_id", "line"], "left"), ["session", "cache"])
+
+
 @query("block_ends")
 def block_ends(spark, d):
     """Blocks of the code in documents, read as Python; checked against hand-made sources in the tests."""
-    docs = table(spark, d, "documents").where(F.col("text").contains("def ")).select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), "text")
-    lines = X.declarations(docs).where("kind <> 'import'").groupBy("file_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return B.block_ends(docs.join(lines, "file_id"))
+    docs = texts(spark, d)
+    return _blocks(docs, X.declarations(docs))
+
+
+@query("block_ends_heads")
+def block_ends_heads(spark, d):
+    """Blocks of the beginnings of files, each in its own language."""
+    sources = heads(spark, d)
+    return _blocks(sources, X.declarations(sources))
 
 
 @query("sliced_documents")
 def sliced_documents(spark, d):
-    """Documents with code, sliced around declarations that match a request; checked in the tests."""
-    docs = table(spark, d, "documents").where(F.col("text").contains("def ")).select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), "text")
-    declared = X.declarations(docs)
-    blocks = B.block_ends(docs.join(declared.where("kind <> 'import'").groupBy("file_id").agg(F.collect_set("line").alias("lines")), "file_id"))
-    return C.sliced_files(docs, declared.join(blocks, ["file_id", "line"], "left"), ["session", "cache"])
+    """Documents, sliced around declarations that match a request or whole; checked in the tests."""
+    return _sliced(texts(spark, d))
+
+
+@query("sliced_heads")
+def sliced_heads(spark, d):
+    """Beginnings of files, as ``sliced_documents`` but each in its own language."""
+    return _sliced(heads(spark, d))
 
 
 @query("unsent_bodies", f"""

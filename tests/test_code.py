@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from skein.operators import context as C
 from skein.operators import debt as B
 from skein.operators import index as X
@@ -128,3 +129,23 @@ def test_stores(spark, tmp_path):
     S.write_activity(spark.createDataFrame([("a", 1)], "key string, v long"), str(tmp_path / "act"))
     S.write_activity(spark.createDataFrame([("a", 2), ("b", 1)], "key string, v long"), str(tmp_path / "act"))
     assert {(r["key"], r["v"]) for r in spark.read.json(str(tmp_path / "act")).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_every_text_is_sliced_in_its_language(spark, tmp_path):
+    long = "class Session:\n" + "\n".join(["    x = 1"] * 5) + "\n" + "\n".join(f"y{n} = 2" for n in range(60))
+    documents = [(1, "no code here"), (2, long), (3, "def f():\n  x\n"), (4, None)]
+    rust = "fn open_cache() {\n  let c = '}';\n}\n" + "\n".join("let y = 2;" for _ in range(60))
+    tables = {
+        "documents": (documents, "doc_id long, text string"),
+        "files": ([(1, "rust"), (2, "python"), (3, None), (4, "swift")], "id long, language string"),
+        "file_heads": ([(1, rust), (2, "def g():\n  x"), (3, "fn a() {\n}"), (4, None)], "file_id long, head_text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    ends = lambda name: sorted((r["file_id"], r["line"], r["end_line"]) for r in run(name))
+    slices = lambda name: {r["file_id"]: (r["sliced"], r["total_lines"]) for r in run(name)}
+    assert ends("block_ends") == [(2, 1, 6), (3, 1, 2)]
+    assert slices("sliced_documents") == {1: (False, 1), 2: (True, 66), 3: (False, 3)}
+    assert ends("block_ends_heads") == [(1, 1, 3), (2, 1, 2)]
+    assert slices("sliced_heads") == {1: (True, 63), 2: (False, 2), 3: (False, 2)}
