@@ -75,7 +75,6 @@ class ItemIndex:
                 block_best[w, i // BLOCK] = max(block_best[w, i // BLOCK], score)
         self.best = block_best.max(axis=1)
         self.worst = [min(line, default=0.0) for line in self.scores]
-        self.best[0] = -1e9  # a word that no item has: no run goes across it
         self.block_best = [row.tolist() for row in block_best]
         self.block_floor = [min(self.floor[b * BLOCK : (b + 1) * BLOCK], default=math.inf) for b in range(blocks)]
         self.least = min(self.floor, default=math.inf)
@@ -95,8 +94,10 @@ class ItemIndex:
         """
         if len(coded) < RUN:
             return
+        # A word that no item has (0) weighs nothing, and no run goes across it: those are counted in integers.
         total = np.concatenate(([0.0], np.cumsum(self.best[coded])))
-        able = np.flatnonzero(total[RUN:] - total[:-RUN] >= self.least - 1e-3)
+        unknown = np.concatenate(([0], np.cumsum(coded == 0)))
+        able = np.flatnonzero((total[RUN:] - total[:-RUN] >= self.least - 1e-3) & (unknown[RUN:] == unknown[:-RUN]))
         if not len(able):
             return
         first = np.concatenate(([True], np.diff(able) > 1))

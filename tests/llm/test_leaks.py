@@ -78,3 +78,11 @@ def test_empty(spark):
     docs, items = corpus(1)
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     assert L.leaked_items(d.limit(0), i).count() == 0 and L.leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_runs_after_many_unknown_words_are_met():
+    text = " ".join(f"k{i}" for i in range(12))
+    index = L.ItemIndex([(1, text, None)])
+    for unknown in (0, 5_000, 1_000_000):
+        assert [leak[:2] for leak in index.leaks("x " * unknown + text + " x")] == [(1, 1)]
+    assert not list(index.leaks("x " * 1_000 + text.replace("k5", "k5 x")))
