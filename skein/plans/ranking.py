@@ -98,6 +98,38 @@ def graph_two_hops(spark, d):
     return reached.select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
 
 
+@query("graph_request_hops", f"""WITH {_lexical}, {_edges},
+    one AS (SELECT DISTINCT project, lexical.id AS seed, dst AS id FROM lexical JOIN edges USING (project) WHERE src = lexical.id),
+    two AS (SELECT DISTINCT project, seed, dst AS id FROM one JOIN edges USING (project) WHERE src = one.id AND dst <> seed EXCEPT SELECT * FROM one)
+    SELECT id, round(sum(w) * 1e4)::BIGINT AS score FROM (
+      SELECT id, 1.0::DOUBLE AS w FROM lexical UNION ALL SELECT id, 0.4 FROM one UNION ALL SELECT id, 0.16 FROM two) GROUP BY id""")
+def graph_request_hops(spark, d):
+    """Reach of all lexical hits of the request over all edges, every hit weighing 1."""
+    files, symbols, imports = _inputs(spark, d)
+    terms, _ = R.plan_terms(spark, REQUEST)
+    seeds = R.lexical_scores(files, symbols, imports, terms).select("project", "id", F.lit(1.0).alias("score"))
+    reached = R.expand_scores(seeds, R.import_edges(files, imports))
+    return reached.select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
+
+
+@query("graph_suppliers_2hop", """
+    WITH half AS (SELECT DISTINCT l_suppkey AS a, -l_partkey - 1 AS b FROM lineitem),
+    edges AS (SELECT a AS src, b AS dst FROM half UNION ALL SELECT b, a FROM half),
+    seeds AS (SELECT DISTINCT a AS seed FROM half JOIN supplier ON s_suppkey = a JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_15'),
+    one AS (SELECT seed, dst AS id FROM edges JOIN seeds ON src = seed),
+    two AS (SELECT DISTINCT seed, dst AS id FROM one JOIN edges ON src = one.id WHERE dst <> seed EXCEPT SELECT * FROM one)
+    SELECT id, round(sum(w) * 1e4)::BIGINT AS score FROM (
+      SELECT seed AS id, 1.0::DOUBLE AS w FROM seeds UNION ALL SELECT id, 0.4 FROM one UNION ALL SELECT id, 0.16 FROM two) GROUP BY id""")
+def graph_suppliers_2hop(spark, d):
+    """Reach of all suppliers of a nation over all supplier and part links; keys start at 0, so part p is -p - 1."""
+    half = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
+    edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("project", F.lit("all"))
+    nation = table(spark, d, "nation").where("n_name = 'NATION_15'")
+    chosen = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("src"))
+    seeds = half.select("src").distinct().join(chosen, "src").select(F.lit("all").alias("project"), F.col("src").alias("id"), F.lit(1.0).alias("score"))
+    return R.expand_scores(seeds, edges).select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
+
+
 @query("ranked_context", f"{_ranked} SELECT r.project, r.path, round(score * 100)::BIGINT AS hundredths, tokens, coalesce(included, false) AS included FROM ranked r LEFT JOIN fold USING (project, place)")
 def ranked_context(spark, d):
     return _rank(spark, d).select("project", "path", F.round(F.col("score") * 100).cast("long").alias("hundredths"), "tokens", "included")
