@@ -131,7 +131,8 @@ def bin_completion(histogram: dict[int, int], capacity: int, *, branches: int =
     Depth-first branch and bound.  Each step takes the largest item left, lists the undominated fillings around it
     (``completions``) and follows the one with least waste, as many times over as the counts allow; other branches
     wait.  A branch is cut when its containers and the lower bound of what is left can't beat the best packing known,
-    which starts as best-fit decreasing.  The search ends at the lower bound (proven best) or after ``steps`` steps.
+    which starts as best-fit decreasing.  A second search also uses each filling only once before it looks again, so any
+    number of times can be met.  Each search ends at the lower bound (proven best) or after ``steps`` steps.
     The work depends on the number of different sizes, at most ``capacity``, not on the number of items.
     """
     histogram = {int(s): int(n) for s, n in histogram.items() if s > 0 and n > 0}
@@ -146,23 +147,27 @@ def bin_completion(histogram: dict[int, int], capacity: int, *, branches: int =
         times, left = _apply(left, chosen)
         patterns.append((times, chosen))
     best.patterns = patterns
-    stack = [(histogram, [], 0)]
-    while stack and steps > 0 and best.containers > best.lower_bound:
-        left, patterns, used = stack.pop()
-        if not left:
-            if used < best.containers:
-                best.patterns = patterns
-            continue
-        if used + math.ceil(sum(s * n for s, n in left.items()) / capacity) >= best.containers:
-            continue
-        steps -= 1
-        largest = max(left)
-        rest = {s: n - (s == largest) for s, n in left.items() if n - (s == largest)}
-        for filling in reversed(completions(rest, capacity - largest, most=branches, nodes=nodes)):
-            pattern = dict(filling)
-            pattern[largest] = pattern.get(largest, 0) + 1
-            times, after = _apply(left, pattern)
-            stack.append((after, [*patterns, (times, pattern)], used + times))
+    for once in (False, True):
+        stack, more = [(histogram, [], 0)], steps
+        while stack and more > 0 and best.containers > best.lower_bound:
+            left, patterns, used = stack.pop()
+            if not left:
+                if used < best.containers:
+                    best.patterns = patterns
+                continue
+            if used + math.ceil(sum(s * n for s, n in left.items()) / capacity) >= best.containers:
+                continue
+            more -= 1
+            largest = max(left)
+            rest = {s: n - (s == largest) for s, n in left.items() if n - (s == largest)}
+            for filling in reversed(completions(rest, capacity - largest, most=branches, nodes=nodes)):
+                pattern = dict(filling)
+                pattern[largest] = pattern.get(largest, 0) + 1
+                times, after = _apply(left, pattern)
+                if once and times > 1:
+                    single = {s: n - pattern.get(s, 0) for s, n in left.items() if n > pattern.get(s, 0)}
+                    stack.append((single, [*patterns, (1, pattern)], used + 1))
+                stack.append((after, [*patterns, (times, pattern)], used + times))
     return best
 
 

@@ -101,3 +101,8 @@ def test_patterns_repeat():
     packing = K.bin_completion({6: 1000, 4: 1000, 3: 10}, 10)
     assert packing.containers == 1004 and packing.lower_bound == 1003 and len(packing.patterns) <= 5
     assert all(sum(s * n for s, n in p.items()) <= 10 for _, p in packing.patterns)
+
+
+def test_a_filling_may_be_used_fewer_times_than_counts_allow():
+    packing = K.bin_completion({11: 3, 9: 3, 8: 2, 6: 3, 13: 2}, 30)
+    assert packing.containers == packing.lower_bound == 4
