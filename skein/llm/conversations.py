@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -13,6 +17,9 @@ from ..session import Table
 INVISIBLE = r"\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}"
 #: Lines of a log that one task looks through for an earlier time.
 LINE_BLOCK = 1024
+PLACE = ("at", "line_no", "delivery_id")  # what orders turns
+SORTED = "session_id string, turn_no long, message_id string, part int, turns long, broken boolean, opening string, first_act string, last_act string"
+GRAPH = ("session_id", "at", "line_no", "delivery_id", "message_id", "act", "src_at", "src_line_no", "src_delivery_id", "step")
 
 
 def shows(text: str) -> Column:
@@ -57,126 +64,185 @@ def earlier_times(asked: DataFrame, messages: DataFrame) -> DataFrame:
     return inside.join(ends, ["log_path", "block"]).select("log_path", "line_no", F.coalesce("own", "carried").alias("found"))
 
 
-def reply_cycles(edges: DataFrame, rounds: int = 32) -> DataFrame | None:
-    """Sessions whose reply graph leaves nodes over, by Kahn's algorithm in parallel rounds.
-
-    ``edges`` has (session_id, src, dst, forward).  Each round takes away every edge whose source has no incoming edge
-    left; it ends when nothing is left (no cycle: None) or a round takes nothing away (the rest are cycles).  A chain
-    longer than ``rounds`` is settled by its order: a session whose remaining edges all run forward in time has no
-    cycle, since a cycle needs an edge that runs back.
-    """
-    left = Table(edges)
-    size = left.df.count()
-    for _ in range(rounds):
-        if size == 0:
-            return None
-        targets = left.df.select("session_id", F.col("dst").alias("src")).distinct()
-        after = Table(left.df.join(targets, ["session_id", "src"], "left_semi"))
-        remaining = after.df.count()
-        left.drop()
-        left = after
-        if remaining == size:
-            break
-        size = remaining
-    return left.df.groupBy("session_id").agg(F.bool_and("forward").alias("ordered")).where("not ordered").select("session_id")
-
-
-def conversations(messages: DataFrame, blocks: DataFrame, *, hot_session: int = 200_000) -> DataFrame:
+def conversations(messages: DataFrame, blocks: DataFrame, *, parts: int | None = None) -> DataFrame:
     """(session_id, turn_no, message_id): the turns of every whole conversation, in order.
 
-    Turns are ordered by time, then line, then delivery id; a turn of unknown time takes the time of the nearest
-    earlier line of its log, and comes first where there is none.  A session is kept if its first turn is a prompt (a
-    user turn with visible text), every prompt is followed by a reply (an assistant turn with visible text and no tool
-    call) before the next prompt or the end, every tool call is answered in a later turn and every tool result has its
-    call in an earlier one.  A call or result without an id can't meet another, so its session is dropped, as are
-    sessions whose calls and results form a cycle.  Rows without session or message id, and sessions without turns,
-    give no rows.
-
-    Sessions of more than ``hot_session`` turns are numbered over a range partitioning of their turns, so that no task
-    holds a whole one.
+    The turns of a session are the nodes of its reply graph; a tool call has an edge to the turn with its result.  Kahn's
+    algorithm sorts each graph, the earliest turn first where several are free (time, line, then delivery id; a turn of
+    unknown time takes the time of the nearest earlier line of its log, and comes first where there is none).  Its order
+    numbers the turns.  A session is dropped if turns are left over (calls and results in a cycle, or one without the
+    other) or a turn comes free only after one that is later in time (a result before its call); then the order is walked:
+    the first turn must be a prompt (a user turn with visible text) and every prompt must be followed by a reply (an
+    assistant turn with visible text and no tool call) before the next prompt or the end.  A call or result without an id
+    can't meet another.  Rows without session or message id, and sessions without turns, give no rows.
+
+    Graphs are cut along a range partitioning by session and time into ``parts`` (shuffle partitions, if not given), so no
+    task holds more than one part of a session of any size: an edge from an earlier part is free already, one from a later
+    part never comes free, and what each part's order says is put together over the parts of a session.
     """
+    turns = Table(_spoken_turns(messages, blocks))
+    nodes = turns.df.select("session_id", "at", "line_no", "delivery_id", "message_id", "act", *[F.lit(None).cast(turns.df.schema[c].dataType).alias(f"src_{c}") for c in PLACE], F.lit(0).alias("step"))
+    graph = nodes.unionByName(reply_edges(turns.df))
+    order = ("session_id", *PLACE, "step")
+    parts = parts or max(2, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = graph.repartitionByRange(parts, "session_id", *PLACE).sortWithinPartitions(*order)
+    stamped = ranged.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("at", "src_at")})
+    sorted_parts = Table(stamped.mapInArrow(_sort_parts, SORTED))
+    return _joined_parts(sorted_parts.df)
+
+
+def _spoken_turns(messages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(session_id, at, line_no, delivery_id, message_id, act, tools): turns with their time, what they are and their tools."""
     turns = turns_of(messages)
-    untimed = turns.where("at is null").select("log_path", "line_no")
-    found = earlier_times(untimed, messages)
-    turns = turns.join(found, ["log_path", "line_no"], "left").withColumn("at", F.coalesce("at", "found")).drop("found", "log_path")
-    kind = F.col("block_type")
-    texts = blocks.where(kind.isin("text", "tool_use")).groupBy("delivery_id").agg(
-        F.max((kind == "text") & shows("block_text")).alias("speaks"), F.max(kind == "tool_use").alias("calls")
+    found = earlier_times(turns.where("at is null").select("log_path", "line_no"), messages)
+    turns = turns.join(found, ["log_path", "line_no"], "left").withColumn("at", F.coalesce("at", "found"))
+    kind, calling = F.col("block_type"), F.col("block_type") == "tool_use"
+    narrow = blocks.where(kind.isin("text", "tool_use", "tool_result")).select(
+        "delivery_id", calling.alias("call"), ((kind == "text") & shows("block_text")).alias("speaks"),
+        F.when(kind != "text", F.struct(calling.alias("call"), F.when(calling, F.col("block_id")).otherwise(F.col("tool_use_id")).alias("tool"))).alias("tool"),
     )
-    said = turns.join(texts, "delivery_id", "left").select(
-        "session_id", "message_id", "delivery_id", "at", "line_no",
-        F.when(F.col("speaks"), F.when(F.col("role") == "user", "prompt").when(~F.col("calls"), "reply")).alias("act"),
-    )
-    flagged = Table(said)
-    torn, cyclic = _tool_faults(flagged.df, blocks)
-    faulty = torn if cyclic is None else torn.unionByName(cyclic).distinct()
-
-    sizes = flagged.df.groupBy("session_id").count().where(F.col("count") > hot_session).select("session_id")
-    hot = Table(sizes)
-    kept = _kept_small(flagged.df.join(hot.df, "session_id", "left_anti"), faulty)
-    if not hot.df.isEmpty():
-        kept = kept.unionByName(_kept_large(flagged.df.join(hot.df, "session_id", "left_semi"), faulty))
-    return kept
-
-
-def _tool_faults(turns: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    calling = F.col("block_type") == "tool_use"
-    tools = blocks.where(F.col("block_type").isin("tool_use", "tool_result")).select(
-        "delivery_id", calling.alias("call"), F.when(calling, F.col("block_id")).otherwise(F.col("tool_use_id")).alias("tool")
-    )
-    placed = turns.select("delivery_id", "session_id", "at", "line_no").join(tools, "delivery_id")
-    place = F.struct("at", "line_no", "delivery_id")
-    call, result = F.when(F.col("call"), place), F.when(~F.col("call"), place)
-    links = Table(placed.groupBy("session_id", "tool").agg(
+    own = narrow.groupBy("delivery_id").agg(F.max("speaks").alias("speaks"), F.max("call").alias("calls"), F.collect_list("tool").alias("tools"))
+    act = F.when(F.col("speaks"), F.when(F.col("role") == "user", "prompt").when(~F.col("calls"), "reply"))
+    return turns.join(own, "delivery_id", "left").select("session_id", *PLACE, "message_id", act.alias("act"), "tools")
+
+
+def reply_edges(turns: DataFrame) -> DataFrame:
+    """Edges of the reply graphs, at the turn they lead to (step 1), with the place of the turn they come from.
+
+    Of one tool id the first call leads to the first result, so every result has its call, and the last call to the last
+    result, so every call has its result.  What lacks its other end leads to itself, and so never comes free.
+    """
+    tools = turns.select("session_id", F.struct(*PLACE).alias("place"), F.explode("tools").alias("t")).select("session_id", "place", "t.*")
+    call, result = F.when(F.col("call"), F.col("place")), F.when(~F.col("call"), F.col("place"))
+    ends = tools.groupBy("session_id", "tool").agg(
         F.min(call).alias("first_call"), F.max(call).alias("last_call"), F.min(result).alias("first_result"), F.max(result).alias("last_result")
-    ))
-    met = (F.col("first_call") < F.col("first_result")) & (F.col("last_call") < F.col("last_result")) & F.col("tool").isNotNull()
-    torn = links.df.where(~F.coalesce(met, F.lit(False))).select("session_id").distinct()
-    pairs = F.array(F.struct(F.col("first_call").alias("a"), F.col("first_result").alias("b")), F.struct(F.col("last_call").alias("a"), F.col("last_result").alias("b")))
-    edges = links.df.where("tool is not null and first_call is not null and first_result is not null").select(
-        "session_id", F.explode(F.array_distinct(pairs)).alias("e")
-    ).select("session_id", F.col("e.a.delivery_id").alias("src"), F.col("e.b.delivery_id").alias("dst"), (F.col("e.a") < F.col("e.b")).alias("forward"))
-    return torn, reply_cycles(edges)
-
-
-def _kept_small(turns: DataFrame, faulty: DataFrame) -> DataFrame:
-    ordered = Window.partitionBy("session_id").orderBy("at", "line_no", "delivery_id")
-    back = Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("line_no"), F.desc("delivery_id")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("session_id")
-    numbered = turns.select("session_id", "message_id", "act", F.row_number().over(ordered).cast("long").alias("turn_no"), F.last("act", ignorenulls=True).over(back).alias("after"))
-    unanswered = (F.col("act") == "prompt") & F.coalesce(F.col("after") != "reply", F.lit(True))
-    opening = (F.col("turn_no") == 1) & F.coalesce(F.col("act") != "prompt", F.lit(True))
-    judged = numbered.withColumn("bad", F.max(F.coalesce(unanswered, F.lit(False)) | opening).over(whole)).where("not bad")
-    return judged.join(faulty, "session_id", "left_anti").select("session_id", "turn_no", "message_id")
-
-
-def _kept_large(turns: DataFrame, faulty: DataFrame) -> DataFrame:
-    """As ``_kept_small``, over a range partitioning: numbers and neighbours are found inside each part of a session,
-    then carried over its parts (as many as partitions at most)."""
-    order = ("session_id", "at", "line_no", "delivery_id")
-    parts = max(2, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = Table(
-        turns.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .select("session_id", "message_id", "act", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at_row"))
     )
-    inside = Window.partitionBy("session_id", "part")
-    back = inside.orderBy(F.desc("at_row")).rowsBetween(Window.unboundedPreceding, -1)
-    acts = ranged.df.withColumn("after", F.last("act", ignorenulls=True).over(back))
-    place = F.when(F.col("act").isNotNull(), F.col("at_row"))
-    summary = acts.groupBy("session_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at_row").alias("start"), F.min_by(F.coalesce("act", F.lit("")), "at_row").alias("opening"),
-        F.min_by("act", place).alias("first_act"), F.max_by("act", place).alias("last_act"),
-        F.max(F.coalesce((F.col("act") == "prompt") & (F.col("after") == "prompt"), F.lit(False))).alias("unanswered"),
+    alone = F.col("tool").isNull() | F.col("first_call").isNull() | F.col("first_result").isNull()
+    one = F.coalesce("first_call", "first_result")
+    edge = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    pairs = F.when(alone, F.array(F.struct(one.alias("src"), one.alias("dst")))).otherwise(
+        F.array_distinct(F.array(edge("first_call", "first_result"), edge("last_call", "last_result")))
+    )
+    edges = ends.select("session_id", F.explode(pairs).alias("e"))
+    return edges.select(
+        "session_id", *[F.col(f"e.dst.{c}").alias(c) for c in PLACE], F.lit(None).cast("string").alias("message_id"), F.lit(None).cast("string").alias("act"),
+        *[F.col(f"e.src.{c}").alias(f"src_{c}") for c in PLACE], F.lit(1).alias("step"),
     )
+
+
+def kahn_order(nodes: int, edges: Iterable[tuple[int, int]]) -> list[int]:
+    """Nodes 0, 1, ... by Kahn's algorithm, the smallest free node first; those on or behind a cycle are left out."""
+    waits, leads = [0] * nodes, {}
+    for src, dst in edges:
+        waits[dst] += 1
+        leads.setdefault(src, []).append(dst)
+    free = [n for n in range(nodes) if not waits[n]]  # ascending, so a heap
+    order = []
+    while free:
+        node = heapq.heappop(free)
+        order.append(node)
+        for after in leads.get(node, ()):
+            waits[after] -= 1
+            if not waits[after]:
+                heapq.heappush(free, after)
+    return order
+
+
+def _rank(at: int | None, line: int | None, delivery: int | None) -> tuple:
+    """A place as a tuple that sorts as Spark does: what is missing comes first."""
+    return (at is not None, at or 0, line is not None, line or 0, delivery is not None, delivery or 0)
+
+
+class _Graph:
+    """One part of a session's reply graph, its turns in order of their places."""
+
+    def __init__(self, session: str) -> None:
+        self.session = session
+        self.places: list[tuple] = []
+        self.messages: list[str] = []
+        self.acts: list[str | None] = []
+        self.edges: list[tuple[tuple, int]] = []  # place of the source, number of the target
+
+    def walked(self) -> tuple[list[int], tuple]:
+        """Kahn's order of the part and its summary: turns, whether it is broken, opening, first and last act."""
+        n, number = len(self.places), {place: k for k, place in enumerate(self.places)}
+        inner = []
+        for src, dst in self.edges:
+            k = number.get(src)
+            if k is None:  # in another part: free already if that is an earlier one, else waits for good
+                if src < self.places[0]:
+                    continue
+                k = dst
+            inner.append((k, dst))
+        order = kahn_order(n, inner)
+        broken = len(order) < n or any(a > b for a, b in zip(order, order[1:]))
+        acts = [a for a in map(self.acts.__getitem__, order) if a]
+        broken = broken or any(a == b == "prompt" for a, b in zip(acts, acts[1:]))
+        return order, (n, broken, self.acts[0] or "", acts[0] if acts else None, acts[-1] if acts else None)
+
+
+def _sort_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts the graphs of one range partition.  Graphs inside it are judged here; its first and last may go on in the parts
+    before and after, so all their turns come out (with ``part``), and a row of number 0 with the summary."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    columns: list[list] = [[] for _ in range(9)]
+
+    def put(graph: _Graph, edge_of_part: bool) -> None:
+        order, (n, broken, opening, first, last) = graph.walked()
+        if edge_of_part:
+            rows = [(graph.session, 0, None, part, n, broken, opening, first, last)]
+            rows += [(graph.session, k, graph.messages[i], part, None, None, None, None, None) for k, i in enumerate(order, 1)]
+        elif broken or opening != "prompt" or last == "prompt":
+            return
+        else:
+            rows = [(graph.session, k, graph.messages[i], None, None, None, None, None, None) for k, i in enumerate(order, 1)]
+        for column, values in zip(columns, zip(*rows)):
+            column.extend(values)
+
+    def flush() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string())
+        names = [f.split()[0] for f in SORTED.split(", ")]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        for c in columns:
+            c.clear()
+        return batch
+
+    graph, first = None, True
+    for batch in batches:
+        rows = batch.to_pydict()
+        for session, at, line, delivery, message, act, src_at, src_line, src_delivery, step in zip(*(rows[c] for c in GRAPH)):
+            if graph is None or session != graph.session:
+                if graph is not None:
+                    put(graph, first)
+                    first = False
+                graph = _Graph(session)
+            if step:
+                graph.edges.append((_rank(src_at, src_line, src_delivery), len(graph.places) - 1))
+            else:
+                graph.places.append(_rank(at, line, delivery))
+                graph.messages.append(message)
+                graph.acts.append(act)
+        if len(columns[0]) > 20_000:
+            yield flush()
+    if graph is not None:
+        put(graph, True)
+    yield flush()
+
+
+def _joined_parts(rows: DataFrame) -> DataFrame:
+    """Whole sessions as they are, and those that meet the edge of a part if all their parts together make one."""
+    whole = rows.where("part is null").select("session_id", "turn_no", "message_id")
+    summary = rows.where("turn_no = 0")  # at most two rows a part
     over = Window.partitionBy("session_id").orderBy("part")
     later = Window.partitionBy("session_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumns({
-        "before": F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "before": F.coalesce(F.sum("turns").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "next_act": F.last("first_act", ignorenulls=True).over(later),
     })
-    bad = F.col("unanswered") | ((F.col("last_act") == "prompt") & F.coalesce(F.col("next_act") != "reply", F.lit(True))) | ((F.col("before") == 0) & (F.col("opening") != "prompt"))
-    judged = summary.withColumn("bad", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy("session_id"))).where("not bad")
-    offsets = judged.join(faulty, "session_id", "left_anti").select("session_id", "part", "start", "before")
-    return ranged.df.join(offsets, ["session_id", "part"]).select(
-        "session_id", (F.col("at_row") - F.col("start") + F.col("before") + 1).alias("turn_no"), "message_id"
-    )
+    unanswered = (F.col("last_act") == "prompt") & F.coalesce(F.col("next_act") != "reply", F.lit(True))
+    bad = F.col("broken") | F.coalesce(unanswered, F.lit(False)) | ((F.col("before") == 0) & (F.col("opening") != "prompt"))
+    judged = summary.withColumn("bad", F.max(bad).over(Window.partitionBy("session_id"))).where("not bad").select("session_id", "part", "before")
+    cut = rows.where("part is not null and turn_no > 0").select("session_id", "part", "turn_no", "message_id").join(judged, ["session_id", "part"])
+    return whole.unionByName(cut.select("session_id", (F.col("turn_no") + F.col("before")).alias("turn_no"), "message_id"))

@@ -75,13 +75,13 @@ def sample():
     return log
 
 
-@pytest.mark.parametrize("hot", [200_000, 1, 3])
-def test_whole_conversations_only(spark, hot):
-    assert sample().run(spark, hot_session=hot) == {"ok": ["m1", "m2", "m3", "m4"], "aside": ["m32", "m35"]}
+@pytest.mark.parametrize("parts", [1, 2, 7, 60])
+def test_whole_conversations_only(spark, parts):
+    assert sample().run(spark, parts=parts) == {"ok": ["m1", "m2", "m3", "m4"], "aside": ["m32", "m35"]}
 
 
-@pytest.mark.parametrize("hot", [200_000, 1])
-def test_times_ties_and_copies(spark, hot):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_times_ties_and_copies(spark, parts):
     log = Log()
     same = T0 + timedelta(hours=1)
     log.add("s", "assistant", ("text", "b"), at=same, line=9)
@@ -90,7 +90,7 @@ def test_times_ties_and_copies(spark, hot):
     log.add("s", "assistant", ("text", "d"), at=same, line=12)
     log.add("s", "system", at=T0, line=5)
     log.add("s", "user", ("text", "x"), line=1, message="m1", at=T0)  # a copy of m1 that arrived with fewer tokens
-    assert log.run(spark, hot_session=hot) == {"s": ["m2", "m1", "m3", "m4"]}
+    assert log.run(spark, parts=parts) == {"s": ["m2", "m1", "m3", "m4"]}
 
 
 def test_only_the_kept_copy_speaks(spark):
@@ -110,42 +110,67 @@ def test_earlier_times_cross_blocks(spark):
     assert got == {("p", 3000): at(6), ("p", 9001): at(9), ("q", 4): None, ("p", 5): None}
 
 
-def kahn_leftover(edges):
-    edges = set(edges)
-    while True:
-        targets = {b for _, b in edges}
-        rest = {(a, b) for a, b in edges if a in targets}
-        if rest == edges:
-            return bool(edges)
-        edges = rest
+def leftover(nodes, edges):
+    """Nodes on or behind a cycle, by taking away free nodes until none is left."""
+    left = set(range(nodes))
+    while free := {n for n in left if not any(a in left and b == n for a, b in edges)}:
+        left -= free
+    return left
 
 
-def test_cycles_match_kahn(spark):
+def test_kahn_order():
     rng = random.Random(1)
-    rows, want = [], set()
-    for s in range(40):
-        edges = [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(9))]
-        if kahn_leftover(edges):
-            want.add(str(s))
-        rows += [(str(s), a, b, a < b) for a, b in edges]
-    found = C.reply_cycles(spark.createDataFrame(rows, "session_id string, src long, dst long, forward boolean"))
-    assert {r["session_id"] for r in found.collect()} == want and want
-
-
-def test_long_chain_has_no_cycle(spark):
-    chain = spark.range(300).selectExpr("'s' session_id", "id src", "id + 1 dst", "true forward")
-    found = C.reply_cycles(chain, rounds=4)
-    assert found is None or found.count() == 0
-
-
-@pytest.mark.parametrize("hot", [200_000, 50])
-def test_hot_session(spark, hot):
+    cycles = 0
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(9))]
+        order, rest = C.kahn_order(n, edges), leftover(n, edges)
+        cycles += bool(rest)
+        assert sorted(order) == sorted(set(range(n)) - rest)
+        place = {v: k for k, v in enumerate(order)}
+        for k, v in enumerate(order):  # the smallest node that was free
+            free = [m for m in order[k:] if all(place[a] < k for a, b in edges if b == m)]
+            assert v == min(free)
+    assert cycles > 30
+
+
+def test_long_chain():
+    assert C.kahn_order(5000, [(i, i + 1) for i in range(4999)]) == list(range(5000))
+
+
+def test_order_and_drops_come_from_kahn(spark, monkeypatch):
+    """Without the algorithm, sessions whose calls and results form a cycle or run back would stay."""
+    whole = sample().run(spark)
+    monkeypatch.setattr(C, "kahn_order", lambda nodes, edges: list(range(nodes)))
+    assert {"cycle", "open", "orphan", "same", "nameless"} <= set(sample().run(spark)) - set(whole)
+    monkeypatch.setattr(C, "kahn_order", lambda nodes, edges: list(range(nodes))[::-1])
+    assert sample().run(spark) != whole
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_repeated_tool_ids(spark, parts):
+    rng = random.Random(7)
+    log, want = Log(), {}
+    for s in range(60):
+        name = f"s{s:02d}"
+        log.add(name, "user", ("text", "t"))
+        turns = [(kind, rng.choice("xy")) for kind in rng.choices(("tool_use", "tool_result"), k=rng.randrange(7))]
+        for kind, tool in turns:
+            log.add(name, "assistant" if kind == "tool_use" else "user", (kind, tool))
+        log.add(name, "assistant", ("text", "t"))
+        calls, results = ([(i, t) for i, (k, t) in enumerate(turns) if k == kind] for kind in ("tool_use", "tool_result"))
+        want[name] = all(any(j > i and u == t for j, u in results) for i, t in calls) and all(any(j < i and u == t for j, u in calls) for i, t in results)
+    assert set(log.run(spark, parts=parts)) == {n for n, w in want.items() if w} and 5 < sum(want.values()) < 55
+
+
+@pytest.mark.parametrize("parts", [1, 2, 9])
+def test_hot_session(spark, parts):
     log = Log()
     for i in range(150):
         log.add("hot", "user" if i % 2 == 0 else "assistant", ("text", "t"))
         if i % 30 == 0:
             log.add(f"s{i}", "user", ("text", "t"))
-    got = log.run(spark, hot_session=hot)
+    got = log.run(spark, parts=parts)
     assert list(got) == ["hot"] and got["hot"] == [f"m{d}" for d, *_ in log.messages if _[1] == "hot"]
 
 
