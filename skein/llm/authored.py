@@ -45,8 +45,8 @@ class Layout:
     dense_whitespace: float = 0.12  # a head line that long with less white space is packed
     statement_share: float = 0.025  # ';', '{' and '}' a character in a packed head
     numbers: float = 0.08  # numeric literals a character
-    alphanumeric: float = 0.85  # a head with more, and with hardly any white space, is an encoded run
-    unbroken_whitespace: float = 0.04
+    alphanumeric: float = 0.85  # a head with more, and with a stretch without white space that long, is an encoded run
+    unbroken: int = 60
     encoded_run: int = 40  # characters of hexadecimal or base64 without a break
 
 
@@ -70,7 +70,7 @@ def layout_statistics(head: Column) -> dict[str, Column]:
     share = lambda kept: F.when(size > 0, F.length(F.regexp_replace(text, kept, "")) / size).otherwise(0.0)
     many = lambda pattern: F.when(size > 0, F.regexp_count(text, F.lit(pattern)) / size).otherwise(0.0)
     lengths = F.transform(F.split(text, "\n"), lambda line: F.length(line))
-    runs = F.regexp_extract_all(text, F.lit(ENCODED), 1)
+    longest = lambda pattern: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda r: F.length(r))), F.lit(0))
     return {
         "longest_line": F.array_max(lengths),
         "mean_line": F.when(size > 0, size / F.size(lengths)).otherwise(0.0),
@@ -78,7 +78,8 @@ def layout_statistics(head: Column) -> dict[str, Column]:
         "alphanumeric": share(r"[^\p{L}\p{N}]"),
         "numbers": F.when(size > 0, F.size(F.filter(F.regexp_extract_all(text, F.lit(r"([\w.]+)"), 1), lambda w: w.rlike(NUMBER))) / size).otherwise(0.0),
         "statements": many(r"[;{}]"),
-        "encoded_run": F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)),
+        "encoded_run": longest(ENCODED),
+        "unbroken": longest(r"(\S+)"),
     }
 
 
@@ -90,13 +91,14 @@ def _limit(language: Column, field: str) -> Column:
 
 
 def file_origins(files: DataFrame, heads: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, origin): generated, bundled, vendored, data or written, one row per file id.
+    """(file_id, origin, evidence): generated, bundled, vendored, data or written, one row per file id.
 
-    Evidence, strongest first: directories and names that package managers, generators and bundlers use (whole path
-    components and name endings only); the line a generator or a release banner opens a file with; layout statistics of
-    the head and the bytes a line of the whole file against thresholds per language; and, where neither head nor
-    lengths are known, a size that hand-written code never has without one declaration.  A file with no evidence is
-    written by hand, also when every column but its id is missing.
+    ``layout`` is looked at first: statistics of the head and the bytes a line of the whole file against thresholds per
+    language, and, where neither head nor lengths are known, a size that hand-written code never has without one
+    declaration.  Generated and vendored code is often laid out as code by hand is, which no threshold can tell; what
+    layout leaves is found by its ``path`` (whole components and name endings that package managers, generators and
+    bundlers use) or the ``marker`` line that a generator or a release opens a file with.  A file with no evidence is
+    written by hand, also when every column but its id is missing; its evidence is null.
 
     Files written twice count once (the row indexed last); files without an id give no row.  Heads: the longest of
     repeated rows counts.
@@ -122,25 +124,21 @@ def file_origins(files: DataFrame, heads: DataFrame, symbols: DataFrame) -> Data
     over = lambda field, column: F.coalesce(F.col(column) > _limit(F.col("language"), field), F.lit(False))
     dense = over("mean_line", "line_bytes")
     packed = over("longest_line", "h_longest_line") & (F.col("h_whitespace") < _limit(F.col("language"), "dense_whitespace")) & over("statement_share", "h_statements")
-    encoded = over("encoded_run", "h_encoded_run") | over("numbers", "h_numbers") | (
-        over("alphanumeric", "h_alphanumeric") & (F.col("h_whitespace") < _limit(F.col("language"), "unbroken_whitespace"))
+    encoded = over("encoded_run", "h_encoded_run") | over("numbers", "h_numbers") | (over("alphanumeric", "h_alphanumeric") & over("unbroken", "h_unbroken"))
+    barren = (F.col("declared") == 0) & F.col("headless") & (
+        F.coalesce(F.col("byte_size") >= BARREN_BYTES, F.lit(False)) | F.coalesce(F.col("line_count") >= BARREN_LINES, F.lit(False))
     )
-    barren = (F.col("declared") == 0) & (F.coalesce(F.col("byte_size") >= BARREN_BYTES, F.lit(False)) | (F.coalesce(F.col("line_count") >= BARREN_LINES, F.lit(False))))
-    head = F.coalesce("head", F.lit(""))
-    origin = (
-        F.when(F.col("vendor_dir"), "vendored")
-        .when(F.col("path").rlike(OUTPUT_PATH) | F.col("path").rlike(GENERATED_NAME) | head.rlike(GENERATOR_LINE), "generated")
-        .when(F.col("path").rlike(BUNDLE_NAME), "bundled")
-        .when(head.rlike(BANNER_LINE) | F.col("path").rlike(rf"(^|/){RELEASE_NAME}") | (F.col("headless") & F.col("copies").isNotNull()), "vendored")
-        .when(packed, "bundled")
-        .when(encoded, "data")
-        .when(dense & (F.col("declared") > 0), "bundled")
-        .when(dense | (barren & F.col("headless")), "data")
-        .otherwise("written")
+    head, path = F.coalesce("head", F.lit("")), F.col("path")
+    by_layout = F.when(packed, "bundled").when(encoded, "data").when(dense & (F.col("declared") > 0), "bundled").when(dense | barren, "data")
+    by_path = (
+        F.when(F.col("vendor_dir"), "vendored").when(path.rlike(OUTPUT_PATH) | path.rlike(GENERATED_NAME), "generated").when(path.rlike(BUNDLE_NAME), "bundled")
+        .when(path.rlike(rf"(^|/){RELEASE_NAME}") | (F.col("headless") & F.col("copies").isNotNull()), "vendored")
     )
-    return rows.select("file_id", origin.alias("origin"))
+    by_marker = F.when(head.rlike(GENERATOR_LINE), "generated").when(head.rlike(BANNER_LINE), "vendored")
+    evidence = F.when(by_layout.isNotNull(), "layout").when(by_path.isNotNull(), "path").when(by_marker.isNotNull(), "marker")
+    return rows.select("file_id", F.coalesce(by_layout, by_path, by_marker, F.lit("written")).alias("origin"), evidence.alias("evidence"))
 
 
 def not_written_here(files: DataFrame, heads: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_id): files that nobody wrote by hand in their project."""
-    return file_origins(files, heads, symbols).where("origin <> 'written'").select("file_id")
+    return file_origins(files, heads, symbols).where("evidence is not null").select("file_id")

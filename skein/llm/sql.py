@@ -100,13 +100,14 @@ l AS (
     CASE WHEN size > 0 THEN length(regexp_replace(head, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / size ELSE 0 END AS alnum,
     CASE WHEN size > 0 THEN len(list_filter(regexp_extract_all(head, '[\\w.]+'), lambda w: regexp_matches(w, {_quoted(A.NUMBER)}))) / size ELSE 0 END AS numbers,
     CASE WHEN size > 0 THEN len(regexp_extract_all(head, '[;{{}}]')) / size ELSE 0 END AS statements,
-    coalesce(list_max(list_transform(regexp_extract_all(head, {_quoted(A.ENCODED)}, 1), lambda x: length(x))), 0) AS run
+    coalesce(list_max(list_transform(regexp_extract_all(head, {_quoted(A.ENCODED)}, 1), lambda x: length(x))), 0) AS run,
+    coalesce(list_max(list_transform(regexp_extract_all(head, '\\S+'), lambda x: length(x))), 0) AS unbroken
   FROM r)
 SELECT file_id FROM l
 WHERE vendor_dir OR regexp_matches(path, {_quoted(A.OUTPUT_PATH)}) OR regexp_matches(path, {_quoted(A.GENERATED_NAME)}) OR regexp_matches(head, {_quoted(A.GENERATOR_LINE)})
   OR regexp_matches(path, {_quoted(A.BUNDLE_NAME)}) OR regexp_matches(head, {_quoted(A.BANNER_LINE)}) OR regexp_matches(path, {_quoted("(^|/)" + A.RELEASE_NAME)})
   OR (headless AND packaged) OR run > {_limit('encoded_run')} OR numbers > {_limit('numbers')}
-  OR (alnum > {_limit('alphanumeric')} AND space < {_limit('unbroken_whitespace')})
+  OR (alnum > {_limit('alphanumeric')} AND unbroken > {_limit('unbroken')})
   OR (longest > {_limit('longest_line')} AND space < {_limit('dense_whitespace')} AND statements > {_limit('statement_share')})
   OR coalesce(line_bytes > {_limit('mean_line')}, false)
   OR (declared = 0 AND headless AND (coalesce(byte_size >= {A.BARREN_BYTES}, false) OR coalesce(line_count >= {A.BARREN_LINES}, false)))

@@ -5,7 +5,7 @@ from skein.llm import authored as A
 WRITTEN = [
     ("src/depsolver/dist_metric.rs", "rust", 2521, 80, "use crate::a;\n// x", 5), ("lib/external_link/minified_view.swift", "swift", 6932, 266, "// Minifies nothing, only measures.\nimport D", 9),
     ("src/vendor_portal/vendor.ts", "typescript", 1234, 28, "// Writes the DO NOT EDIT banner into every output.", 2), ("tools/generators/codegen_plan.py", "python", 9000, 300, "# See notes on auto-generated ids in x.", 9),
-    ("core/big.java", "java", 391534, 11031, "import app.X;", 900), ("rebuild/a.go", "go", None, None, None, 0), ("src/generated_id/a.py", None, 100, 5, "", 0), (None, None, None, None, None, 0),
+    ("src/metrics/short.java", "java", 6030, 187, "import app.graph.loadSession;\nsaveSettingsResolver(", 10), ("core/big.java", "java", 391534, 11031, "import app.X;", 900), ("rebuild/a.go", "go", None, None, None, 0), ("src/generated_id/a.py", None, 100, 5, "", 0), (None, None, None, None, None, 0),
     ("src/t/words.py", "python", 4000, 120, "# the list of words\nWORDS = load()", 3), ("src/x.kt", "kotlin", 900, 30, "// Copyright of the watcher team.", 1),
 ]
 OTHERS = [
@@ -28,7 +28,9 @@ def frames(spark, cases):
 
 def test_origins(spark):
     cases = WRITTEN + [c[1:] for c in OTHERS]
-    got = {r["file_id"]: r["origin"] for r in A.file_origins(*frames(spark, cases)).collect()}
+    rows = A.file_origins(*frames(spark, cases)).collect()
+    got = {r["file_id"]: r["origin"] for r in rows}
+    assert {r["evidence"] for r in rows} == {None, "layout", "path", "marker"} and all((r["origin"] == "written") == (r["evidence"] is None) for r in rows)
     want = ["written"] * len(WRITTEN) + [c[0] for c in OTHERS]
     assert [(cases[i][0], got[i]) for i in range(len(cases))] == [(c[0], w) for c, w in zip(cases, want)]
     assert A.not_written_here(*frames(spark, cases)).count() == len(OTHERS)
@@ -49,3 +51,23 @@ def test_layout(spark, text, longest, space, run):
     df = spark.createDataFrame([(text,)], "h string")
     row = df.select(*[c.alias(n) for n, c in A.layout_statistics(df["h"]).items()]).first()
     assert row["longest_line"] == longest and abs(row["whitespace"] - space) < 1e-9 and row["encoded_run"] == run
+
+
+PLAIN = "src/a/b.{}"
+STATISTICS = [
+    ("mean_line", (PLAIN.format("go"), "go", 90_000, 40, "package a", 3)), ("longest_line", (PLAIN.format("js"), "javascript", None, None, "(function(){" + "a=b;c(d);" * 12 + "}", 2)),
+    ("numbers", (PLAIN.format("ts"), "typescript", None, None, "x = [ " + "11, 27, 93, 41, " * 9, 1)), ("encoded_run", (PLAIN.format("py"), "python", None, None, 'D = "' + "0a1b2c3d" * 6 + '"', 1)),
+    ("alphanumeric", (PLAIN.format("rs"), "rust", None, None, "ab0-cd1-ef2-gh3-ij4-kl5-mn6-op7-qr8-st9-uv0-wx1-yz2-ab3-cd4-ef5x" * 2, 1)),
+]
+
+
+@pytest.mark.parametrize("field, case", STATISTICS)
+def test_every_statistic_decides(spark, monkeypatch, field, case):
+    """A file that one statistic alone tells: found with its threshold, lost without."""
+    row = lambda: A.file_origins(*frames(spark, [case])).where("file_id = 0").first()
+    low = {"alphanumeric": 0.7}.get(field)
+    if low:
+        monkeypatch.setattr(A, "LAYOUTS", {"rust": A.Layout(alphanumeric=low)})
+    assert row()["evidence"] == "layout"
+    monkeypatch.setattr(A, "LAYOUTS", {case[1]: A.Layout(**{field: 10**9})})
+    assert row()["origin"] == "written"
