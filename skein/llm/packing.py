@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import math
+import os
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,20 +17,26 @@ from pyspark.sql import functions as F
 from ..session import Table, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MOST_RANK_BYTES = 64_000_000
+MOST_RUNS = 200_000  # runs of slots that are sent to every task
 # Fixed value: how this tokenizer parts a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def token_counts(documents: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) by the file of ranks at ``tokenizer``; a missing text has none.  Texts are read whole."""
+    """(doc_id, n_tokens) by the file of ranks at ``tokenizer``; a missing text has none.  Texts are read whole.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
+    The file is read by the driver and goes with the job (under ``MOST_RANK_BYTES``), so workers need not have it.
+    """
+    if os.path.getsize(tokenizer) > MOST_RANK_BYTES:
+        raise ValueError(f"{tokenizer} is too large to send to every worker")
+    with open(tokenizer, "rb") as file:
+        sent = documents.sparkSession.sparkContext.broadcast(file.read())
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, sent.value.splitlines())}
         encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             sizes = [len(encode(text.as_py())) if text.is_valid else 0 for text in batch.column(1)]
@@ -47,6 +57,10 @@ class Packing:
     def containers(self) -> int:
         return sum(m for m, _ in self.patterns)
 
+    @property
+    def proven(self) -> bool:
+        return self.containers == self.lower_bound
+
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     """The larger of total size over capacity and the bound that leaves out what can't share with a large item."""
@@ -63,111 +77,169 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(left: dict[int, int], room: int, *, most: int, nodes: int) -> list[dict[int, int]]:
-    """Undominated fillings of ``room`` with the sizes left, least waste first, at most ``most`` of them.
+def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """(waste, filling) of ``room`` by the sizes left, least waste first, each once, up to ``most_waste``.
 
-    Sizes are tried from the largest, so a filling is met before those that only replace one of its items by smaller
-    ones that fit in its place; a filling that leaves room for a further item left is not one.  The best-fit filling
-    is the first incumbent; a branch ends when even all smaller items can't lessen the waste of the worst one kept.
+    The sums that the smaller sizes can make are kept as bits, so no branch is followed that can't end in the waste
+    looked for, and nothing is listed before it is asked for.
     """
     sizes = sorted((s for s in left if s <= room), reverse=True)
-    if not sizes:
-        return [{}]
-    tail = [0] * (len(sizes) + 1)
-    for i in range(len(sizes) - 1, -1, -1):
-        tail[i] = tail[i + 1] + sizes[i] * left[sizes[i]]
-    kept: list[tuple[int, int, dict[int, int]]] = []
-    budget = nodes
-
-    def add(waste: int, chosen: dict[int, int]) -> None:
-        kept.append((waste, len(kept), dict(chosen)))
-        kept.sort(key=lambda x: x[:2])
-        del kept[most:]
-
-    stack: list[tuple[int, int, dict[int, int]]] = [(0, room, {})]
-    while stack and budget > 0:
-        i, space, chosen = stack.pop()
-        budget -= 1
-        while i < len(sizes) and sizes[i] > space:
-            i += 1
-        if i == len(sizes) or space == 0:
-            add(space, chosen)
-            if len(kept) == most and kept[-1][0] == 0:
-                break
-            continue
-        if len(kept) == most and max(0, space - tail[i]) >= kept[-1][0]:
+    whole = (1 << (room + 1)) - 1
+    sums = [1]
+    for size in reversed(sizes):
+        bits, copies, step = sums[-1], min(left[size], room // size), 1
+        while copies > 0:
+            bits |= (bits << size * min(step, copies)) & whole
+            copies, step = copies - step, step * 2
+        sums.append(bits)
+    sums.reverse()  # sums[i]: of the sizes from i on
+    for waste in range(min(most_waste, room) + 1):
+        todo = [(0, room - waste, ())] if sums[0] >> room - waste & 1 else []
+        while todo:
+            i, need, chosen = todo.pop()
+            if need == 0:
+                yield waste, dict(chosen)
+                continue
+            size = sizes[i]
+            for n in range(min(left[size], need // size) + 1):  # the last pushed, with most of the largest, comes first
+                if sums[i + 1] >> need - n * size & 1:
+                    todo.append((i + 1, need - n * size, (*chosen, (size, n)) if n else chosen))
+
+
+def dominated(filling: dict[int, int], left: dict[int, int], room: int) -> bool:
+    """Whether an item not in the filling could take the place of some smaller ones in it, or of none, and still fit.
+
+    Any packing with such a filling can be turned into one without it, since what is put out fits where the item was.
+    """
+    slack = room - sum(s * n for s, n in filling.items())
+    smaller, sums = sorted(filling.items(), reverse=True), 1
+    for size in sorted(left):
+        if size > room:
+            break
+        while smaller and smaller[-1][0] < size:
+            own, n = smaller.pop()
+            for _ in range(n):
+                sums |= sums << own
+        if left[size] > filling.get(size, 0) and (sums & (1 << size + 1) - 1) >> max(0, size - slack):
+            return True
+    return False
+
+
+def completions(left: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[tuple[int, dict[int, int]]]:
+    """(waste, filling): the undominated fillings of ``room``, least waste first."""
+    for waste, filling in fillings(left, room, room if most_waste is None else most_waste):
+        if not dominated(filling, left, room):
+            yield waste, filling
+
+
+def _without(left: dict[int, int], pattern: dict[int, int], times: int = 1) -> dict[int, int]:
+    return {s: rest for s, n in left.items() if (rest := n - times * pattern.get(s, 0))}
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Patterns that take the largest item, then always the largest that still fits, as often as the counts allow."""
+    left, sizes, patterns = dict(histogram), sorted(histogram), []
+    while sizes:
+        room, chosen, k = capacity, {}, len(sizes) - 1
+        while k >= 0:
+            size = sizes[k]
+            if n := min(left[size], room // size):
+                chosen[size], room = n, room - n * size
+            k = min(k, bisect_right(sizes, room)) - 1
+        times = min(left[s] // n for s, n in chosen.items())
+        left = _without(left, chosen, times)
+        for size in chosen.keys() - left.keys():
+            del sizes[bisect_right(sizes, size) - 1]
+        patterns.append((times, chosen))
+    return patterns
+
+
+class Unsettled(Exception):
+    """The search has used its steps before it found a packing or proved that there is none."""
+
+
+def packed_in(histogram: dict[int, int], capacity: int, containers: int, *, steps: Iterator | None = None, look: int = 128) -> list[tuple[int, dict[int, int]]] | None:
+    """Patterns that pack everything into ``containers`` containers, or None where there is no way to.
+
+    Takes one of ``steps`` for each branch and raises ``Unsettled`` when there are none left; without steps it is exact.
+    Depth-first.  What the containers hold beyond the items is the waste allowed; a branch ends when its fillings have
+    used it up, and what is left over is remembered with the waste at which it couldn't be packed.  Each step goes around
+    the largest item or, when no more than ``look`` sizes are left, around the largest of those with the fewest fillings
+    (which only decides how soon the end is reached), and uses a filling as often as counts and waste allow, then once.
+    """
+    waste = containers * capacity - sum(s * n for s, n in histogram.items())
+    if waste < 0:
+        return None
+    hopeless: dict[frozenset, int] = {}
+
+    def around(left: dict[int, int], allowed: int) -> int | None:
+        fewest, chosen = math.inf, max(left)
+        for size in sorted(left, reverse=True) if len(left) <= look else ():
+            ways = sum(1 for _ in islice(fillings(_without(left, {size: 1}), capacity - size, allowed), min(fewest, 6)))
+            if ways < fewest:
+                fewest, chosen = ways, size
+        return chosen if fewest else None
+
+    def branches(left: dict[int, int], allowed: int) -> Iterator[tuple[tuple[int, dict[int, int]], dict[int, int], int]]:
+        size = around(left, allowed)
+        if size is None:
+            return
+        for lost, filling in completions(_without(left, {size: 1}), capacity - size, allowed):
+            pattern = {**filling, size: filling.get(size, 0) + 1}
+            times = min(left[s] // n for s, n in pattern.items())
+            times = min(times, allowed // lost) if lost else times
+            for t in dict.fromkeys((times, 1)):
+                yield (t, pattern), _without(left, pattern, t), allowed - t * lost
+
+    path: list[tuple[int, dict[int, int]]] = []
+    open_nodes = [(branches(histogram, waste), frozenset(histogram.items()), waste)]
+    while open_nodes:
+        following, key, allowed = open_nodes[-1]
+        branch = next(following, None)
+        if branch is None:
+            hopeless[key] = max(hopeless.get(key, -1), allowed)
+            open_nodes.pop()
+            del path[len(open_nodes) - 1 if open_nodes else 0 :]
             continue
-        fits = min(left[sizes[i]], space // sizes[i])
-        least_after = sizes[-1]
-        for n in range(0, fits + 1):  # the last pushed, with most of the largest size, is looked at first
-            after = space - n * sizes[i]
-            if n < fits and i + 1 == len(sizes) and after >= least_after:
-                continue  # dominated: one more would fit
-            stack.append((i + 1, after, {**chosen, sizes[i]: n} if n else chosen))
-    return [c for _, _, c in kept] or [_best_fit(left, sizes, room)]
-
-
-def _best_fit(left: dict[int, int], sizes: list[int], room: int) -> dict[int, int]:
-    chosen = {}
-    for s in sizes:
-        if n := min(left[s], room // s):
-            chosen[s], room = n, room - n * s
-    return chosen
-
-
-def _apply(left: dict[int, int], pattern: dict[int, int]) -> tuple[int, dict[int, int]]:
-    times = min(left[s] // n for s, n in pattern.items())
-    after = dict(left)
-    for s, n in pattern.items():
-        after[s] -= n * times
-        if not after[s]:
-            del after[s]
-    return times, after
-
-
-def bin_completion(histogram: dict[int, int], capacity: int, *, branches: int = 4, nodes: int = 3_000, steps: int = 12_000) -> Packing:
+        if steps is not None and next(steps, None) is None:
+            raise Unsettled
+        step, after, allowed = branch
+        if not after:
+            return [*path, step]
+        key = frozenset(after.items())
+        if hopeless.get(key, -1) < allowed:
+            path.append(step)
+            open_nodes.append((branches(after, allowed), key, allowed))
+    return None
+
+
+def bin_completion(histogram: dict[int, int], capacity: int, *, steps: int | None = 3_000) -> Packing:
     """Packs ``histogram`` (items by size) into as few containers as the search finds.
 
-    Depth-first branch and bound.  Each step takes the largest item left, lists the undominated fillings around it
-    (``completions``) and follows the one with least waste, as many times over as the counts allow; other branches
-    wait.  A branch is cut when its containers and the lower bound of what is left can't beat the best packing known,
-    which starts as best-fit decreasing.  A second search also uses each filling only once before it looks again, so any
-    number of times can be met.  Each search ends at the lower bound (proven best) or after ``steps`` steps.
+    Best-fit decreasing is the incumbent.  Where it takes more containers than the lower bound, bin completion looks for
+    a packing in as many as the bound (``packed_in``); a number shown to be impossible raises the bound by one.  Packing is
+    NP-hard: without an answer within half of ``steps`` the search goes on from above instead, with one container less than
+    the incumbent each time, until the steps are used up.  ``proven`` tells whether fewer containers are impossible; with
+    ``steps=None`` the search is exact, however long it takes.  Every item is packed either way.
     The work depends on the number of different sizes, at most ``capacity``, not on the number of items.
     """
     histogram = {int(s): int(n) for s, n in histogram.items() if s > 0 and n > 0}
-    best = Packing(lower_bound=lower_bound(histogram, capacity))
-    left, patterns = histogram, []
-    while left:
-        largest = max(left)
-        chosen = {largest: 1}
-        rest = {s: n - (s == largest) for s, n in left.items() if n - (s == largest)}
-        for s, n in _best_fit(rest, sorted((s for s in rest if s <= capacity - largest), reverse=True), capacity - largest).items():
-            chosen[s] = chosen.get(s, 0) + n
-        times, left = _apply(left, chosen)
-        patterns.append((times, chosen))
-    best.patterns = patterns
-    for once in (False, True):
-        stack, more = [(histogram, [], 0)], steps
-        while stack and more > 0 and best.containers > best.lower_bound:
-            left, patterns, used = stack.pop()
-            if not left:
-                if used < best.containers:
-                    best.patterns = patterns
-                continue
-            if used + math.ceil(sum(s * n for s, n in left.items()) / capacity) >= best.containers:
-                continue
-            more -= 1
-            largest = max(left)
-            rest = {s: n - (s == largest) for s, n in left.items() if n - (s == largest)}
-            for filling in reversed(completions(rest, capacity - largest, most=branches, nodes=nodes)):
-                pattern = dict(filling)
-                pattern[largest] = pattern.get(largest, 0) + 1
-                times, after = _apply(left, pattern)
-                if once and times > 1:
-                    single = {s: n - pattern.get(s, 0) for s, n in left.items() if n > pattern.get(s, 0)}
-                    stack.append((single, [*patterns, (1, pattern)], used + 1))
-                stack.append((after, [*patterns, (times, pattern)], used + times))
+    best = Packing(best_fit_decreasing(histogram, capacity), lower_bound(histogram, capacity))
+    below, above = (None, None) if steps is None else (iter(range(steps // 2)), iter(range(steps - steps // 2)))
+    try:
+        while best.containers > best.lower_bound:
+            patterns = packed_in(histogram, capacity, best.lower_bound, steps=below)
+            if patterns is None:
+                best.lower_bound += 1
+            else:
+                best.patterns = patterns
+    except Unsettled:
+        try:
+            while best.containers > best.lower_bound and (patterns := packed_in(histogram, capacity, best.containers - 1, steps=above)):
+                best.patterns = patterns
+            best.lower_bound = best.containers
+        except Unsettled:
+            pass
     return best
 
 
@@ -183,8 +255,8 @@ def pack_items(items: DataFrame, *, capacity: int, group: int = 100_000) -> tupl
     """``items`` with a ``container_id`` from 1, and the packing; items of size 0 take no container (null).
 
     Only the histogram of sizes goes to the driver: at most ``capacity`` rows, whatever the number of items.  Its
-    packing comes back as runs of slots (broadcast; at most a few per size and pattern), and an item takes the slot of
-    its number among the items of its size.  Numbers are given within groups of about ``group`` items of a size, after
+    packing comes back as runs of slots (broadcast up to ``MOST_RUNS``, else joined by size), and an item takes the slot
+    of its number among the items of its size.  Numbers are given within groups of about ``group`` items of a size, after
     a count per group, so that a size held by a third of all items spreads.
     """
     histogram = {r["size"]: r["n"] for r in items.where("size > 0").groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -205,7 +277,8 @@ def pack_items(items: DataFrame, *, capacity: int, group: int = 100_000) -> tupl
     slots = items.sparkSession.createDataFrame(runs, "slot_size long, low long, high long, first_container long, each long")
     inside = (F.col("size") == F.col("slot_size")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
     container_id = (F.col("first_container") + F.floor((F.col("number") - F.col("low")) / F.col("each"))).cast("long")
-    return numbered.join(F.broadcast(slots), inside, "left").select(*items.columns, container_id.alias("container_id")), packing
+    slots = F.broadcast(slots) if len(runs) <= MOST_RUNS else slots
+    return numbered.join(slots, inside, "left").select(*items.columns, container_id.alias("container_id")), packing
 
 
 def packed_documents(documents: DataFrame, *, capacity: int = 2048, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 import os
 import random
@@ -39,15 +40,63 @@ def test_small_packings_are_optimal():
             assert sum(s * n for s, n in pattern.items()) <= capacity
             used.update({s: n * times for s, n in pattern.items()})
         assert used == Counter(sizes)
-        assert packing.lower_bound <= packing.containers == optimum(sizes, capacity)
+        assert packing.proven and packing.lower_bound <= packing.containers == optimum(sizes, capacity)
 
 
-def test_completions_find_exact_fills():
-    assert K.completions({5: 1, 4: 1, 3: 2, 2: 1}, 6, most=3, nodes=500)[0] in ({4: 1, 2: 1}, {3: 2})
-    assert K.completions({}, 6, most=3, nodes=10) == [{}]
+def undominated(left, room):
+    """Fillings of which no part can be put out for one item that fits in its place, by trying all."""
+    items = sorted(Counter(left).elements())
+    every = {tuple(sorted(c)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+
+    def better(f):
+        rest = Counter(items) - Counter(f)
+        parts = {p for k in range(len(f) + 1) for p in itertools.combinations(f, k)}
+        return any(sum(p) <= x <= sum(p) + room - sum(f) and p != (x,) for x in rest for p in parts)
+
+    return {f for f in every if not better(f)}
+
+
+def test_completions_are_the_undominated_fillings():
+    rng = random.Random(3)
+    for _ in range(150):
+        left = Counter(rng.randint(1, 9) for _ in range(rng.randrange(8)))
+        room = rng.randint(1, 20)
+        found = list(K.completions(left, room))
+        assert [w for w, _ in found] == sorted(w for w, _ in found) and all(w == room - sum(s * n for s, n in f.items()) for w, f in found)
+        assert sorted(tuple(sorted(Counter(f).elements())) for _, f in found) == sorted(undominated(left, room))
+    assert [f for _, f in K.completions({5: 1, 3: 1, 2: 2}, 5)] == [{5: 1}]
     assert K.bin_completion({}, 10).containers == 0
 
 
+def triplets(n, capacity, seed):
+    rng, items = random.Random(seed), []
+    for _ in range(n // 3):
+        a = rng.randint(int(0.38 * capacity), int(0.49 * capacity))
+        b = rng.randint(capacity // 4, (capacity - a) // 2)
+        items += [a, b, capacity - a - b]
+    return Counter(items)
+
+
+@pytest.mark.parametrize("n, seed", [(60, 0), (60, 1), (120, 0), (120, 1), (120, 2)])
+def test_exact_triplets_need_the_search(n, seed):
+    sizes = triplets(n, 2048, seed)
+    assert sum(t for t, _ in K.best_fit_decreasing(sizes, 2048)) > n // 3
+    packing = K.bin_completion(sizes, 2048)
+    used = Counter()
+    for times, pattern in packing.patterns:
+        assert sum(s * c for s, c in pattern.items()) == 2048
+        used.update({s: c * times for s, c in pattern.items()})
+    assert used == sizes and packing.containers == n // 3 and packing.proven
+
+
+def test_steps_end_the_search_but_no_item_is_lost():
+    sizes = triplets(120, 2048, 0)
+    packing = K.bin_completion(sizes, 2048, steps=5)
+    assert not packing.proven and packing.containers > 40
+    assert sum(t * sum(p.values()) for t, p in packing.patterns) == 120
+    assert K.packed_in({6: 3, 5: 1}, 10, 3) is None and K.packed_in({6: 3, 4: 1}, 10, 3) == [(1, {4: 1, 6: 1}), (2, {6: 1})]
+
+
 def test_large_histograms_come_near_the_bound():
     rng = random.Random(2)
     sizes = Counter(min(2048, max(1, int(rng.lognormvariate(4.6, 1.0)))) for _ in range(20_000))
