@@ -8,39 +8,30 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import Table, spread
 
 # Cyrillic, Greek and Latin letters that look like basic Latin ones, and digits and signs used for letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмнтвгпԛԝӏοανρτυιɑɡı", "aeopcyxijsdhkmhtbrnqwloavptuiagi")
 LEET = str.maketrans("013457@$!+", "oieastasit")
 LEET_L = str.maketrans("013457@$!+", "oleastaslt")
-# Words of abuse in the three languages, used as prior evidence where labels are few.
-SEED_WORDS = (
-    "idiot idiots moron morons imbecile cretin halfwit dimwit dumbass stupid brainless braindead worthless loser losers scum vermin "
-    "subhuman bastard bitch whore slut asshole fuck fucking fucker cunt dickhead jerk pathetic retard retarded kill hurt naked nudes "
-    "nude porn horny sexy tits boobs undress strip lick moaned rape "
-    "idiotin dummkopf schwachkopf trottel vollidiot arschloch hurensohn schlampe wichser fresse missgeburt abschaum ungeziefer nackt "
-    "schlage verrecke "
-    "바보 멍청이 멍청 병신 쓰레기 머저리 새끼 개새끼 꺼져 죽어라 벌레 알몸 야동 섹스"
-).split()
-
 FORMAT_CHARACTERS = regex.compile(r"[\p{Cf}\p{Mn}]+")
 SPACED_OUT = re.compile(r"(?<![^\W_])[^\W\d_]([-_.+ ])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 HANGUL_GAP = re.compile(r"(?<=[가-힣])[\d.*_\-·]+(?=[가-힣])")
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!+'’][^\W_]+)*")
 ODD = re.compile(r"[^a-zäöüß가-힣]")
 STRETCHED = re.compile(r"(.)\1{2,}")
-GRAM = 3
 UNKNOWN = ""
 LIMIT = 4.0  # greatest log-odds of one position
+AT_ONCE = 200_000  # tokens scored together
+BINS = 16  # counted scores to a unit
 
 
 def plain_text(text: str) -> str:
@@ -95,195 +86,311 @@ class Speller:
 
 def segments(scores: Sequence[float]) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, start, end) in linear time, as of Ruzzo and Tompa."""
-    total = 0.0
+    scores = np.asarray(scores, dtype=float)
+    totals = np.concatenate(([0.0], np.cumsum(scores)))
     found: list[list[float]] = []  # left total, right total, start, end
-    for i, score in enumerate(scores):
-        if score > 0:
-            left, right, start = total, total + score, i
-            while found:
-                k = len(found) - 1
-                while k >= 0 and found[k][0] >= left:
-                    k -= 1
-                if k < 0 or found[k][1] >= right:
-                    break
-                left, start = found[k][0], int(found[k][2])
-                del found[k:]
-            found.append([left, right, start, i + 1])
-        total += score
+    for i in np.flatnonzero(scores > 0).tolist():
+        left, right, start = float(totals[i]), float(totals[i + 1]), i
+        while found:
+            k = len(found) - 1
+            while k >= 0 and found[k][0] >= left:
+                k -= 1
+            if k < 0 or found[k][1] >= right:
+                break
+            left, start = found[k][0], int(found[k][2])
+            del found[k:]
+        found.append([left, right, start, i + 1])
     return [(right - left, int(start), int(end)) for left, right, start, end in found]
 
 
+def best_segment(scores: np.ndarray) -> float:
+    """The score of the best segment, 0 where no position scores."""
+    return max((s for s, _, _ in segments(scores)), default=0.0) if scores.size and scores.max() > 0 else 0.0
+
+
+@dataclass
+class Grams:
+    """Numbers of the known n-grams: 0 unknown, then single words, pairs and triples, each sorted by its key.
+
+    A pair's key is made of the numbers of its words, a triple's of the place of its first pair and its last word.
+    """
+
+    numbers: dict[str, int]
+    pairs: np.ndarray
+    triples: np.ndarray
+
+    def __len__(self) -> int:
+        return 1 + len(self.numbers) + len(self.pairs) + len(self.triples)
+
+    @staticmethod
+    def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key from 1, or 0."""
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at + 1, 0)
+
+    def pair_keys(self, ids: np.ndarray) -> np.ndarray:
+        return ids[:-1] * (len(self.numbers) + 1) + ids[1:]
+
+    def triple_keys(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        return pairs[:-1] * (len(self.numbers) + 1) + ids[2:]
+
+    def ending(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each position the numbers of the word, pair and triple that end there, 0 where unknown."""
+        pairs, triples = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        if len(ids) > 1:
+            pairs[1:] = self._places(self.pairs, self.pair_keys(ids))
+        if len(ids) > 2:
+            triples[2:] = self._places(self.triples, self.triple_keys(ids, pairs[1:]))
+        words = len(self.numbers)
+        return ids, np.where(pairs > 0, pairs + words, 0), np.where(triples > 0, triples + words + len(self.pairs), 0)
+
+    def longest(self, ids: np.ndarray) -> np.ndarray:
+        one, two, three = self.ending(ids)
+        return np.where(three > 0, three, np.where(two > 0, two, one))
+
+
+class Reader(dict):
+    """Token to the number of the word it stands for, remembered as tokens are met."""
+
+    def __init__(self, speller: Speller, numbers: dict[str, int]) -> None:
+        super().__init__()
+        self.speller, self.known = speller, numbers
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        number = self[token] = self.known.get(self.speller("0" if token.isdigit() else token), 0)
+        return number
+
+
 @dataclass
 class AbuseModel:
     """Log-odds of the n-grams, and the null distribution of the best segment of a text."""
 
-    odds: dict[str, float]
+    grams: Grams
+    odds: np.ndarray
     words: list[str]
     drift: float
     rate: float = 1.0  # lambda of the extreme-value distribution
     scale: float = 1.0  # its K
-    threshold: float = 3.0  # calibrated score from which a document is reported
-    speller: Speller | None = field(default=None, repr=False)
+    threshold: float = math.inf  # calibrated score from which a document is reported
+    reader: Reader | None = field(default=None, repr=False)
 
-    def read(self, text: str) -> list[str]:
-        if self.speller is None:
-            self.speller = Speller(self.words)
-        return self.speller.all(tokens_of(text))
+    def numbered(self, text: str) -> list[int]:
+        if self.reader is None:
+            self.reader = Reader(Speller(self.words), self.grams.numbers)
+        return list(map(self.reader.__getitem__, TOKEN.findall(plain_text(text))))
 
-    def scores(self, tokens: list[str]) -> list[float]:
+    def scores(self, ids: np.ndarray) -> np.ndarray:
         """Each position by the longest n-gram ending there that the model knows, less the drift."""
-        odds, drift, out = self.odds, self.drift, []
-        unknown = odds.get(UNKNOWN, 0.0)
-        before = two_before = None
-        for t in tokens:
-            pair = f"{before} {t}"
-            s = odds.get(f"{two_before} {pair}")
-            if s is None and (s := odds.get(pair)) is None:
-                s = odds.get(t, unknown)
-            out.append(s - drift)
-            two_before, before = before, t
-        return out
+        return self.odds[self.grams.longest(ids)] - self.drift
 
     def best(self, text: str) -> tuple[float, int]:
-        tokens = self.read(text)
-        return max((s for s, _, _ in segments(self.scores(tokens))), default=0.0), len(tokens)
+        ids = np.asarray(self.numbered(text), dtype=np.int64)
+        return best_segment(self.scores(ids)), len(ids)
 
     def calibrated(self, best: float, length: int) -> float:
         """Minus the natural log of the chance that a clean text of this length has such a segment (0 or more)."""
+        if best <= 0:
+            return 0.0
         expected = math.log(self.scale * max(length, 1)) - self.rate * best
         if expected > 3:
             return 0.0
         expected = math.exp(expected)
         return -math.log(-math.expm1(-expected)) if expected > 1e-12 else -math.log(expected + 1e-300)
 
-
-def grams(tokens: Sequence[str]) -> Iterator[tuple[int, str]]:
-    for i in range(len(tokens)):
-        for n in range(1, GRAM + 1):
-            if i + 1 >= n:
-                yield i, " ".join(tokens[i + 1 - n : i + 1])
+    def batch_scores(self, texts: Iterator[str | None]) -> Iterator[float]:
+        """Calibrated scores in order; texts are numbered one by one and looked up together, some ``AT_ONCE`` tokens at a time."""
+        ids: list[int] = []
+        ends: list[int] = []
+
+        def flush() -> Iterator[float]:
+            scores = self.scores(np.asarray(ids, dtype=np.int64)) if ids else np.zeros(0)
+            start = 0
+            for end in ends:
+                yield self.calibrated(best_segment(scores[start:end]), end - start)
+                start = end + 1
+            ids.clear()
+            ends.clear()
+
+        for text in texts:
+            if text:
+                ids += self.numbered(text)
+            ends.append(len(ids))
+            ids.append(0)  # no n-gram goes across
+            if len(ids) > AT_ONCE:
+                yield from flush()
+        yield from flush()
+
+
+def _common(keys: Iterator[np.ndarray], least: int) -> np.ndarray:
+    """Sorted keys that ``least`` of the arrays hold."""
+    arrays = [np.unique(k) for k in keys]
+    found, counts = np.unique(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64), return_counts=True)
+    return found[counts >= least]
 
 
 class Fitter:
     """Fits the model on labelled texts (bounded by the caller) with a prior from the counts of the whole corpus.
 
-    A text is held as the positions and numbers of its known n-grams; an n-gram is known if two of the texts have it.
+    A text is held as the numbers of its words; an n-gram is known if ``least`` of the texts have it.
     """
 
     def __init__(self, texts: Sequence[str], marks: Sequence[bool], *, drift: float = 1.0, prior: float = 3.0, least: int = 2, rounds: int = 3, certain: float = 3.0) -> None:
         self.drift, self.prior, self.rounds, self.certain = drift, prior, rounds, certain
         raw = [tokens_of(t) for t in texts]
         self.marks = np.asarray(marks, dtype=bool)
-        counts = Counter(t for toks in raw for t in set(toks))
-        self.seeds = set(SEED_WORDS)
-        self.words = sorted({t for t, n in counts.items() if n >= 2 and len(t) > 2 and ODD.search(t) is None and STRETCHED.search(t) is None} | self.seeds)
+        counts = Counter(t for tokens in raw for t in set(tokens))
+        self.words = sorted(t for t, n in counts.items() if n >= 2 and len(t) > 2 and ODD.search(t) is None and STRETCHED.search(t) is None)
         speller = Speller(self.words)
-        self.tokens = [speller.all(toks) for toks in raw]
-        totals = Counter(g for toks in self.tokens for g in {g for _, g in grams(toks)})
-        self.known = sorted((g for g, n in totals.items() if n >= least), key=lambda g: (g.count(" "), g))
-        del totals
-        number = {g: k for k, g in enumerate(self.known)}
-        shorter = [g.partition(" ")[2] for g in self.known]
-        self.parent = np.asarray([number.get(g, -1) if g else -1 for g in shorter], dtype=np.int64)
-        self.order = np.asarray([g.count(" ") for g in self.known], dtype=np.int64)
-        self.seeded = np.asarray([g in self.seeds for g in self.known], dtype=float)
-        self.has = []
-        for toks in self.tokens:
-            pairs = [(at, number[g]) for at, g in grams(toks) if g in number]
-            self.has.append(np.asarray(pairs, dtype=np.int32).reshape(-1, 2))
+        spelled = [speller.all(tokens) for tokens in raw]
+        counts = Counter(t for tokens in spelled for t in set(tokens))
+        numbers = {t: k for k, t in enumerate(sorted(t for t, n in counts.items() if n >= least), 1)}
+        self.ids = [np.asarray([numbers.get(t, 0) for t in tokens], dtype=np.int64) for tokens in spelled]
+        none = np.zeros(0, dtype=np.int64)
+        grams = self.grams = Grams(numbers, none, none)
+        two = [(i[:-1] > 0) & (i[1:] > 0) for i in self.ids]
+        grams.pairs = _common((grams.pair_keys(i)[ok] for i, ok in zip(self.ids, two)), least)
+        three = ((i, grams._places(grams.pairs, grams.pair_keys(i))) for i in self.ids)
+        grams.triples = _common((grams.triple_keys(i, p)[(p[:-1] > 0) & (i[2:] > 0)] if len(i) > 2 else none for i, p in three), least)
+        self.ends = [np.stack(grams.ending(i)) for i in self.ids]
+        self.longest = [grams.longest(i) for i in self.ids]
+        self.distinct = [np.unique(e) for e in self.ends]
+        width, words = len(numbers) + 1, len(numbers)
+        self.parent = np.zeros(len(grams), dtype=np.int64)  # the n-gram without its first word
+        self.parent[words + 1 : words + 1 + len(grams.pairs)] = grams.pairs % width
+        middle = grams.pairs[grams.triples // width - 1] % width if len(grams.triples) else none
+        self.parent[words + 1 + len(grams.pairs) :] = words + grams._places(grams.pairs, middle * width + grams.triples % width)
+        self.bounds = (1, words + 1, words + 1 + len(grams.pairs), len(grams))
 
     def _model(self, toxic: np.ndarray, texts: np.ndarray, base: float, background: dict[str, float]) -> AbuseModel:
         """Log-odds that a text with the n-gram has it in a toxic segment, against the base rate.
 
         Each order's Dirichlet prior is the estimate of the n-gram one word shorter, the single word's is the base rate
-        with the weight of the seed list and of the word's frequency in the whole corpus.  Presence in a text counts
-        once, so one mistaken label on a long passage weighs no more than any other.
+        with the weight of the word's frequency in the whole corpus.  Presence in a text counts once, so one mistaken
+        label on a long passage weighs no more than any other.
         """
-        rate = np.full(len(self.known), base)
-        weight = self.prior + np.asarray([background.get(g, 0.0) if o == 0 else 0.0 for g, o in zip(self.known, self.order)])
-        for order in range(GRAM):
-            at = self.order == order
-            up = np.where(self.parent[at] >= 0, rate[self.parent[at]], base)
-            rate[at] = (toxic[at] + self.seeded[at] + weight[at] * up) / (texts[at] + self.seeded[at] + weight[at])
-        odds = np.log((rate + 1e-4) / (1 - rate + 1e-4)) - math.log(base / (1 - base))
-        table = dict(zip(self.known, np.clip(odds, -LIMIT, LIMIT).tolist()))
-        table[UNKNOWN] = 0.0
-        for word in self.seeds.difference(self.known):
-            table[word] = 2.0
-        return AbuseModel(table, self.words, self.drift)
+        rate = np.full(len(self.grams), base)
+        weight = np.full(len(self.grams), self.prior)
+        for word, share in background.items():
+            weight[self.grams.numbers[word]] += share
+        for low, high in zip(self.bounds, self.bounds[1:]):
+            at = slice(low, high)
+            up = rate[self.parent[at]]
+            rate[at] = (toxic[at] + weight[at] * up) / (texts[at] + weight[at])
+        odds = np.clip(np.log((rate + 1e-4) / (1 - rate + 1e-4)) - math.log(base / (1 - base)), -LIMIT, LIMIT)
+        odds[0] = 0.0
+        return AbuseModel(self.grams, odds, self.words, self.drift)
+
+    def _tops(self, model: AbuseModel, rows: Sequence[int]) -> list[tuple[float, int, bool]]:
+        return [(best_segment(model.odds[self.longest[i]] - model.drift), len(self.ids[i]), bool(self.marks[i])) for i in rows]
 
     def fit(self, rows: Sequence[int] | None = None, background: dict[str, float] | None = None) -> AbuseModel:
         """Expectation steps take the toxic segments of the marked texts, maximisation steps the log-odds of being in one."""
-        rows = list(range(len(self.tokens))) if rows is None else list(rows)
+        rows = list(range(len(self.ids))) if rows is None else list(rows)
         background = background or {}
-        size = len(self.known)
 
         def count(parts: Iterator[np.ndarray]) -> np.ndarray:
-            total = np.zeros(size)
-            for ids in parts:
-                total[np.unique(ids)] += 1
-            return total
+            parts = list(parts)
+            return np.bincount(np.concatenate(parts), minlength=len(self.grams)) if parts else np.zeros(len(self.grams))
 
         marked = [i for i in rows if self.marks[i]]
-        texts = count(self.has[i][:, 1] for i in rows)
-        toxic = count(self.has[i][:, 1] for i in marked)
+        texts = count(self.distinct[i] for i in rows)
         base = (len(marked) + 1) / (len(rows) + 5)
-        model = self._model(toxic, texts, base, background)  # start: as if all of a marked text were toxic
+        model = self._model(count(self.distinct[i] for i in marked), texts, base, background)  # as if all of a marked text were toxic
         for _ in range(self.rounds):
             inner = []
             for i in marked:
-                inside = np.zeros(len(self.tokens[i]), dtype=bool)
-                for score, start, end in segments(model.scores(self.tokens[i])):
+                inside = np.zeros(len(self.ids[i]), dtype=bool)
+                for score, start, end in segments(model.odds[self.longest[i]] - model.drift):
                     if score >= self.certain:
                         inside[start:end] = True
-                inner.append(self.has[i][inside[self.has[i][:, 0]], 1])
+                inner.append(np.unique(self.ends[i][:, inside]))
             model = self._model(count(iter(inner)), texts, base, background)
-        self._null(model, rows)
         return model
 
-    def _null(self, model: AbuseModel, rows: Sequence[int]) -> None:
-        """Lambda from the score distribution of unmarked texts (Karlin and Altschul), K from their best segments."""
-        scored = [model.scores(self.tokens[i]) for i in rows if not self.marks[i] and self.tokens[i]]
-        flat = np.concatenate([np.asarray(s) for s in scored]) if scored else np.array([-1.0])
-        flat = np.minimum(flat, np.quantile(flat, 0.9995))  # mistaken labels leave some abuse among these
-        low, high = 1e-3, 5.0
-        for _ in range(40):
-            mid = (low + high) / 2
-            low, high = (low, mid) if np.mean(np.exp(mid * flat)) > 1 else (mid, high)
-        model.rate = low
-        tops = np.asarray([max((b for b, _, _ in segments(s)), default=0.0) for s in scored] or [0.0])
-        sizes = np.asarray([len(s) for s in scored] or [1])
-        model.scale = float(np.exp(np.median(model.rate * tops - np.log(sizes)) + math.log(math.log(2))))
-
-    def calibrate(self, background: dict[str, float] | None = None, folds: int = 2, evidence: float = 18.0, sure: int = 100) -> AbuseModel:
-        """The model of all rows, with the threshold that parts marked from unmarked texts best on held-out folds.
-
-        The rated sample holds more abuse than the corpus, so its best threshold lets too much through there; the
-        threshold therefore asks for a score of at least ``evidence``, or a share of it while fewer than ``sure`` texts
-        are marked.
-        """
-        held: list[tuple[float, bool]] = []
+    def calibrate(self, background: dict[str, float] | None = None, folds: int = 10) -> AbuseModel:
+        """The model of all rows; ``held`` keeps (score, marked) of each text by a model that hasn't seen it, and both the
+        extreme-value distribution and the threshold come from these."""
+        held: list[tuple[float, int, bool]] = []
         for k in range(folds):
-            model = self.fit([i for i in range(len(self.tokens)) if i % folds != k], background)
-            for i in range(k, len(self.tokens), folds):
-                top = max((b for b, _, _ in segments(model.scores(self.tokens[i]))), default=0.0)
-                held.append((model.calibrated(top, len(self.tokens[i])), bool(self.marks[i])))
+            others = [i for i in range(len(self.ids)) if i % folds != k]
+            held += self._tops(self.fit(others, background), range(k, len(self.ids), folds))
         model = self.fit(None, background)
-        marked = sum(m for _, m in held)
-        best, hits = (0.0, model.threshold), 0
-        held.sort(reverse=True)
-        for n, (score, m) in enumerate(held, 1):
-            hits += m
-            follows = held[n][0] if n < len(held) else 0.0
-            if score > follows and (f1 := 2 * hits / (n + marked)) > best[0]:
-                best = (f1, (score + follows) / 2)
-        self.f1 = best[0]
-        model.threshold = max(best[1], evidence * min(1.0, marked / sure))
+        model.rate, model.scale = null_distribution([(top, n) for top, n, marked in held if not marked and n])
+        self.held = sorted(((model.calibrated(top, n), marked) for top, n, marked in held), reverse=True)
+        model.threshold = best_threshold(self.held)
         return model
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, marked): documents whose raters agree by majority; at most ``most``, in order of a hash of the id.
+def null_distribution(tops: Sequence[tuple[float, int]], rounds: int = 30) -> tuple[float, float]:
+    """(lambda, K) of P(best segment of n tokens <= x) = exp(-K n exp(-lambda x)), by expectation and maximisation.
+
+    ``tops`` are best segments of texts rated clean, by a model that hasn't seen them.  Raters miss some abuse, so a
+    second, flat distribution over all scores takes up what the first can't explain.
+    """
+    top, n = np.asarray([t for t, _ in tops] or [0.0]), np.asarray([k for _, k in tops] or [1], dtype=float)
+    scored = top > 0
+    if scored.sum() < 3:
+        return 1.0, (scored.sum() + 0.5) / n.sum()
+    rates = np.geomspace(0.05, 5.0, 60)
+    decay = np.exp(-rates[:, None] * top[None, :])
+    clean, missed = np.ones(len(top)), 0.05
+    for _ in range(rounds):
+        hits = clean[scored].sum()
+        scales = hits / (decay * (clean * n)).sum(axis=1)
+        fits = hits * np.log(scales * rates) - rates * (clean * top)[scored].sum() - scales * (decay * (clean * n)).sum(axis=1)
+        best = int(np.argmax(fits))
+        rate, scale = float(rates[best]), float(scales[best])
+        expected = scale * n * decay[best]
+        density = np.where(scored, rate * expected * np.exp(-expected), np.exp(-expected)) * (1 - missed)
+        flat = np.where(scored, missed / top.max(), 0.0)
+        clean = density / np.maximum(density + flat, 1e-300)
+        missed = float(np.clip(1 - clean.mean(), 1e-6, 0.5))
+    return rate, scale
+
+
+def best_threshold(held: Sequence[tuple[float, bool]], share: float | None = None) -> float:
+    """The score that parts marked from unmarked held-out texts (by falling score) with the best F1.
+
+    ``share`` is the part of the corpus that is abusive: raters saw a sample with more of it, so each unmarked text
+    stands for as many as it takes to bring marked and unmarked texts to that share.  Raters miss some abuse: as many
+    unmarked texts to a marked one as there are in the upper half of the marked ones aren't counted as false.
+    """
+    marked = sum(m for _, m in held)
+    clean = len(held) - marked
+    if not marked or not clean:
+        return math.inf
+    upper = [m for _, m in held[: next(n for n, k in enumerate(accumulate(m for _, m in held), 1) if 2 * k >= marked)]]
+    missed = (len(upper) - sum(upper)) / sum(upper)
+    weight = 1.0 if share is None else (1 - share) / share * marked / clean
+    best, hits, false = (0.0, math.inf), 0, 0
+    for n, (score, m) in enumerate(held, 1):
+        hits, false = hits + m, false + (not m)
+        follows = held[n][0] if n < len(held) else 0.0
+        if score > follows and (f1 := 2 * hits / (hits + weight * max(0.0, false - missed * hits) + marked)) > best[0]:
+            best = (f1, (score + follows) / 2)
+    return best[1]
+
+
+def corpus_threshold(held: Sequence[tuple[float, bool]], scores: dict[int, int], bins: int) -> float:
+    """``best_threshold`` at the share of the corpus that it reports itself; ``scores`` counts documents by score * bins."""
+    documents = sum(scores.values())
+    share, threshold = None, math.inf
+    for _ in range(20):
+        threshold, before = best_threshold(held, share), threshold
+        found = sum(n for b, n in scores.items() if b >= threshold * bins)
+        if threshold == before or not found or found == documents:
+            break
+        share = found / documents
+    return threshold
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, most: int, longest: int = 20_000) -> DataFrame:
+    """(doc_id, text, marked): documents whose raters agree by majority; at most ``most`` of at most ``longest`` characters
+    each, in order of a hash of the id.
 
     A rater's repeated or differently spelled judgements count once; a document as often judged clean as not is left out.
     """
@@ -292,7 +399,7 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, most: int) -> DataFr
     ).distinct()
     share = votes.groupBy("doc_id").agg(F.avg((F.col("label") != "none").cast("int")).alias("share")).where("share <> 0.5")
     return (
-        documents.where("text is not null").select("doc_id", "text").join(share, "doc_id")
+        documents.where(F.length("text") <= longest).select("doc_id", "text").join(share, "doc_id")
         .select("doc_id", "text", (F.col("share") > 0.5).alias("marked"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
@@ -302,53 +409,55 @@ def corpus_frequencies(documents: DataFrame, words: Sequence[str]) -> dict[str,
     """Share of all documents that have each of ``words`` (the model's vocabulary, bounded by the labelled sample)."""
     wanted = frozenset(words)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, texts = Counter(), 0
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column(0).to_pylist():
                 texts += 1
                 found.update(wanted.intersection(TOKEN.findall(text.lower())))
         found[UNKNOWN] = texts
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
     texts = spread(documents.where("text is not null").select("text"))
-    rows = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in rows}
     total = max(1, counts.pop(UNKNOWN, 0))
     return {w: n / total for w, n in counts.items()}
 
 
-def fitted_model(documents: DataFrame, labels: DataFrame, *, most_labelled: int = 8_000, corpus_weight: float = 20.0) -> AbuseModel:
-    """The model of the corpus.  The labelled sample is bounded by ``most_labelled`` documents; the prior's word counts
-    cover all documents, so a word that is common everywhere needs more evidence (``corpus_weight``).  Without any
-    labelled text only the seed words count."""
+def fitted_model(documents: DataFrame, labels: DataFrame, *, most_labelled: int = 8_000, corpus_weight: float = 20.0) -> tuple[AbuseModel, list[tuple[float, bool]]]:
+    """The model of the corpus and the held-out scores.  The labelled sample is bounded by ``most_labelled`` documents; the
+    prior's word counts cover all documents, so a word that is common everywhere needs more evidence (``corpus_weight``).
+    """
     sample = labelled_texts(documents, labels, most_labelled).collect()
     fitter = Fitter([r["text"] for r in sample], [r["marked"] for r in sample])
     if not any(fitter.marks) or all(fitter.marks):
-        return AbuseModel(dict.fromkeys(SEED_WORDS, LIMIT) | {UNKNOWN: 0.0}, fitter.words, fitter.drift, threshold=2.5)
-    singles = [g for g in fitter.known if " " not in g]
-    return fitter.calibrate({w: corpus_weight * f for w, f in corpus_frequencies(documents, singles).items()})
+        return AbuseModel(fitter.grams, np.zeros(len(fitter.grams)), fitter.words, fitter.drift), []
+    shares = corpus_frequencies(documents, list(fitter.grams.numbers))
+    model = fitter.calibrate({w: corpus_weight * f for w, f in shares.items()})
+    return model, fitter.held
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, source, score, abusive): every document once per row, with its calibrated score.
 
     The score is minus the log of the chance that a clean text of that length has a segment as toxic as the worst
-    passage of this one; ``abusive`` from the threshold found on held-out labels.  Texts are read whole; a missing or
-    empty text scores 0 and isn't abusive.
+    passage of this one; ``abusive`` from the score that parts held-out labels best, each weighted as the corpus has them.
+    Scores are written once, and their counts set the threshold.  Texts are read whole; a missing or empty text scores 0
+    and isn't abusive.  Labels that are missing, or all alike, say nothing: all scores are 0 then.
     """
-    model = fitted_model(documents, labels, **options)
+    model, held = fitted_model(documents, labels, **options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.calibrated(*model.best(text.as_py())) if text.is_valid else 0.0 for text in batch.column(2)]
-            flags = [s >= model.threshold for s in scores]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "source", "score", "abusive"]
-            )
+            scores = list(model.batch_scores(text.as_py() for text in batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
 
     texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "doc_id")
-    return texts.mapInArrow(score, "doc_id long, source string, score double, abusive boolean")
+    scores = Table(texts.mapInArrow(score, "doc_id long, source string, score double")).df
+    counts = scores.groupBy(F.floor(F.col("score") * BINS).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # a score is under 700
+    threshold = corpus_threshold(held, {r["b"]: r["n"] for r in counts}, BINS)
+    return scores.withColumn("abusive", F.col("score") >= F.lit(threshold))
 
 
 def abuse_rates(scores: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import os
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from skein.llm import abuse as A
@@ -111,11 +113,61 @@ def test_segments_match_their_definition():
 
 
 def test_calibration_falls_with_length():
-    model = A.AbuseModel({}, [], 1.0, rate=1.0, scale=0.1)
+    none = np.zeros(0, dtype=np.int64)
+    model = A.AbuseModel(A.Grams({}, none, none), np.zeros(1), [], 1.0, rate=1.0, scale=0.1)
     assert model.calibrated(9, 10) > model.calibrated(9, 1000) > model.calibrated(5, 1000) >= 0
     assert model.calibrated(0, 0) >= 0 and model.calibrated(900.0, 10) > 600
 
 
+def test_grams_are_those_that_two_texts_have():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(9))) for _ in range(30)]
+    fitter = A.Fitter(texts, [False] * 30)
+    held = Counter(g for t in texts for g in {tuple(t.split()[i : i + n]) for n in (1, 2, 3) for i in range(len(t.split()) - n + 1)})
+    known = {g for g, n in held.items() if n >= 2}
+    names = {k: w for w, k in fitter.grams.numbers.items()}
+    seen = {}
+    for text, ends in zip(texts, fitter.ends):
+        words = text.split()
+        for at in range(len(words)):
+            for n in (1, 2, 3):
+                gram, number = tuple(words[max(0, at + 1 - n) : at + 1]), int(ends[n - 1][at])
+                assert (number > 0) == (at + 1 >= n and gram in known)
+                if number:
+                    assert seen.setdefault(number, gram) == gram
+                    parent = int(fitter.parent[number])
+                    assert n == 1 or seen.get(parent, gram[1:]) == gram[1:]
+    assert len(fitter.grams) == len(known) + 1 and all(names[k] == g[0] for k, g in seen.items() if len(g) == 1)
+
+
+def test_scores_of_a_batch_are_those_of_its_texts(monkeypatch):
+    docs, truth = corpus(80)
+    model = A.Fitter([d[1] for d in docs], truth).calibrate()
+    texts = [d[1] for d in docs] + [None, "", "you", docs[0][1] * 50]
+    one = [model.calibrated(*model.best(t or "")) for t in texts]
+    for at_once in (1, 50, 10**6):
+        monkeypatch.setattr(A, "AT_ONCE", at_once)
+        assert list(model.batch_scores(iter(texts))) == pytest.approx(one)
+
+
+def test_null_distribution_is_found_again_among_missed_abuse():
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 400, 4000)
+    tops = np.maximum(0.0, (np.log(0.01 * n) - np.log(-np.log(rng.random(4000)))) / 1.5)
+    tops[:120] = rng.uniform(5, 30, 120)  # missed by raters
+    rate, scale = A.null_distribution(list(zip(tops.tolist(), n.tolist())))
+    assert 1.2 < rate < 1.8 and 0.006 < scale < 0.015
+
+
+def test_threshold_follows_the_share_of_the_corpus():
+    rng = random.Random(1)
+    held = sorted([(rng.gauss(12, 3), True) for _ in range(300)] + [(rng.gauss(4, 3), False) for _ in range(700)], reverse=True)
+    held = [(s, m if rng.random() > 0.04 else False) for s, m in held]
+    assert A.best_threshold(held, 0.01) > A.best_threshold(held, 0.1) >= A.best_threshold(held, 0.3) - 1
+    assert A.best_threshold([], 0.1) == A.best_threshold([(1.0, True)], 0.1) == float("inf")
+    assert A.corpus_threshold([], {0: 5}, 16) == float("inf")
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 def test_agrees_with_held_out_raters(spark):
     """Half of the raters' documents fit the model, the other half judges it; raters err now and then themselves."""
@@ -123,10 +175,10 @@ def test_agrees_with_held_out_raters(spark):
     docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/abuse_labels.parquet")
     rows = A.labelled_texts(docs, marks, 10_000).collect()
     hits = flagged = marked = 0
-    for part in (0, 1):
-        fitter = A.Fitter([r["text"] for r in rows[part::2]], [r["marked"] for r in rows[part::2]])
-        model = fitter.calibrate()
+    for part in (0, 1):  # the threshold is the corpus's, as in the query
+        known = spark.createDataFrame([(r["doc_id"],) for r in rows[part::2]], "doc_id long")
+        others = spark.createDataFrame([(r["doc_id"],) for r in rows[1 - part :: 2]], "doc_id long")
+        said = {r["doc_id"]: r["abusive"] for r in A.abuse_scores(docs, marks.join(known, "doc_id")).join(others, "doc_id").collect()}
         for r in rows[1 - part :: 2]:
-            said = model.calibrated(*model.best(r["text"])) >= model.threshold
-            hits, flagged, marked = hits + (said and r["marked"]), flagged + said, marked + r["marked"]
+            hits, flagged, marked = hits + (said[r["doc_id"]] and r["marked"]), flagged + said[r["doc_id"]], marked + r["marked"]
     assert hits >= 0.8 * flagged and hits >= 0.5 * marked
