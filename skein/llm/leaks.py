@@ -7,10 +7,12 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +23,11 @@ WORD = re.compile(r"[^\W_]+")
 FORMAT_CHARACTERS = regex.compile(r"\p{Cf}+")
 RUN = 12  # consecutive words that make a leak
 PASSAGE = 2 * RUN  # words of a query passage; passages start RUN + 1 apart, so every run lies whole in one of them
-BLOCK = 2  # items of an index block
+BLOCK = 4  # items of an index block
 MEMO = 50_000  # passages whose answer a task remembers
 K1, B = 0.3, 0.0  # passages ask, so an item's length says nothing
+AT_ONCE = 200_000  # words looked up together
+LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("runs_shared", pa.int64()), ("runs_total", pa.int64()), ("answer_present", pa.bool_())])
 
 
 def words_of(text: str) -> list[str]:
@@ -32,7 +36,10 @@ def words_of(text: str) -> list[str]:
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
         text = FORMAT_CHARACTERS.sub("", text)
-        return [w.casefold() for w in WORD.findall(text)]
+        folded = text.casefold()
+        if len(folded) > len(text):  # some letter becomes several, which need not all be letters
+            return [w.casefold() for w in WORD.findall(text)]
+        return WORD.findall(folded)
     return WORD.findall(text.lower())
 
 
@@ -65,18 +72,24 @@ class ItemIndex:
             for words, impact in zip(coded, impacts)
         ]
         size, blocks = len(self.terms) + 1, len(coded) // BLOCK + 1
-        self.postings: list[list[int]] = [[] for _ in range(size)]
-        self.scores: list[list[float]] = [[] for _ in range(size)]
-        block_best = np.zeros((size, blocks))
+        postings: list[list[int]] = [[] for _ in range(size)]
+        scores: list[list[float]] = [[] for _ in range(size)]
         for i, impact in enumerate(impacts):
             for w, score in impact.items():
-                self.postings[w].append(i)
-                self.scores[w].append(score)
-                block_best[w, i // BLOCK] = max(block_best[w, i // BLOCK], score)
-        self.best = block_best.max(axis=1)
-        self.worst = [min(line, default=0.0) for line in self.scores]
-        self.block_best = [row.tolist() for row in block_best]
-        self.block_floor = [min(self.floor[b * BLOCK : (b + 1) * BLOCK], default=math.inf) for b in range(blocks)]
+                postings[w].append(i)
+                scores[w].append(score)
+        self.postings = [np.asarray(line, dtype=np.int32) for line in postings]
+        self.scores = [np.asarray(line) for line in scores]
+        self.blocks: list[np.ndarray] = []  # of each term, the blocks that have it, and its greatest impact in each
+        self.block_best: list[np.ndarray] = []
+        for line, impact in zip(self.postings, self.scores):
+            own, first = np.unique(line // BLOCK, return_index=True)
+            self.blocks.append(own)
+            self.block_best.append(np.maximum.reduceat(impact, first) if len(first) else impact)
+        self.best = np.asarray([max(line, default=0.0) for line in scores])
+        self.worst = [min(line, default=0.0) for line in scores]
+        self.floors = np.asarray(self.floor)
+        self.block_floor = np.asarray([min(self.floor[b * BLOCK : (b + 1) * BLOCK], default=math.inf) for b in range(blocks)])
         self.least = min(self.floor, default=math.inf)
         self.asked: dict[bytes, list[int]] = {}  # passages met before in this task
 
@@ -109,53 +122,54 @@ class ItemIndex:
             yield start, min(sum(self.worst[w] for w in set(part[i : i + RUN])) for i in runs) - 1e-9
 
     def retrieve(self, passage: list[int], threshold: float = 0.0) -> list[int]:
-        """Items whose BM25 score for the passage reaches the threshold and their own floor, by block-max WAND."""
-        least = max(self.least, threshold)
-        cursors = [[self.postings[w][0], 0, w] for w in set(passage) if w]
-        found = []
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for k, (_, _, w) in enumerate(cursors):
-                bound += self.best[w]
-                if bound >= least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            block = item // BLOCK
-            if sum(self.block_best[w][block] for _, _, w in cursors[: pivot + 1]) < max(least, self.block_floor[block]):
-                goal = (block + 1) * BLOCK
-                if pivot + 1 < len(cursors):
-                    goal = min(goal, cursors[pivot + 1][0])
-                moved = cursors[: pivot + 1]
-            elif cursors[0][0] == item:
-                at = cursors[: pivot + 1]
-                if sum(self.scores[w][place] for _, place, w in at) >= max(least, self.floor[item]):
-                    found.append(item)
-                goal, moved = item + 1, at
-            else:
-                before = [c for c in cursors[: pivot + 1] if c[0] < item]
-                goal, moved = item, [max(before, key=lambda c: self.best[c[2]])]
-            for cursor in moved:
-                line = self.postings[cursor[2]]
-                cursor[1] = bisect_left(line, goal, cursor[1])
-                cursor[0] = line[cursor[1]] if cursor[1] < len(line) else -1
-            cursors = [c for c in cursors if c[0] >= 0]
-        return found
-
-    def leaks(self, text: str) -> Iterator[tuple[int, int, int, bool]]:
-        """(item id, runs shared, runs of the item, whether its answer stands in the text) of each item in the text."""
-        words = words_of(text)
-        if len(words) < RUN:
-            return
-        coded = np.fromiter(map(self.terms.get, words, _zeros()), dtype=np.int32, count=len(words))
-        shared: dict[int, set[int]] = {}
+        """Items whose BM25 score for the passage reaches the threshold and their own floor, by block-max WAND.
+
+        Its three tests are made for all blocks at once, over arrays, instead of by moving cursors: the terms' greatest
+        impacts tell which blocks can hold a pivot, their greatest impacts inside a block whether it is worth opening, and
+        items are scored in the blocks that are left.
+        """
+        least, terms = max(self.least, threshold), [w for w in set(passage) if w]
+        if not terms:
+            return []
+        blocks = np.concatenate([self.blocks[w] for w in terms])
+        count = len(self.block_floor)
+        pivots = np.bincount(blocks, np.repeat(self.best[terms], [len(self.blocks[w]) for w in terms]), count) >= least
+        if not pivots.any():
+            return []
+        bounds = np.bincount(blocks, np.concatenate([self.block_best[w] for w in terms]), count)
+        opened = pivots & (bounds >= np.maximum(least, self.block_floor) - 1e-9)
+        items = np.concatenate([self.postings[w] for w in terms])
+        inside = opened[items // BLOCK]
+        if not inside.any():
+            return []
+        scores = np.bincount(items[inside], np.concatenate([self.scores[w] for w in terms])[inside], len(self.ids))
+        return np.flatnonzero(scores >= np.maximum(least, self.floors)).tolist()
+
+    def leaks(self, texts: Iterable[tuple[Any, str]]) -> Iterator[tuple[Any, int, int, int, bool]]:
+        """(name, item id, runs shared, runs of the item, whether its answer stands in the text) of each item in each text.
+
+        Texts are laid end to end, some ``AT_ONCE`` words at a time, with an unknown word between them that no run crosses.
+        """
+        words: list[str | None] = []
+        names, ends = [], []
+        for name, text in texts:
+            own = words_of(text)
+            if len(own) >= RUN:
+                words += own
+                names.append(name)
+                ends.append(len(words))
+                words.append(None)
+            if len(words) > AT_ONCE:
+                yield from self._found(words, names, ends)
+                words, names, ends = [], [], []
+        yield from self._found(words, names, ends)
+
+    def _found(self, words: list[str | None], names: list, ends: list[int]) -> Iterator[tuple[Any, int, int, int, bool]]:
+        coded = np.fromiter(map(self.terms.get, words, repeat(0)), dtype=np.int32, count=len(words))
+        shared: dict[tuple[int, int], set[int]] = {}
         for start, threshold in self.passages(coded):
-            part = coded[start : start + PASSAGE]
+            text = bisect_left(ends, start)
+            part = coded[start : min(start + PASSAGE, ends[text])]
             raw = part.tobytes()
             if (items := self.asked.get(raw)) is None:
                 if len(self.asked) >= MEMO:
@@ -165,16 +179,12 @@ class ItemIndex:
                 runs = self.runs[item]
                 for i in range(len(part) - RUN + 1):
                     if (place := runs.get(raw[4 * i : 4 * (i + RUN)])) is not None:
-                        shared.setdefault(item, set()).add(place)
-        for item, places in shared.items():
+                        shared.setdefault((text, item), set()).add(place)
+        for (text, item), places in shared.items():
             answer = self.answers[item]
-            stands = bool(answer) and f" {' '.join(answer)} " in f" {' '.join(words)} "
-            yield self.ids[item], len(places), len(self.runs[item]), stands
-
-
-def _zeros() -> Iterator[int]:
-    while True:
-        yield 0
+            own = words[ends[text - 1] + 1 if text else 0 : ends[text]]
+            stands = bool(answer) and f" {' '.join(answer)} " in f" {' '.join(own)} "
+            yield names[text], self.ids[item], len(places), len(self.runs[item]), stands
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, shard_characters: int = 4_000_000) -> DataFrame:
@@ -188,18 +198,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, shard_characters: in
     named = items.where("item_id is not null and item_text is not null")
     total = named.agg(F.coalesce(F.sum(F.length("item_text") + F.length(F.coalesce("answer", F.lit("")))), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_characters))
-    texts = spread(documents.where("text is not null and doc_id is not null").select("doc_id", "text"), "doc_id")
+    texts = spread(documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     result = None
     for k in range(shards):
         part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        index = ItemIndex([tuple(r) for r in part.select("item_id", "item_text", "answer").orderBy("item_id").collect()])
+        index = ItemIndex([tuple(r) for r in part.select(F.col("item_id").cast("long"), "item_text", "answer").orderBy("item_id").collect()])
 
-        def match(batches: Iterator[pd.DataFrame], index: ItemIndex = index) -> Iterator[pd.DataFrame]:
+        def match(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *leak) for d, text in zip(batch["doc_id"], batch["text"]) for leak in index.leaks(text)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "runs_shared", "runs_total", "answer_present"])
+                found = index.leaks(zip(batch.column(0).to_pylist(), (text.as_py() for text in batch.column(1))))
+                yield pa.RecordBatch.from_pylist([dict(zip(LEAK.names, leak)) for leak in found], schema=LEAK)
 
-        found = texts.mapInPandas(match, "doc_id long, item_id long, runs_shared long, runs_total long, answer_present boolean")
+        found = texts.mapInArrow(match, "doc_id long, item_id long, runs_shared long, runs_total long, answer_present boolean")
         result = found if result is None else result.unionByName(found)
     return result.groupBy("doc_id", "item_id").agg(
         F.max("runs_shared").alias("runs_shared"), F.max("runs_total").alias("runs_total"), F.max("answer_present").alias("answer_present")

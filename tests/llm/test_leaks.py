@@ -84,5 +84,22 @@ def test_runs_after_many_unknown_words_are_met():
     text = " ".join(f"k{i}" for i in range(12))
     index = L.ItemIndex([(1, text, None)])
     for unknown in (0, 5_000, 1_000_000):
-        assert [leak[:2] for leak in index.leaks("x " * unknown + text + " x")] == [(1, 1)]
-    assert not list(index.leaks("x " * 1_000 + text.replace("k5", "k5 x")))
+        assert [leak[:3] for leak in index.leaks([("d", "x " * unknown + text + " x")])] == [("d", 1, 1)]
+    assert not list(index.leaks([("d", "x " * 1_000 + text.replace("k5", "k5 x"))]))
+
+
+def test_no_run_goes_from_one_text_into_the_next(monkeypatch):
+    text = " ".join(f"k{i}" for i in range(30))
+    words = text.split()
+    index = L.ItemIndex([(1, text, "k29"), (2, " ".join(words[12:]), "k0")])
+    texts = [(n, " ".join(words[:n]) + " x") for n in range(31)] + [(100, " ".join(words[18:])), (101, " ".join(words[19:])), (102, "Straße " * 3 + " ".join(words[5:17]))]
+    for at_once in (0, 40, 10**6):
+        monkeypatch.setattr(L, "AT_ONCE", at_once)
+        got = {(name, item): (shared, stands) for name, item, shared, _, stands in index.leaks(texts)}
+        assert got == {
+            **{(n, 1): (n - 11, n == 30) for n in range(12, 31)}, **{(n, 2): (n - 23, True) for n in range(24, 31)}, (100, 1): (1, True), (100, 2): (1, False), (102, 1): (1, False),
+        }
+
+
+def test_words_whose_letters_fold_to_several():
+    assert L.words_of("STRASSE Straße ǰx İz ΣΑΣ σας") == ["strasse", "strasse", "ǰ".casefold() + "x", "i̇z", "σασ", "σασ"]
