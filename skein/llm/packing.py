@@ -52,6 +52,7 @@ class Packing:
 
     patterns: list[tuple[int, dict[int, int]]] = field(default_factory=list)
     lower_bound: int = 0
+    least: int = 0  # lower bound after what the search has shown to be impossible
 
     @property
     def containers(self) -> int:
@@ -59,7 +60,7 @@ class Packing:
 
     @property
     def proven(self) -> bool:
-        return self.containers == self.lower_bound
+        return self.containers == self.least
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
@@ -125,9 +126,15 @@ def dominated(filling: dict[int, int], left: dict[int, int], room: int) -> bool:
     return False
 
 
-def completions(left: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[tuple[int, dict[int, int]]]:
-    """(waste, filling): the undominated fillings of ``room``, least waste first."""
+class Unsettled(Exception):
+    """The search has used its steps before it found a packing or proved that there is none."""
+
+
+def completions(left: dict[int, int], room: int, most_waste: int | None = None, steps: Iterator | None = None) -> Iterator[tuple[int, dict[int, int]]]:
+    """(waste, filling): the undominated fillings of ``room``, least waste first; each filling looked at takes a step."""
     for waste, filling in fillings(left, room, room if most_waste is None else most_waste):
+        if steps is not None and next(steps, None) is None:
+            raise Unsettled
         if not dominated(filling, left, room):
             yield waste, filling
 
@@ -154,14 +161,10 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return patterns
 
 
-class Unsettled(Exception):
-    """The search has used its steps before it found a packing or proved that there is none."""
-
-
 def packed_in(histogram: dict[int, int], capacity: int, containers: int, *, steps: Iterator | None = None, look: int = 128) -> list[tuple[int, dict[int, int]]] | None:
     """Patterns that pack everything into ``containers`` containers, or None where there is no way to.
 
-    Takes one of ``steps`` for each branch and raises ``Unsettled`` when there are none left; without steps it is exact.
+    Takes one of ``steps`` for each filling looked at and raises ``Unsettled`` when none is left; without steps it is exact.
     Depth-first.  What the containers hold beyond the items is the waste allowed; a branch ends when its fillings have
     used it up, and what is left over is remembered with the waste at which it couldn't be packed.  Each step goes around
     the largest item or, when no more than ``look`` sizes are left, around the largest of those with the fewest fillings
@@ -170,50 +173,57 @@ def packed_in(histogram: dict[int, int], capacity: int, containers: int, *, step
     waste = containers * capacity - sum(s * n for s, n in histogram.items())
     if waste < 0:
         return None
-    hopeless: dict[frozenset, int] = {}
+    left, hopeless = dict(histogram), {}
 
-    def around(left: dict[int, int], allowed: int) -> int | None:
+    def around() -> int | None:
         fewest, chosen = math.inf, max(left)
         for size in sorted(left, reverse=True) if len(left) <= look else ():
-            ways = sum(1 for _ in islice(fillings(_without(left, {size: 1}), capacity - size, allowed), min(fewest, 6)))
+            ways = sum(1 for _ in islice(fillings(_without(left, {size: 1}), capacity - size, waste), min(fewest, 6)))
             if ways < fewest:
                 fewest, chosen = ways, size
         return chosen if fewest else None
 
-    def branches(left: dict[int, int], allowed: int) -> Iterator[tuple[tuple[int, dict[int, int]], dict[int, int], int]]:
-        size = around(left, allowed)
+    def branches() -> Iterator[tuple[int, dict[int, int], int]]:
+        size = around()
         if size is None:
             return
-        for lost, filling in completions(_without(left, {size: 1}), capacity - size, allowed):
+        for lost, filling in completions(_without(left, {size: 1}), capacity - size, waste, steps):
             pattern = {**filling, size: filling.get(size, 0) + 1}
             times = min(left[s] // n for s, n in pattern.items())
-            times = min(times, allowed // lost) if lost else times
+            times = min(times, waste // lost) if lost else times
             for t in dict.fromkeys((times, 1)):
-                yield (t, pattern), _without(left, pattern, t), allowed - t * lost
-
-    path: list[tuple[int, dict[int, int]]] = []
-    open_nodes = [(branches(histogram, waste), frozenset(histogram.items()), waste)]
-    while open_nodes:
-        following, key, allowed = open_nodes[-1]
-        branch = next(following, None)
+                yield t, pattern, t * lost
+
+    def known() -> frozenset | None:
+        return frozenset(left.items()) if len(left) <= look else None  # larger ones hardly come again
+
+    def take_back() -> None:
+        nonlocal waste, nth
+        times, pattern, lost, nth = path.pop()
+        waste, nth = waste + lost, nth + 1
+        for size, n in pattern.items():
+            left[size] = left.get(size, 0) + times * n
+
+    path: list[tuple[int, dict[int, int], int, int]] = []  # times, pattern, waste and which branch of its node it was
+    nth = 0
+    while left:
+        branch = next(islice(branches(), nth, None), None)
         if branch is None:
-            hopeless[key] = max(hopeless.get(key, -1), allowed)
-            open_nodes.pop()
-            del path[len(open_nodes) - 1 if open_nodes else 0 :]
+            if (key := known()) is not None:
+                hopeless[key] = max(hopeless.get(key, -1), waste)
+            if not path:
+                return None
+            take_back()
             continue
-        if steps is not None and next(steps, None) is None:
-            raise Unsettled
-        step, after, allowed = branch
-        if not after:
-            return [*path, step]
-        key = frozenset(after.items())
-        if hopeless.get(key, -1) < allowed:
-            path.append(step)
-            open_nodes.append((branches(after, allowed), key, allowed))
-    return None
+        times, pattern, lost = branch
+        path.append((times, pattern, lost, nth))
+        left, waste, nth = _without(left, pattern, times), waste - lost, 0
+        if hopeless and hopeless.get(known(), -1) >= waste:
+            take_back()
+    return [(times, pattern) for times, pattern, _, _ in path]
 
 
-def bin_completion(histogram: dict[int, int], capacity: int, *, steps: int | None = 3_000) -> Packing:
+def bin_completion(histogram: dict[int, int], capacity: int, *, steps: int | None = 20_000) -> Packing:
     """Packs ``histogram`` (items by size) into as few containers as the search finds.
 
     Best-fit decreasing is the incumbent.  Where it takes more containers than the lower bound, bin completion looks for
@@ -224,20 +234,19 @@ def bin_completion(histogram: dict[int, int], capacity: int, *, steps: int | Non
     The work depends on the number of different sizes, at most ``capacity``, not on the number of items.
     """
     histogram = {int(s): int(n) for s, n in histogram.items() if s > 0 and n > 0}
-    best = Packing(best_fit_decreasing(histogram, capacity), lower_bound(histogram, capacity))
+    best = Packing(best_fit_decreasing(histogram, capacity), bound := lower_bound(histogram, capacity), bound)
     below, above = (None, None) if steps is None else (iter(range(steps // 2)), iter(range(steps - steps // 2)))
     try:
-        while best.containers > best.lower_bound:
-            patterns = packed_in(histogram, capacity, best.lower_bound, steps=below)
-            if patterns is None:
-                best.lower_bound += 1
-            else:
+        while best.containers > best.least:
+            if patterns := packed_in(histogram, capacity, best.least, steps=below):
                 best.patterns = patterns
+            else:
+                best.least += 1
     except Unsettled:
         try:
-            while best.containers > best.lower_bound and (patterns := packed_in(histogram, capacity, best.containers - 1, steps=above)):
+            while best.containers > best.least and (patterns := packed_in(histogram, capacity, best.containers - 1, steps=above)):
                 best.patterns = patterns
-            best.lower_bound = best.containers
+            best.least = best.containers
         except Unsettled:
             pass
     return best
