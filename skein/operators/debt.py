@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import test_path
@@ -175,3 +175,8 @@ def outline(files: DataFrame, symbols: DataFrame, *, files_most: int = 5, symbol
     place = F.row_number().over(Window.partitionBy("path").orderBy("line", "name"))
     rows = symbols.select(F.col("file_id").alias("id"), "line", "name").distinct().join(F.broadcast(chosen.select("id", "path")), "id")
     return rows.withColumn("place", place).where(F.col("place") <= symbols_most).select("path", "line", "name")
+
+
+def by_severity(items: DataFrame, *, order: Sequence[str]) -> DataFrame:
+    """``items`` with ``place`` in their kind, the most severe first, then by the columns of ``order``."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc_nulls_last("severity"), *order)))

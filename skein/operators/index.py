@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 _NAME, _DOTTED, _JS = r"([A-Za-z_][A-Za-z0-9_]*)", r"([A-Za-z_][A-Za-z0-9_.]*)", r"([A-Za-z_$][A-Za-z0-9_$]*)"
 _INCLUDE = r'^\s*#\s*include\s*[<"]([^>"]+)[>"]'
 #: A definition of the C family: a type, the name and its parameters, with no semicolon after.
@@ -92,12 +94,17 @@ def change_status(scanned: DataFrame, existing: DataFrame, *, force: bool = Fals
 def merged_index(scanned: DataFrame, existing: DataFrame) -> DataFrame:
     """The index after a scan: scanned rows, a file that is not new keeping its id; vanished files are gone.
 
-    New files get ids above the greatest one, by a hash order within the batch.
+    New files get the ids above the greatest one in order of a hash of their path, then the path.  They are numbered over a
+    range partitioning that is written once, so the ids stay the same however often the result is read.
     """
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     joined = scanned.drop("id").join(existing.select("path", "id"), "path", "left")
-    fresh = joined.where("id is null").drop("id")
-    numbered = fresh.select((F.monotonically_increasing_id() + 1 + top).alias("id"), *fresh.columns)
+    fresh = scan.parted(joined.where("id is null").drop("id").withColumn("__hash", F.xxhash64("path")), [], ["__hash", "path"])
+    before = Window.orderBy(scan.PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = fresh.groupBy(scan.PART).agg(F.min(scan.ROW).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    starts = starts.select(scan.PART, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.col(scan.ROW) - F.col("__first") + F.col("__before") + 1 + top
+    numbered = fresh.join(starts, scan.PART).withColumn("id", number).select(*joined.columns)
     return joined.where("id is not null").unionByName(numbered)
 
 
@@ -106,6 +113,12 @@ def without_deleted(children: DataFrame, deleted: DataFrame, *, key: str = "file
     return children.join(deleted.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def index_counts(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(kind, n): rows of each of the three tables."""
+    one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return one(files, "files").unionByName(one(symbols, "symbols")).unionByName(one(imports, "imports"))
+
+
 def index_statistics(files: DataFrame) -> DataFrame:
     return files.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count(F.lit(1)).alias("files"))
 

@@ -96,3 +96,39 @@ def focus_intervals(packets: DataFrame, *, key: str, at: str, focused: str, acti
     })
     end = F.least(F.coalesce("next", F.col(at) + lease), F.col(at) + lease, F.col("touched") + idle)
     return seen.where("held and touched is not null").select(key, F.col(at).alias("start"), end.alias("end")).where("end > start")
+
+
+def measured_time(events: DataFrame, *, most_ranges: int = 512, hot_rows: int = scan.HOT_ROWS) -> DataFrame:
+    """(source, length, ranges, partial) from observed beginnings and ends: (source, id, kind, at, n), ``n`` their order.
+
+    A beginning while the id is open is a replay and changes nothing, an end without one counts for nothing, and an end
+    before its beginning makes the source partial.  ``interrupt`` (without source and id) discards everything that is
+    open, and makes the sources partial that had something open; nothing is closed at an assumed end.  ``length`` is null,
+    not 0, without a completed interval, and an interval of no length is a completed one.  Intervals of a source count
+    once where they overlap; beyond ``most_ranges`` separate ones the source is partial.
+    """
+    stops = events.where("kind = 'interrupt'").select("n")
+    keyed = events.where("kind in ('begin', 'end') and source is not null and id is not null and id <> '' and octet_length(id) <= 128")
+    epochs = _epochs(keyed, stops)
+    w = Window.partitionBy("source", "id", "epoch").orderBy("n")
+    seen = epochs.withColumn("before", F.lag("kind").over(w))
+    real = seen.where(F.coalesce("before", F.lit("end")) != F.col("kind"))
+    paired = real.withColumns({"began": F.lag("at").over(w), "next": F.lead("kind").over(w)})
+    runs = paired.where("kind = 'end'").select("source", F.col("began").alias("start"), F.col("at").alias("end"))
+    backwards = runs.where("end < start").select("source")
+    last = stops.agg(F.count(F.lit(1)).alias("last"))  # one row
+    cut = paired.where("kind = 'begin' and next is null").join(last, F.col("epoch") < F.col("last")).select("source")
+    refused = events.where("kind = 'begin' and source is not null and (id is null or id = '' or octet_length(id) > 128)").select("source")
+    done = merged_intervals(runs, key=["source"], start="start", end="end", hot_rows=hot_rows).where("end is not null")
+    lengths = done.groupBy("source").agg(F.sum(F.col("end") - F.col("start")).alias("length"), F.count_if(F.col("end") > F.col("start")).alias("ranges"))
+    broken = backwards.unionByName(cut).unionByName(refused).distinct().withColumn("broken", F.lit(True))
+    sources = events.where("source is not null").select("source").distinct()
+    rows = sources.join(lengths, "source", "left").join(broken, "source", "left")
+    return rows.select("source", "length", F.coalesce("ranges", F.lit(0)).alias("ranges"), (F.coalesce("broken", F.lit(False)) | (F.coalesce("ranges", F.lit(0)) > most_ranges)).alias("partial"))
+
+
+def _epochs(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """``rows`` with ``epoch``: how many stops have a smaller ``n``.  Stops are few (a sleep, a restart) and become one sorted
+    array, so rows aren't put in order for it."""
+    array = stops.agg(F.array_sort(F.collect_list("n")).alias("stops"))
+    return rows.join(F.broadcast(array)).withColumn("epoch", F.size(F.filter("stops", lambda s: s < F.col("n")))).drop("stops")

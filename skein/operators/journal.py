@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import noise_path, rename_target
@@ -57,6 +57,28 @@ def day_journal(commits: DataFrame, tokens: DataFrame) -> DataFrame:
     return days.join(daily, "day", "full").select("day", F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("by_agents", F.lit(0)).alias("by_agents"), "tokens")
 
 
+def nested_journal(commits: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(day, place, tokens, commits): days with the newest first, each with its commits (at, hash, subject), the newest first.
+
+    Days without a commit but with tokens are there too.  A day's commits are one array, as in the report they are for.
+    """
+    newest = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("less"), "hash", "at", "subject"))), lambda c: F.struct(c["at"].alias("at"), c["hash"].alias("hash"), c["subject"].alias("subject")))
+    days = commits.groupBy("day").agg(newest.alias("commits"))
+    daily = tokens.groupBy("day").agg(F.sum("tokens").alias("tokens"))
+    joined = days.join(daily, "day", "full").withColumn("commits", F.coalesce("commits", F.array().cast(days.schema["commits"].dataType)))
+    return joined.withColumn("place", F.row_number().over(Window.orderBy(F.desc("day"))))  # a row a day
+
+
+def journal_summary(commits: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(commits, by_agents, added, deleted, active_days, tokens) over all days; a day is active with a commit or with tokens."""
+    totals = commits.agg(
+        F.count(F.lit(1)).alias("commits"), F.count_if(F.size("agents") > 0).alias("by_agents"),
+        F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"),
+    )
+    days = commits.select("day").unionByName(tokens.where("tokens > 0").select("day")).agg(F.count_distinct("day").alias("active_days"))
+    return totals.join(days).join(tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")))  # one row each
+
+
 def oldest_baseline(snapshots: DataFrame, *, since: Column, days: int) -> DataFrame:
     """(project, kind, count): each project's counts on the oldest day of the window before ``since``."""
     inside = snapshots.where((F.col("day") < since) & (F.col("day") >= F.date_sub(since, days)))

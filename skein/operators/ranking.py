@@ -26,11 +26,6 @@ def plan_terms(spark: SparkSession, query: str) -> tuple[list[str], list[str]]:
     return row["terms"], row["refs"]
 
 
-def document_frequency(words: DataFrame, *, item: str, word: str) -> DataFrame:
-    """(word, df): items that have each word, an item counted once."""
-    return words.select(item, word).distinct().groupBy(word).agg(F.count(F.lit(1)).alias("df"))
-
-
 def idf(df: Column, n: Column) -> Column:
     """Rarity from 0.12 to 2.6: rare words up, words found in most items down."""
     rarity = 1.0 + F.log2((n + 1) / (df + 1)) * 0.4

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import saturating_sum
+from ..functions.text import normalized_remote, saturating_sum
 from . import scan
 
 
@@ -92,16 +92,130 @@ def usage_rollup(rows: DataFrame, *, tokens: str, dimensions: Sequence[Sequence[
 
 
 def top_with_rest(totals: DataFrame, *, name: str, value: str, k: int) -> DataFrame:
-    """(name, value, hidden_count, hidden_value, total): the k largest, and what the others add up to."""
-    top = totals.select(name, value).orderBy(F.desc(value), name).limit(k)
-    of = lambda df, c: df.agg(c).scalar()
-    every, shown = F.sum(value), F.coalesce(F.sum(value), F.lit(0))
-    return top.select(
-        name, value, (of(totals, F.count(F.lit(1))) - of(top, F.count(F.lit(1)))).alias("hidden_count"),
-        (of(totals, every) - of(top, shown)).alias("hidden_value"), of(totals, every).alias("total"),
+    """(name, value, hidden_count, hidden_value, total): the k largest, and what the others add up to.
+
+    One pass: the k largest of each partition go on with its sums, so only those meet.
+    """
+    place = Window.partitionBy("__part").orderBy(F.desc(value), name)
+    local = totals.select(name, value, F.spark_partition_id().alias("__part")).withColumn("__place", F.row_number().over(place))
+    best = F.array_sort(F.collect_list(F.when(F.col("__place") <= k, F.struct((-F.col(value)).alias("less"), F.col(name).alias("name"), F.col(value).alias("value")))))
+    one = local.agg(F.slice(best, 1, k).alias("top"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    shown = F.aggregate("top", F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x["value"], F.lit(0)).cast("long"))
+    rows = one.select(F.explode("top").alias("t"), (F.col("n") - F.size("top")).alias("hidden_count"), (F.col("total") - shown).alias("hidden_value"), "total")
+    return rows.select(F.col("t.name").alias(name), F.col("t.value").alias(value), "hidden_count", "hidden_value", "total")
+
+
+def merged_sessions(metrics: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(agent, session, tokens, metrics, last_event, path, partial): one row for all copies of a session's log.
+
+    ``metrics`` has (agent, path, session, key, tokens, cumulative, sequence), ``sessions`` (agent, path, session, last_event,
+    partial).  Of copies of one metric the one with most tokens counts, of a cumulative one that with the higher sequence;
+    what else a session has comes from the copy with the latest event, and it is partial if any copy is.
+    """
+    worth = F.when(F.col("cumulative").isNotNull(), F.col("sequence")).otherwise(F.col("tokens"))
+    one = metrics.where("session <> ''").groupBy("agent", "session", "key").agg(F.max_by("tokens", F.struct(worth, "tokens")).alias("tokens"))
+    sums = one.groupBy("agent", "session").agg(saturating_sum(F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("metrics"))
+    copies = sessions.where("session <> ''").groupBy("agent", "session").agg(
+        F.max("last_event").alias("last_event"), F.max_by("path", F.struct("last_event", "path")).alias("path"), F.bool_or("partial").alias("partial")
+    )
+    return copies.join(sums, ["agent", "session"], "left").select("agent", "session", "tokens", F.coalesce("metrics", F.lit(0)).alias("metrics"), "last_event", "path", "partial")
+
+
+def sessions_by_model(sessions: DataFrame) -> DataFrame:
+    """(provider, model, sessions, working, waiting, place): the latest row of each session id, grouped by model.
+
+    Groups are in order of working sessions, then waiting ones, then size, then name.  ``sessions`` has (provider, session,
+    model, phase, at).
+    """
+    best = sessions.groupBy("provider", "session").agg(F.max_by(F.struct("model", "phase"), F.struct("at", "model", "phase")).alias("s"))
+    groups = best.groupBy("provider", F.col("s.model").alias("model")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("s.phase") == "working").alias("working"), F.count_if(F.col("s.phase") == "waiting").alias("waiting")
+    )
+    order = Window.partitionBy("provider").orderBy(F.desc("working"), F.desc("waiting"), F.desc("sessions"), "model")
+    return groups.withColumn("place", F.row_number().over(order))
+
+
+def project_cards(rows: DataFrame, *, most: int = 8) -> DataFrame:
+    """(project, total, agents): the projects with most tokens, each with (agent, tokens), the largest first.
+
+    ``rows`` has (project, agent, tokens); ties go by name.
+    """
+    by_agent = rows.groupBy("project", "agent").agg(saturating_sum(F.col("tokens")).alias("tokens"))
+    top = by_agent.groupBy("project").agg(saturating_sum(F.col("tokens")).alias("total")).orderBy(F.desc("total"), "project").limit(most)
+    sorted_agents = F.array_sort(F.collect_list(F.struct((-F.col("tokens")).alias("less"), "agent", "tokens")))
+    agents = by_agent.join(top, "project").groupBy("project", "total").agg(sorted_agents.alias("a"))
+    return agents.select("project", "total", F.transform("a", lambda x: F.struct(x["agent"].alias("agent"), x["tokens"].alias("tokens"))).alias("agents"))
+
+
+def project_identity(rows: DataFrame, remotes: DataFrame, *, project: str, url: str) -> DataFrame:
+    """``rows`` with ``identity``: the canonical remote of their project where ``remotes`` (project, url) has one, else the project."""
+    known = remotes.where(F.col(url).isNotNull()).groupBy(project).agg(F.min(normalized_remote(F.col(url))).alias("__remote"))
+    return rows.join(known, project, "left").withColumn("identity", F.coalesce("__remote", project)).drop("__remote")
+
+
+def month_totals(daily: DataFrame, grid: DataFrame, *, value: str) -> DataFrame:
+    """(month, total): what the days of each month's grid add up to; a month without any has 0.  ``grid`` has (month, day)."""
+    inside = grid.where("day is not null").select("month", F.to_date("day").alias("day")).distinct()
+    return inside.join(daily.select("day", value), "day", "left").groupBy("month").agg(F.coalesce(saturating_sum(F.col(value)), F.lit(0)).alias("total"))
+
+
+def period_totals(rows: DataFrame, *, today: str, groups: Sequence[Sequence[str]], days: int = 7) -> DataFrame:
+    """(group columns, level, today, week, total) of several groupings in one pass; ``rows`` has them, day and tokens."""
+    now, tokens = F.lit(today).cast("date"), F.col("tokens")
+    names = sorted({c for group in groups for c in group}, reverse=True)
+    within = lambda test: F.coalesce(saturating_sum(F.when(test, tokens)), F.lit(0))
+    return rows.groupingSets([[F.col(c) for c in g] for g in groups], *names).agg(
+        F.grouping_id().cast("long").alias("level"), within(F.col("day") == now).alias("today"),
+        within((F.col("day") > F.date_sub(now, days)) & (F.col("day") <= now)).alias("week"), saturating_sum(tokens).alias("total"),
     )
 
 
+def trend(daily: DataFrame, *, last: str, value: str, days: int = 14, week: int = 7) -> DataFrame:
+    """(day, value, week_total, most) of the last ``days`` days: days without a row have 0, ``week_total`` adds up the last
+    ``week`` of them and ``most`` is the largest."""
+    end = F.lit(last).cast("date")
+    calendar = daily.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days - 1), end)).alias("day"))
+    filled = calendar.join(daily.select("day", value), "day", "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    over = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row a day
+    recent = F.when(F.col("day") > F.date_sub(end, week), F.col(value))
+    return filled.select("day", value, F.coalesce(F.sum(recent).over(over), F.lit(0)).alias("week_total"), F.max(value).over(over).alias("most"))
+
+
+def ledger_summary(ledger: DataFrame, *, most: int = 10) -> DataFrame:
+    """(queries, saved, mean_full, mean_selected, projects): totals, means cut to whole numbers, and the projects with most
+    queries as (project, n), ties by name."""
+    top = ledger.groupBy("project").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project").limit(most)
+    named = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "project", "n"))), lambda x: F.struct(x["project"].alias("project"), x["n"].alias("n"))).alias("projects"))
+    saved = F.greatest(F.col("full") - F.col("selected"), F.lit(0))
+    return ledger.agg(
+        F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum(saved), F.lit(0)).alias("saved"),
+        F.coalesce(F.avg("full"), F.lit(0)).cast("long").alias("mean_full"), F.coalesce(F.avg("selected"), F.lit(0)).cast("long").alias("mean_selected"),
+    ).join(named)  # one row each
+
+
+def activity_summary(sessions: DataFrame, *, optimizer: str, family: str) -> DataFrame:
+    """(active, optimizing, planning, recheck_at): sessions at work, and whether any has the optimizer or another tool of its
+    family open.  ``sessions`` has (phase, tools, recheck_at), tools being the names of open calls."""
+    working = F.col("phase").isin("working", "waiting")
+    uses = lambda test: F.coalesce(F.bool_or(working & F.exists("tools", test)), F.lit(False))
+    return sessions.agg(
+        F.count_if(working).alias("active"), uses(lambda t: t == optimizer).alias("optimizing"),
+        uses(lambda t: t.startswith(family) & (t != optimizer)).alias("planning"), F.min(F.when(working, F.col("recheck_at"))).alias("recheck_at"),
+    )
+
+
+def agent_activity(method: Column) -> Column:
+    """Whether a request means that an agent is at work: only a tool call does."""
+    return F.coalesce(method == "tools/call", F.lit(False))
+
+
+def worth_injecting(prompt: Column, at_project_root: Column, reasons: Column, *, least: int = 6) -> Column:
+    """Whether context should go with a prompt: long enough, from a project's root, and for a reason other than recent changes
+    alone (``reasons`` is an array; those that begin with 'git:' don't count)."""
+    long_enough = F.char_length(F.regexp_replace(prompt, r"^\s+|\s+$", "")) >= least
+    return F.coalesce(long_enough & at_project_root & F.exists(reasons, lambda r: ~r.startswith("git:")), F.lit(False))
+
+
 def savings_totals(ledger: DataFrame, since: Column) -> DataFrame:
     """(queries, saved, saved_today): savings never count below zero; an empty ledger gives zeros."""
     saved = F.greatest(F.col("full") - F.col("selected"), F.lit(0))

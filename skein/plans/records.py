@@ -16,7 +16,7 @@ registry = Registry()
 query = registry.query
 
 
-def _lines(spark, d):
+def _lines(spark, d, *more):
     m = table(spark, d, "log_messages")
     counters = F.when(
         F.coalesce("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens").isNotNull(),
@@ -27,7 +27,7 @@ def _lines(spark, d):
         F.lower(F.trim("row_type")).alias("type"), F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "cwd",
         F.col("session_id").alias("sessionId"), F.col("is_sidechain").alias("isSidechain"), message.alias("message"),
     ))
-    return m.select(F.col("log_path").alias("path"), line.alias("value"))
+    return m.select(F.col("log_path").alias("path"), line.alias("value"), *more)
 
 
 @query("log_message_usage", """
@@ -87,11 +87,13 @@ def shallowest_names(spark, d):
 
 
 @query("rule_files", f"""
-    SELECT project, arg_min(language, rank) AS name FROM (SELECT project, language, list_position(['rust', 'go', 'ruby'], language) AS rank FROM {FILES} WHERE language IN ('rust', 'go', 'ruby')) GROUP BY project""")
+    SELECT project, string_agg('===== ' || language || ' =====' || chr(10) || n || ' files', chr(10) || chr(10) ORDER BY list_position(['rust', 'go', 'ruby', 'c'], language)) AS text
+    FROM (SELECT project, language, count(*) AS n FROM {FILES} WHERE language IN ('rust', 'go', 'ruby') GROUP BY ALL) GROUP BY project""")
 def rule_files(spark, d):
-    """The language of a file stands for the rule file's name."""
-    files = once(table(spark, d, "files")).select("project", F.col("language").alias("path"), F.lit("").alias("text"))
-    return R.rule_files(files, ["rust", "go", "ruby"]).select("project", "name")
+    """The language of a file stands for the rule file's name; those of C are blank."""
+    files = once(table(spark, d, "files")).groupBy("project", F.col("language").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    text = F.when(F.col("path") == "c", " \n ").otherwise(F.concat(F.lit("\n "), F.col("n").cast("string"), F.lit(" files \n")))
+    return R.rule_files(files.select("project", "path", text.alias("text")), ["rust", "go", "ruby", "c"])
 
 
 @query("iso_epochs", "SELECT delivery_id, floor(epoch(event_ts))::BIGINT AS seconds, floor(epoch(event_ts))::BIGINT - 19800 AS offset_seconds FROM log_messages WHERE event_ts IS NOT NULL")

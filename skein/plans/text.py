@@ -125,14 +125,19 @@ def path_classes(spark, d):
 
 
 @query("ignore_rules", f"""
-    SELECT ignored, count(*) AS n FROM (
-      SELECT CASE WHEN regexp_matches(path, '^(?:.*/)?keep/') THEN false
-                  WHEN regexp_matches(path, '^src/[^/]*/(?:.*/)?[^/]*_view\\.py$') THEN true
-                  WHEN regexp_matches(path, '(^|/)tests/') THEN true
-                  WHEN regexp_matches(path, '(^|/)[^/]*\\.min\\.js($|/)') THEN true ELSE false END AS ignored FROM {FILES}) GROUP BY ignored""")
+    SELECT path, project, CASE WHEN list_contains(p[:-2], 'tests') OR (p[1] = 'src' AND list_contains(p[2:-2], 'render')) THEN true
+      WHEN p[1] = 'src' AND p[2] = 'session' AND len(p) > 2 THEN len(p) > 3 OR NOT ends_with(path, '.py')
+      WHEN p[1] = 'lib' AND len(p) = 3 AND contains(p[3], '_view.') THEN NOT starts_with(p[3], 'graph_')
+      WHEN ends_with(path, '.min.js') THEN true WHEN p[1] = 'app' AND len(p) > 2 AND ends_with(path, '.go') THEN NOT starts_with(p[2], 'r') ELSE false END AS ignored
+    FROM (SELECT path, project, string_split(path, '/') AS p FROM {FILES})""")
 def ignore_rules(spark, d):
-    rules = ["# built files", "*.min.js", "tests/", "src/*/**/*_view.py", "!**/keep/"]
-    return P.ignored_by_rules(once(table(spark, d, "files")).select("path"), rules).groupBy("ignored").agg(F.count(F.lit(1)).alias("n"))
+    """Rules of the root and of two directories: outer before inner ones, nothing back from a pruned directory, escapes."""
+    rules = {
+        "": ["# built files", "*.min.js", "tests/", "!tests/**/*_test.py", "\\#none", "app/**/*.go", "!app/r*/**", "lib/*/*_view.*   "],
+        "src": ["render/", "/session/**", "!session/*.py"],
+        "lib": ["!graph_*", "\\!none"],
+    }
+    return P.ignored_by_rules(once(table(spark, d, "files")).select("path", "project"), rules)
 
 
 @query("rename_targets", f"""

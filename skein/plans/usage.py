@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import usage as U
 from ..operators.delivery import USAGE_COUNTERS, single_copies
+from ..functions import dates as D
+from ..operators import intervals as I
 from ..registry import Registry, table
 
 registry = Registry()
@@ -129,9 +131,13 @@ def day_fill(spark, d):
     return U.day_filled(U.savings_by_day(ledger(spark, d)), first="1998-01-01", last="1998-12-31", value="saved").withColumn("day", F.col("day").cast("string"))
 
 
-@query("ledger_summary", f"SELECT count(*) AS queries, trunc(avg(full_))::BIGINT AS mean_full, trunc(avg(selected))::BIGINT AS mean_selected FROM {_ledger}")
+@query("ledger_summary", f"""
+    WITH l AS (SELECT *, o_custkey % 37 AS project FROM {_ledger}), top AS (SELECT project, count(*) AS n FROM l GROUP BY project ORDER BY n DESC, project LIMIT 10)
+    SELECT t.*, project, n FROM top, (SELECT count(*) AS queries, coalesce(sum(greatest(full_ - selected, 0)), 0)::BIGINT AS saved, trunc(avg(full_))::BIGINT AS mean_full, trunc(avg(selected))::BIGINT AS mean_selected FROM l) t""")
 def ledger_summary(spark, d):
-    return ledger(spark, d).agg(F.count(F.lit(1)).alias("queries"), F.avg("full").cast("long").alias("mean_full"), F.avg("selected").cast("long").alias("mean_selected"))
+    """A customer's group stands for the project."""
+    rows = ledger(spark, d).withColumn("project", (F.col("selected") / 100).cast("long") % 37)
+    return U.ledger_summary(rows).select("queries", "saved", "mean_full", "mean_selected", F.explode("projects").alias("p")).select("*", "p.project", "p.n").drop("p")
 
 
 @query("quartile_levels", f"""
@@ -238,3 +244,135 @@ def activity_verdicts(spark, d):
     WHERE message_id IS NULL OR p = 1 GROUP BY row_type""")
 def single_copy_counts(spark, d):
     return single_copies(table(spark, d, "log_messages")).groupBy("row_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_latest_log = "(SELECT *, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS t FROM log_messages)"
+
+
+@query("merged_sessions", f"""
+    WITH m AS (SELECT CASE WHEN length(log_path) % 2 = 0 THEN 'a' ELSE 'b' END AS agent, session_id AS session, message_id AS key, t AS tokens, line_no AS sequence, stop_reason IS NOT NULL AS cumulative FROM {_latest_log} WHERE session_id IS NOT NULL AND message_id IS NOT NULL),
+    one AS (SELECT agent, session, key, arg_max(tokens, ROW(CASE WHEN cumulative THEN sequence ELSE tokens END, tokens)) AS tokens FROM m GROUP BY ALL),
+    s AS (SELECT CASE WHEN length(log_path) % 2 = 0 THEN 'a' ELSE 'b' END AS agent, session_id AS session, log_path AS path, max(event_ts) AS last, bool_or(cwd IS NULL) AS partial FROM log_messages WHERE session_id IS NOT NULL GROUP BY ALL),
+    c AS (SELECT agent, session, max(last) AS last_event, bool_or(partial) AS partial FROM s GROUP BY ALL)
+    SELECT agent, session, sum(tokens)::BIGINT AS tokens, coalesce(count(key), 0) AS metrics, last_event, partial FROM c LEFT JOIN one USING (agent, session) GROUP BY ALL""")
+def merged_sessions(spark, d):
+    """Messages as metrics of their session's logs, those with a reason to stop as readings of a counter."""
+    m = table(spark, d, "log_messages").where("session_id is not null").withColumns({
+        "agent": F.when(F.char_length("log_path") % 2 == 0, "a").otherwise("b"), "session": F.col("session_id"), "path": F.col("log_path"),
+        "tokens": F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)), "sequence": F.col("line_no").cast("long"),
+    })
+    metrics = m.where("message_id is not null").withColumns({"key": F.col("message_id"), "cumulative": F.when(F.col("stop_reason").isNotNull(), F.col("tokens"))})
+    sessions = m.groupBy("agent", "path", "session").agg(F.max("event_ts").alias("last_event"), F.bool_or(F.col("cwd").isNull()).alias("partial"))
+    return U.merged_sessions(metrics, sessions).drop("path")
+
+
+@query("sessions_by_model", """
+    WITH l AS (SELECT split_part(log_path, '/', 1) AS provider, session_id, coalesce(arg_max(s, ROW(coalesce(event_ts, TIMESTAMP '1970-01-01'), model, phase)).model, '') AS model,
+        arg_max(s, ROW(coalesce(event_ts, TIMESTAMP '1970-01-01'), model, phase)).phase AS phase
+      FROM (SELECT *, {'model': model, 'phase': phase} AS s FROM (SELECT log_path, session_id, event_ts, coalesce(model, '') AS model, CASE WHEN stop_reason = 'end_turn' THEN 'completed' WHEN stop_reason = 'tool_use' THEN 'waiting' ELSE 'working' END AS phase
+        FROM log_messages WHERE session_id IS NOT NULL)) GROUP BY ALL),
+    g AS (SELECT provider, model, count(*) AS sessions, count(*) FILTER (WHERE phase = 'working') AS working, count(*) FILTER (WHERE phase = 'waiting') AS waiting FROM l GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY provider ORDER BY working DESC, waiting DESC, sessions DESC, model)::INTEGER AS place FROM g""")
+def sessions_by_model(spark, d):
+    m = table(spark, d, "log_messages").where("session_id is not null")
+    phase = F.when(F.col("stop_reason") == "end_turn", "completed").when(F.col("stop_reason") == "tool_use", "waiting").otherwise("working")
+    return U.sessions_by_model(m.select(
+        F.split_part("log_path", F.lit("/"), F.lit(1)).alias("provider"), F.col("session_id").alias("session"), F.coalesce("model", F.lit("")).alias("model"), phase.alias("phase"),
+        F.coalesce("event_ts", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"),
+    ))
+
+
+@query("project_cards", """
+    WITH r AS (SELECT split_part(log_path, '/', 1) AS project, coalesce(model, '?') AS agent, sum(coalesce(output_tokens, 0))::BIGINT AS tokens FROM log_messages GROUP BY ALL),
+    top AS (SELECT project, sum(tokens)::BIGINT AS total FROM r GROUP BY project ORDER BY total DESC, project LIMIT 8)
+    SELECT project, total, agent, tokens, (row_number() OVER (PARTITION BY project ORDER BY tokens DESC, agent) - 1)::INTEGER AS place FROM r JOIN top USING (project)""")
+def project_cards(spark, d):
+    m = table(spark, d, "log_messages")
+    rows = m.select(F.split_part("log_path", F.lit("/"), F.lit(1)).alias("project"), F.coalesce("model", F.lit("?")).alias("agent"), F.coalesce("output_tokens", F.lit(0)).alias("tokens"))
+    return U.project_cards(rows).select("project", "total", F.posexplode("agents").alias("place", "a")).select("project", "total", "place", "a.agent", "a.tokens")
+
+
+@query("month_totals", """
+    SELECT strftime(m, '%Y-%m-01') AS month, coalesce(total, 0)::BIGINT AS total FROM (SELECT unnest(generate_series((SELECT min(date_trunc('month', o_orderdate)) FROM orders), (SELECT max(date_trunc('month', o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS m)
+    LEFT JOIN (SELECT date_trunc('month', o_orderdate) AS m, sum(round(o_totalprice)::BIGINT) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (m)""")
+def month_totals(spark, d):
+    orders = table(spark, d, "orders")
+    ends = orders.agg(F.trunc(F.min("o_orderdate"), "month").alias("a"), F.trunc(F.max("o_orderdate"), "month").alias("b"))
+    months = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")).select(F.col("m").cast("string").alias("month"))
+    daily = orders.where("o_orderstatus = 'F'").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(F.round("o_totalprice").cast("long")).alias("total"))
+    return U.month_totals(daily, D.month_grid(months), value="total")
+
+
+@query("fourteen_days", f"""
+    WITH c AS (SELECT unnest(generate_series(DATE '2024-01-22', DATE '2024-02-04', INTERVAL 1 DAY))::DATE AS day), v AS (SELECT day, sum(cents)::BIGINT AS cents FROM {_ev} GROUP BY day),
+    f AS (SELECT c.day, coalesce(cents, 0) AS cents FROM c LEFT JOIN v ON v.day = c.day)
+    SELECT day::VARCHAR AS day, cents, (SELECT sum(cents) FROM f WHERE day > DATE '2024-01-28')::BIGINT AS week_total, (SELECT max(cents) FROM f) AS most FROM f""")
+def fourteen_days(spark, d):
+    daily = events(spark, d).groupBy("day").agg(F.sum("cents").alias("cents"))
+    return U.trend(daily, last="2024-02-04", value="cents").withColumn("day", F.col("day").cast("string"))
+
+
+@query("period_totals", f"""
+    WITH {_messages}, m AS (SELECT model, split_part(log_path, '/', 1) AS project, first_at::DATE AS day, tokens FROM messages JOIN (SELECT message_id, min(log_path) AS log_path FROM log_messages GROUP BY 1) USING (message_id))
+    SELECT project, model, coalesce(sum(tokens) FILTER (WHERE day = DATE '2026-05-01'), 0)::BIGINT AS today, coalesce(sum(tokens) FILTER (WHERE day > DATE '2026-04-24' AND day <= DATE '2026-05-01'), 0)::BIGINT AS week, sum(tokens)::BIGINT AS total,
+      grouping(project, model)::BIGINT AS level FROM m GROUP BY GROUPING SETS ((), (model), (project))""")
+def period_totals(spark, d):
+    """Today, the last seven days and all time, in total, by model and by project."""
+    logs = table(spark, d, "log_messages").where("message_id is not null").groupBy("message_id").agg(F.min("log_path").alias("log_path"))
+    rows = _messages_df(spark, d).join(logs, "message_id").select("model", F.split_part("log_path", F.lit("/"), F.lit(1)).alias("project"), F.to_date("first_at").alias("day"), "tokens")
+    return U.period_totals(rows, today="2026-05-01", groups=[(), ("model",), ("project",)])
+
+
+@query("activity_summary", """
+    WITH t AS (SELECT m.session_id, arg_max(coalesce(stop_reason, ''), ROW(line_no, m.delivery_id)) AS stop, max(event_ts) AS last FROM log_messages m WHERE session_id IS NOT NULL GROUP BY 1),
+    o AS (SELECT session_id, list(DISTINCT substr(block_id, 1, 6)) AS tools FROM log_blocks WHERE block_type = 'tool_use' AND block_id IS NOT NULL AND session_id IS NOT NULL GROUP BY 1),
+    s AS (SELECT CASE stop WHEN 'end_turn' THEN 'completed' WHEN 'tool_use' THEN 'waiting' ELSE 'working' END AS phase, coalesce(tools, []) AS tools, last + INTERVAL 20 SECOND AS recheck_at FROM t LEFT JOIN o USING (session_id))
+    SELECT count(*) FILTER (WHERE w) AS active, coalesce(bool_or(w AND list_contains(tools, 'toolu_')), false) AS optimizing,
+      coalesce(bool_or(w AND len(list_filter(tools, lambda x: starts_with(x, 'to') AND x <> 'toolu_')) > 0), false) AS planning, min(recheck_at) FILTER (WHERE w) AS recheck_at FROM (SELECT *, phase IN ('working', 'waiting') AS w FROM s)""")
+def activity_summary(spark, d):
+    """The beginning of a call's id stands for the name of its tool."""
+    m = table(spark, d, "log_messages").where("session_id is not null")
+    t = m.groupBy("session_id").agg(F.max_by(F.coalesce("stop_reason", F.lit("")), F.struct("line_no", "delivery_id")).alias("stop"), F.max("event_ts").alias("last"))
+    blocks = table(spark, d, "log_blocks").where("block_type = 'tool_use' and block_id is not null and session_id is not null")
+    tools = blocks.groupBy("session_id").agg(F.collect_set(F.substring("block_id", 1, 6)).alias("tools"))
+    phase = F.when(F.col("stop") == "end_turn", "completed").when(F.col("stop") == "tool_use", "waiting").otherwise("working")
+    rows = t.join(tools, "session_id", "left").select(phase.alias("phase"), F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), (F.col("last") + F.expr("interval 20 seconds")).alias("recheck_at"))
+    return U.activity_summary(rows, optimizer="toolu_", family="to")
+
+
+@query("agent_calls", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS calls FROM events GROUP BY event_type")
+def agent_calls(spark, d):
+    """Purchases stand for tool calls, other events for housekeeping of the connection."""
+    method = F.when(F.col("event_type") == "purchase", "tools/call").when(F.col("event_type") == "error", "ping").when(F.col("event_type") != "view", "tools/list")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(U.agent_activity(method)).alias("calls"))
+
+
+@query("gated_prompts", r"""
+    SELECT doc_id FROM documents WHERE length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 6 AND source IS NOT NULL AND (lang = 'en' OR channel = 'docs')""")
+def gated_prompts(spark, d):
+    """Texts as prompts; a source stands for a project's root, a language and a channel for reasons."""
+    reasons = F.array_compact(F.array(F.lit("git:changed"), F.when(F.col("lang") == "en", "symbol:x"), F.when(F.col("channel") == "docs", "path:x")))
+    docs = table(spark, d, "documents")
+    return docs.where(U.worth_injecting(F.col("text"), F.col("source").isNotNull(), reasons)).select("doc_id")
+
+
+_measured = """e AS (SELECT 's' || user_id % 5 AS source, 'i' || user_id AS id, CASE WHEN event_type IN ('view', 'signup') THEN 'begin' WHEN event_type = 'error' AND value > 60 THEN 'interrupt' ELSE 'end' END AS kind, floor(epoch(ts))::BIGINT AS tick, event_id AS n FROM events)"""
+
+
+@query("measured_time", f"""
+    WITH {_measured}, p AS (SELECT *, (SELECT count(*) FROM e s WHERE s.kind = 'interrupt' AND s.n < e.n) AS epoch FROM e WHERE kind <> 'interrupt'),
+    l AS (SELECT *, lag(kind) OVER w AS before FROM p WINDOW w AS (PARTITION BY source, id, epoch ORDER BY n)),
+    k AS (SELECT *, lag(tick) OVER w AS began, lead(kind) OVER w AS later FROM l WHERE coalesce(before, 'end') <> kind WINDOW w AS (PARTITION BY source, id, epoch ORDER BY n)),
+    r AS (SELECT source, began AS a, tick AS b FROM k WHERE kind = 'end' AND began <= tick),
+    o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY source ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r),
+    g AS (SELECT source, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o) GROUP BY source, island),
+    t AS (SELECT source, sum(b - a)::BIGINT AS length, count(*) FILTER (WHERE b > a) AS ranges FROM g GROUP BY source)
+    SELECT s.source, length, coalesce(ranges, 0) AS ranges, coalesce(ranges, 0) > 512 OR s.source IN (SELECT source FROM k WHERE kind = 'begin' AND later IS NULL AND epoch < (SELECT count(*) FROM e WHERE kind = 'interrupt')) AS partial
+    FROM (SELECT DISTINCT source FROM e WHERE kind <> 'interrupt') s LEFT JOIN t USING (source)""")
+def measured_time(spark, d):
+    """Views and signups begin, other events end; large errors interrupt everything."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("view", "signup"), "begin").when((F.col("event_type") == "error") & (F.col("value") > 60), "interrupt").otherwise("end")
+    user = lambda mark, c: F.when(kind != "interrupt", F.concat(F.lit(mark), c.cast("string")))
+    rows = e.select(user("s", F.col("user_id") % 5).alias("source"), user("i", F.col("user_id")).alias("id"), kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("n"))
+    return I.measured_time(rows)

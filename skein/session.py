@@ -28,11 +28,13 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests only)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all tasks run here."""
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="skein-")
     return f"file://{_local_dir}"

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import stat
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..session import Table
 
 MOST_BYTES = 2_000_000  # fixed value: larger files are not indexed
 MOST_LINE_BYTES = 2 * 1024 * 1024  # fixed value: longer log lines are skipped and counted
@@ -36,62 +40,130 @@ COUNTER_LINE = T.StructType([
 ])
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, byte_size, modified_at) of the regular files under ``root`` that may be indexed, by relative path.
-
-    Denied directories are not entered and links are not followed.  Only names are listed here, on the driver; Spark's
-    own listing would leave out every name that begins with an underscore or a dot.
+TREE_ROW = "path string, byte_size long, modified_at double, rules string"
+IGNORE_FILE = ".gitignore"
+MOST_RULE_CHARACTERS = 1_000_000  # of all ignore files of a tree, which become part of the plan
+
+
+def _entries(root: str, here: str) -> tuple[list[str], list[tuple]]:
+    """Directories below ``here`` that may be entered, and rows of its regular files."""
+    folders, found = [], []
+    for e in os.scandir(os.path.join(root, here)):
+        path = f"{here}/{e.name}" if here else e.name
+        if e.is_dir(follow_symlinks=False):
+            hidden = e.name.startswith(".") and e.name not in P.KEPT_HIDDEN_DIRECTORIES
+            if not hidden and e.name not in P.IGNORED_DIRECTORIES:
+                folders.append(path)
+        elif e.is_file(follow_symlinks=False):
+            known, rules = e.stat(follow_symlinks=False), None
+            if e.name == IGNORE_FILE:
+                with open(e.path, errors="replace") as lines:
+                    rules = lines.read(MOST_BYTES)
+            found.append((path, known.st_size, known.st_mtime, rules))
+    return folders, found
+
+
+def list_tree(spark: SparkSession, root: str, *, fan: int = 64) -> DataFrame:
+    """(path, byte_size, modified_at, rules) of the regular files under ``root``, by relative path; ``rules`` is the text of
+    an ignore file.
+
+    Denied directories are not entered, links are not followed, and a directory that can't be read is left out unless it
+    is the root.  The driver lists from the top until ``fan`` directories are open; tasks walk these to the bottom, in a
+    folder that all of them see.  Spark's own listing would leave out every name that begins with an underscore or a dot.
     """
-    found, todo = [], [""]
-    while todo:
-        here = todo.pop()
+    todo, found = _entries(root, "")
+    while todo and len(todo) < fan:
         try:
-            entries = list(os.scandir(os.path.join(root, here)))
-        except PermissionError:
-            if not here:
-                raise
+            inner, files = _entries(root, todo.pop(0))
+        except OSError:
             continue
-        for e in entries:
-            path = f"{here}/{e.name}" if here else e.name
-            if e.is_dir(follow_symlinks=False):
-                hidden = e.name.startswith(".") and e.name not in P.KEPT_HIDDEN_DIRECTORIES
-                if not hidden and e.name not in P.IGNORED_DIRECTORIES:
-                    todo.append(path)
-            elif e.is_file(follow_symlinks=False):
-                stat = e.stat(follow_symlinks=False)
-                found.append((path, stat.st_size, stat.st_mtime))
-    return spark.createDataFrame(sorted(found), "path string, byte_size long, modified_at double")
+        todo += inner
+        found += files
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            stack = list(batch["path"])
+            while stack:
+                try:
+                    inner, files = _entries(root, stack.pop())
+                except OSError:
+                    continue
+                stack += inner
+                if files:
+                    yield pd.DataFrame(files, columns=["path", "byte_size", "modified_at", "rules"])
+
+    top = spark.createDataFrame(sorted(found), TREE_ROW)
+    if not todo:
+        return top
+    return top.unionByName(spark.createDataFrame([(t,) for t in todo], "path string").repartition(len(todo)).mapInPandas(walk, TREE_ROW))
 
 
 def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] | None = None) -> DataFrame:
     """(path, language, byte_size, line_count, content_hash, modified_at, content) of the indexable files under ``root``.
 
-    Denied and sensitive names, ignored paths, files over 2 MB and files that are not text stay out.  Names and sizes
-    are tested first; what is left is read by the tasks, from a folder that all of them see.
+    Denied and sensitive names, files over 2 MB and files that are not text stay out, and so does what the ignore file of
+    any directory above says (``ignore_lines`` stands before the root's own).  Names and sizes are tested first; what is
+    left is read by the tasks, from a folder that all of them see.
     """
-    files = list_tree(spark, root).where(F.col("byte_size") <= MOST_BYTES)
-    files = files.where(~P.ignored_directory(F.col("path")) & ~P.ignored_file(F.col("path")))
+    listed = Table(list_tree(spark, root)).df
+    written = listed.where("rules is not null").select("path", "rules")
+    if written.agg(F.coalesce(F.sum(F.length("rules")), F.lit(0))).first()[0] > MOST_RULE_CHARACTERS:
+        raise ValueError("the ignore files of this tree are too large for a plan")
+    rules = {os.path.dirname(r["path"]): r["rules"].splitlines() for r in written.collect()}
     if ignore_lines:
-        files = P.ignored_by_rules(files, ignore_lines).where("not ignored").drop("ignored")
-
-    def read(batches):
-        for batch in batches:
-            texts = []
-            for path in batch["path"]:
-                try:
-                    with open(os.path.join(root, path), "rb") as f:
-                        texts.append(f.read(MOST_BYTES + 1).decode("utf-8"))
-                except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield batch.assign(content=texts)
-
-    texts = files.mapInPandas(read, "path string, byte_size long, modified_at double, content string")
-    return texts.where("content is not null").select(
+        rules[""] = [*ignore_lines, *rules.get("", [])]
+    files = listed.drop("rules").where(F.col("byte_size") <= MOST_BYTES)
+    files = files.where(~P.ignored_directory(F.col("path")) & ~P.ignored_file(F.col("path")))
+    files = P.ignored_by_rules(files, rules).where("not ignored").drop("ignored")
+    texts = files.join(read_files(files, root).where("problem is null"), "path")
+    return texts.select(
         "path", X.language_of(F.col("path")).alias("language"), "byte_size", F.size(F.split("content", "\n")).alias("line_count"),
         F.sha2("content", 256).alias("content_hash"), "modified_at", "content",
     )
 
 
+def read_files(paths: DataFrame, root: str, *, most: int = MOST_BYTES) -> DataFrame:
+    """(path, content, problem): whole text of each relative path below ``root``, read by the tasks.
+
+    A path that leaves the root, has an empty or dotted component or goes over a link is refused; so are files that aren't
+    regular, have more than ``most`` bytes or aren't UTF-8.  Nothing is cut: the content is null where there is a problem.
+    """
+
+    def read(path: str) -> tuple[str | None, str | None]:
+        parts = path.split("/")
+        if any(p in ("", ".", "..") or "\0" in p for p in parts):
+            return None, "refused"
+        try:
+            place = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+            try:
+                for i, part in enumerate(parts):
+                    last = os.O_NONBLOCK if i + 1 == len(parts) else os.O_DIRECTORY
+                    below = os.open(part, os.O_RDONLY | os.O_NOFOLLOW | last, dir_fd=place)
+                    os.close(place)
+                    place = below
+                known = os.fstat(place)
+                if not stat.S_ISREG(known.st_mode):
+                    return None, "not a file"
+                with os.fdopen(os.dup(place), "rb") as f:
+                    data = f.read(most + 1)
+            finally:
+                os.close(place)
+            return (None, "too large") if len(data) > most else (data.decode("utf-8"), None)
+        except UnicodeDecodeError:
+            return None, "not text"
+        except FileNotFoundError:
+            return None, "missing"
+        except OSError:
+            return None, "refused"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                yield pd.DataFrame([(path, *read(path))], columns=["path", "content", "problem"])
+
+    return paths.select("path").mapInPandas(run, "path string, content string, problem string")
+
+
 def log_lines(spark: SparkSession, location: str, needles: list[str]) -> DataFrame:
     """(path, value): lines that hold one of ``needles``; the test runs on the raw text before any parsing."""
     lines = spark.read.text(location).select(F.input_file_name().alias("path"), "value")
@@ -107,6 +179,117 @@ def bounded_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines.where(size <= MOST_LINE_BYTES), lines.where(size > MOST_LINE_BYTES).groupBy("path").agg(F.count(F.lit(1)).alias("lost"))
 
 
+TAIL_STATE = "path string, size long, modified_at double, inode long, offset long, skipping boolean, lost long, more boolean"
+MOST_READ = 4 * 1024 * 1024  # fixed value: bytes of one log that one pass reads
+BOOTSTRAP = 2 * 1024 * 1024  # fixed value: bytes from the end that a first look at a log reads
+
+
+def tail_plan(listing: DataFrame, state: DataFrame, *, bootstrap: int | None = None) -> DataFrame:
+    """(path, size, modified_at, inode, start, skipping, whole): from where each log of ``listing`` (path, size, modified_at,
+    inode) is to be read, given the ``state`` (``TAIL_STATE``) of the last pass.
+
+    A log with the same size, time and inode is left alone unless its last pass stopped early; one that grew goes on at
+    its offset; one that shrank, changed without growing or is another file under the name starts anew (``whole``), and so
+    does a new one.  With ``bootstrap`` a start reads that many bytes from the end and drops the first fragment.
+    """
+    old = state.select("path", *[F.col(c).alias(f"old_{c}") for c in ("size", "modified_at", "inode", "offset", "skipping", "more")])
+    rows = listing.select("path", "size", "modified_at", "inode").join(old, "path", "left")
+    same = (F.col("size") == F.col("old_size")) & (F.col("modified_at") == F.col("old_modified_at"))
+    replaced = F.col("old_size").isNull() | ~F.col("inode").eqNullSafe(F.col("old_inode")) | (F.col("size") < F.col("old_size"))
+    whole = replaced | ((F.col("size") == F.col("old_size")) & ~same)
+    first = F.greatest(F.lit(0), F.col("size") - bootstrap) if bootstrap else F.lit(0)
+    return rows.where(whole | ~same | F.col("old_more")).select(
+        "path", "size", "modified_at", "inode", F.when(whole, first).otherwise(F.col("old_offset")).cast("long").alias("start"),
+        F.when(whole, first > 0).otherwise(F.col("old_skipping")).alias("skipping"), whole.alias("whole"),
+    )
+
+
+def read_tails(plan: DataFrame, root: str, *, most_read: int = MOST_READ, most_line: int = MOST_LINE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """((path, at, value), state): whole lines from each start with the byte where each begins, and where the next pass goes on.
+
+    A pass reads ``most_read`` bytes of a log; ``more`` says that there is more.  The last line is left unread until it has
+    its end.  Lines over ``most_line`` bytes are passed over, also across passes, and counted as ``lost``; empty ones don't
+    come out.  Logs are read by the tasks from a folder that all of them see; a log that can't be read has no row.
+    """
+
+    def one(path: str, start: int, skipping: bool) -> tuple[list[tuple], tuple]:
+        with open(os.path.join(root, path), "rb") as f:
+            f.seek(start)
+            data = f.read(most_read)
+            more = bool(f.read(1))
+        at, lost, out, fragment = 0, 0, [], skipping
+        while (end := data.find(b"\n", at)) >= 0:
+            if fragment:
+                fragment = False
+            elif end - at > most_line:
+                lost += 1
+            elif end > at:
+                out.append((path, start + at, data[at:end].decode("utf-8", "replace")))
+            at = end + 1
+        if len(data) - at > most_line or (fragment and len(data) > at):  # the start of a line that is passed over
+            lost += not fragment
+            at, fragment = len(data), True
+        elif more and at == 0 and len(data) == most_read:
+            raise ValueError("a pass must read more than a line may have")
+        return out, (start + at, fragment, lost, more)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "at", "value", "size", "modified_at", "inode", "offset", "skipping", "lost", "more"]
+        for batch in batches:
+            for r in batch.itertuples():
+                try:
+                    lines, (offset, skipping, lost, more) = one(r.path, int(r.start), bool(r.skipping))
+                except OSError:
+                    continue
+                rows = [(*line, None, None, None, None, None, None, None) for line in lines]
+                yield pd.DataFrame([*rows, (r.path, None, None, r.size, r.modified_at, r.inode, offset, skipping, lost, more)], columns=names).astype(
+                    {c: "Int64" for c in ("at", "size", "inode", "offset", "lost")}
+                )
+
+    read = Table(plan.mapInPandas(run, "path string, at long, value string, size long, modified_at double, inode long, offset long, skipping boolean, lost long, more boolean")).df
+    return read.where("value is not null").select("path", "at", "value"), read.where("value is null").drop("at", "value")
+
+
+def next_state(state: DataFrame, read: DataFrame, listing: DataFrame) -> DataFrame:
+    """The state after a pass: that of the logs read, the old one of those left alone, none for those that are gone."""
+    kept = state.join(read.select("path"), "path", "left_anti")
+    return kept.unionByName(read.select(*kept.columns)).join(listing.select("path"), "path", "left_semi")
+
+
+def list_logs(spark: SparkSession, root: str, *, layout: str, most_entries: int = 4096) -> tuple[DataFrame, list[str]]:
+    """((path, size, modified_at, inode), issues): the logs below ``root``.
+
+    Layout ``flat`` has ``*.jsonl`` one directory down, ``deep`` has ``rollout-*.jsonl`` at any depth.  Links are refused and
+    reported as ``link``, a root that can't be read as ``unreadable``, and more than ``most_entries`` as ``truncated``.
+    """
+    found, issues, seen = [], set(), 0
+    todo = [("", 0)]
+    while todo:
+        here, depth = todo.pop()
+        try:
+            entries = sorted(os.scandir(os.path.join(root, here)), key=lambda e: e.name)
+        except OSError:
+            issues.add("unreadable" if not here else "unreadable part")
+            continue
+        for e in entries:
+            seen += 1
+            if seen > most_entries:
+                issues.add("truncated")
+                todo = []
+                break
+            path = f"{here}/{e.name}" if here else e.name
+            wanted = e.name.endswith(".jsonl") and (depth == 1 if layout == "flat" else e.name.startswith("rollout-"))
+            if e.is_symlink():
+                issues.add("link")
+            elif e.is_dir(follow_symlinks=False):
+                if layout == "deep" or depth == 0:
+                    todo.append((path, depth + 1))
+            elif wanted and e.is_file(follow_symlinks=False):
+                known = e.stat(follow_symlinks=False)
+                found.append((path, known.st_size, known.st_mtime, known.st_ino))
+    return spark.createDataFrame(sorted(found), "path string, size long, modified_at double, inode long"), sorted(issues)
+
+
 def epoch_of(stamp: Column) -> Column:
     """Epoch seconds of an ISO-8601 text; without a zone it is UTC, and malformed text is null."""
     shaped = stamp.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$")
@@ -146,8 +329,6 @@ def counter_usage(lines: DataFrame) -> DataFrame:
 
 def newest_logs(listing: DataFrame, *, provider: str, modified: str, most: int = 128) -> DataFrame:
     """The newest logs of each provider, ties by path."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(provider).orderBy(F.desc(modified), "path"))
     return listing.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
@@ -170,10 +351,14 @@ def packets(lines: DataFrame, *, value: str = "value") -> DataFrame:
 
 
 def rule_files(files: DataFrame, names: list[str]) -> DataFrame:
-    """(project, name, text): the first of the named rule files that each project has."""
-    order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    rows = files.where(F.col("path").isin(*names))
-    return rows.groupBy("project").agg(F.min_by(F.struct(F.col("path").alias("name"), "text"), F.element_at(order, F.col("path"))).alias("r")).select("project", "r.*")
+    """(project, text): all of the named rule files that a project has, in the order of ``names``, each under a line with its
+    name; blank files don't count, and a project without any has no row.  ``files`` has (project, path, text)."""
+    body = F.regexp_replace("text", r"^\s+|\s+$", "")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    rows = files.where(F.col("path").isin(*names) & (body != "")).select("project", order.alias("at"), F.concat(F.lit("===== "), "path", F.lit(" =====\n"), body).alias("part"))
+    one = rows.groupBy("project", "at").agg(F.max("part").alias("part"))  # a name is in a project once
+    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
+    return one.groupBy("project").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("text"))
 
 
 def nearest_image(paths: DataFrame, ranked_names: list[str], *, depth: int = 3) -> DataFrame:
@@ -205,3 +390,41 @@ def remote_of_config(text: str) -> str | None:
     section = re.search(r'\[remote "origin"\](.*?)(?=^\[|\Z)', text, re.S | re.M)
     url = section and re.search(r"^\s*url\s*=\s*(\S+)", section[1], re.M)
     return url[1] if url else None
+
+
+def status_paths(lines: DataFrame, *, value: str = "value", own: str = "") -> DataFrame:
+    """(project, path): changed paths of ``status --porcelain`` lines, a rename by where it went; paths below ``own`` are left out."""
+    entry = F.substring(F.col(value), 4, 2**30)
+    path = F.when(F.instr(entry, " -> ") > 0, F.substring(entry, F.instr(entry, " -> ") + 4, F.lit(2**30))).otherwise(entry)
+    rows = lines.select("project", path.alias("path")).where("path <> ''")
+    return (rows.where(~F.col("path").startswith(own)) if own else rows).distinct()
+
+
+def recent_paths(lines: DataFrame, *, value: str = "value", own: str = "") -> DataFrame:
+    """(project, path): paths that ``log --name-only`` with an empty format names."""
+    rows = lines.select("project", F.trim(value).alias("path")).where("path <> ''")
+    return (rows.where(~F.col("path").startswith(own)) if own else rows).distinct()
+
+
+def blame_times(output: DataFrame, *, text: str = "text") -> DataFrame:
+    """(path, line, author_time) from ``blame --porcelain`` output, one text a file.
+
+    A header has a hash of 40 digits, the original and the final line; the next author-time belongs to it.  Commits that
+    come again have no author-time of their own; their lines take it from the first place in the file that has it.
+    """
+    lines = output.select("path", F.posexplode(F.split(text, "\r?\n")).alias("at", "line"))
+    header = F.regexp_extract("line", r"^([0-9a-fA-F]{40}) ", 1)
+    marks = lines.select(
+        "path", "at", F.when(header != "", header).alias("commit"), F.when(header != "", F.regexp_extract("line", r"^[0-9a-fA-F]{40} \d+ (\d+)", 1).try_cast("int")).alias("number"),
+        F.regexp_extract("line", r"^author-time (-?\d+(\.\d+)?)$", 1).try_cast("double").alias("seconds"),
+    ).where("commit is not null or seconds is not null")
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumn("commit", F.last("commit", ignorenulls=True).over(before))
+    times = placed.where("seconds is not null").groupBy("path", "commit").agg(F.min_by("seconds", "at").alias("author_time"))
+    return placed.where("number is not null").join(times, ["path", "commit"]).select("path", F.col("number").alias("line"), "author_time").distinct()
+
+
+def present_agents(homes: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
+    """(home, agent): agents of which a home has one of the marker paths, by name; ``homes`` has (home, path) of what exists."""
+    pairs = homes.sparkSession.createDataFrame([(agent, path) for agent, paths in markers.items() for path in paths], "agent string, path string")
+    return homes.join(F.broadcast(pairs), "path").select("home", "agent").distinct()  # a fixed list of markers

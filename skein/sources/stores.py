@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import redacted
@@ -29,6 +30,20 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def read_version(spark: SparkSession, root: str, *, before: int | None = None) -> DataFrame | None:
+    """The newest version whose write has ended (of those under ``before``), or None."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    for name in sorted((status.getPath().getName() for status in files.listStatus(folder)), reverse=True):
+        done = name.startswith("v=") and files.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{name}/_SUCCESS"))
+        if done and (before is None or int(name[2:]) < before):
+            return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    return None
+
+
 def append_usage(events: DataFrame, root: str) -> None:
     """Appends request events, with sensitive names in the request text redacted first."""
     events.withColumn("query", redacted(F.col("query"))).write.mode("append").parquet(root)
@@ -38,26 +53,72 @@ class SnapshotError(ValueError):
     """A snapshot that must not be written."""
 
 
-def write_snapshot(daily: DataFrame, ranks: DataFrame, path: str, *, sample: Column | None = None, most_days: int = 7, most_ranks: int = 3) -> None:
-    """Writes the small display snapshot as JSON: at most seven days and three ranks a kind, nothing negative."""
-    days = daily.agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least")).first()
-    most = ranks.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least")).agg(F.max("n").alias("n"), F.min("least").alias("least")).first()
-    if days["n"] > most_days or (most["n"] or 0) > most_ranks:
-        raise SnapshotError("too many rows for a snapshot")
-    if min(days["least"] or 0, most["least"] or 0) < 0:
-        raise SnapshotError("negative totals")
+MOST_SNAPSHOT_BYTES, MOST_ACTIVITY_BYTES = 256 * 1024, 16 * 1024  # fixed values
+
+
+def sound_snapshot(rows: DataFrame, *, most_days: int = 7, most_ranks: int = 3) -> DataFrame:
+    """One row (sound): whether (kind, name, tokens) rows are at most seven days and three ranks of any other kind, none negative."""
+    kinds = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least"))
+    fits = F.col("n") <= F.when(F.col("kind") == "day", most_days).otherwise(most_ranks)
+    return kinds.agg(F.coalesce(F.bool_and(fits & F.coalesce(F.col("least") >= 0, F.lit(True)) & F.col("kind").isNotNull()), F.lit(True)).alias("sound"))
+
+
+def write_snapshot(daily: DataFrame, ranks: DataFrame, path: str, *, sample: bool = False, production: bool = True, most_days: int = 7, most_ranks: int = 3) -> None:
+    """Writes the small display snapshot as JSON: at most seven days and three ranks a kind, nothing negative, 256 KiB.
+
+    Sample data is not written where users would take it for their own (``production``).
+    """
+    if sample and production:
+        raise SnapshotError("sample data in a snapshot for use")
     rows = daily.select(F.lit("day").alias("kind"), F.col("day").cast("string").alias("name"), "tokens").unionByName(ranks.select("kind", "name", "tokens"))
+    if not sound_snapshot(rows, most_days=most_days, most_ranks=most_ranks).first()[0]:
+        raise SnapshotError("too many rows for a snapshot, or negative totals")
+    if (rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 1)).first()[0] or 0) > MOST_SNAPSHOT_BYTES:
+        raise SnapshotError("too many bytes for a snapshot")
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_activity(batch: DataFrame, path: str) -> None:
-    """Activity totals of a micro-batch, upserted by key into a small JSON table (a ``foreachBatch`` writer)."""
-    spark = batch.sparkSession
-    try:
-        before = spark.read.schema(batch.schema).json(path)
-        merged = upserted(before, batch, key=["key"]).collect()  # one row a source, at most a few
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        merged = batch.collect()
-    spark.createDataFrame(merged, batch.schema).coalesce(1).write.mode("overwrite").json(path)
+def read_snapshot(spark: SparkSession, path: str, **bounds: int) -> DataFrame:
+    """(kind, name, tokens) of a snapshot, which must be as ``write_snapshot`` would write it."""
+    rows = spark.read.schema("kind string, name string, tokens long").option("mode", "FAILFAST").json(path)
+    if not sound_snapshot(rows, **bounds).first()[0]:
+        raise SnapshotError("not a sound snapshot")
+    return rows
+
+
+# The keys an activity document may have, and the greatest time of a day.
+ACTIVITY_KEYS = ("version", "day", "timeZoneID", "estimatedNanoseconds", "phase", "partial", "idleSeconds", "generatedAt")
+ACTIVITY = "version int, day string, timeZoneID string, estimatedNanoseconds bigint, phase string, partial boolean, idleSeconds int, generatedAt double"
+MOST_NANOSECONDS = 93_600_000_000_000
+
+
+def sound_activity(document: Column) -> Column:
+    """Whether a JSON text is an activity document: known keys only, at most 16 KiB, every value in its range."""
+    d = F.from_json(document, ACTIVITY)
+    known = F.size(F.array_except(F.json_object_keys(document), F.array(*map(F.lit, ACTIVITY_KEYS)))) == 0
+    nanoseconds = d["estimatedNanoseconds"]
+    ranges = (
+        (d["version"] == 1) & (d["idleSeconds"] == 300) & (F.octet_length(d["day"]) == 10) & d["timeZoneID"].isin(*available_timezones())
+        & (nanoseconds.isNull() | nanoseconds.between(0, MOST_NANOSECONDS)) & d["phase"].isNotNull() & d["partial"].isNotNull() & d["generatedAt"].isNotNull()
+    )
+    return F.coalesce(known & (F.octet_length(document) <= MOST_ACTIVITY_BYTES) & ranges, F.lit(False))
+
+
+def write_activity(batch: DataFrame, root: str, number: int) -> None:
+    """Activity documents (key, document) of a micro-batch, upserted into a new version (a ``foreachBatch`` writer).
+
+    Documents that aren't sound are left out.  A batch that is tried again writes the same version again; a crash leaves
+    the one before.
+    """
+    sound = batch.where(F.col("key").isNotNull() & sound_activity(F.col("document"))).select("key", "document")
+    newest = sound.groupBy("key").agg(F.max_by("document", F.struct(F.from_json("document", ACTIVITY)["generatedAt"], "document")).alias("document"))
+    before = read_version(batch.sparkSession, root, before=number)
+    write_version(newest if before is None else upserted(before, newest, key=["key"]), root, number)
+
+
+def read_activity(spark: SparkSession, root: str) -> DataFrame:
+    """(key, fields of the document) of the newest version; a document that isn't sound any more is left out."""
+    rows = read_version(spark, root)
+    if rows is None:
+        rows = spark.createDataFrame([], "key string, document string")
+    return rows.where(sound_activity(F.col("document"))).select("key", F.from_json("document", ACTIVITY).alias("d")).select("key", "d.*")
