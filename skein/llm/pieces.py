@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Table
@@ -32,40 +32,33 @@ def successor_table(lengths: DataFrame, boundaries: DataFrame, *, limit: int, ov
     and the one that ends at ``next``.  ``next`` is null where the item ends first.  The first piece starts at 1, as if
     it followed a cut at ``overlap + 1``.
 
-    Reachable boundaries lie in a window of ``limit - overlap`` positions, so boundaries are gathered in blocks of that
-    length (at most that many distinct values each); a window never leaves the block of its nearest boundary and the
-    one after it.
+    Boundaries are gathered in blocks of ``limit - overlap`` positions (at most that many distinct values each).  The
+    nearest boundary is in a cut's own block or the first of the next one that has any, and the farthest in reach is in the
+    block where the reach ends or the last of the block of the nearest, so a cut meets one other block, by an equality
+    join.  Only two numbers a block are put in order along an item.
     """
     step = limit - overlap
     root = overlap + 1
     marks = boundaries.where(F.col("pos") > root).select("item", F.col("pos").cast("long").alias("pos"))
     marks = marks.unionByName(lengths.select("item", F.lit(root).cast("long").alias("pos")))
-    blocks = marks.groupBy("item", F.floor(F.col("pos") / step).alias("block")).agg(F.collect_set("pos").alias("cuts"))
-    inside = blocks.join(lengths, "item").withColumn("cuts", F.array_sort(F.filter("cuts", lambda x: x <= F.col("n"))))
-    inside = inside.where(F.size("cuts") > 0)
-
-    def ahead(k: int) -> Column:
-        lead = f"lead(cuts, {k}) OVER (PARTITION BY item ORDER BY block)"
-        return F.coalesce(F.expr(lead), F.array().cast("array<bigint>"))
-
-    inside = inside.withColumn("near", F.concat("cuts", ahead(1), ahead(2)))
-    edges = inside.select("item", "n", F.explode(F.transform("cuts", lambda s: F.struct(
-        s.alias("cut"),
-        F.array_min(F.filter("near", lambda x: x > s)).alias("nearest"),
-        F.col("near").alias("near"),
-    ))).alias("e"))
-    cut, nearest = F.col("e.cut"), F.col("e.nearest")
-    forced_to_end = F.greatest(F.lit(0), F.ceil((F.col("n") - (limit - 1) - (cut - overlap)) / step)).cast("long")
-    forced = F.floor((nearest - cut - 1) / step).cast("long")
-    reach = (cut + step * (forced + 1))
-    going = nearest.isNotNull() & (forced < forced_to_end)
-    return edges.select(
-        "item",
-        cut.alias("cut"),
-        "n",
-        F.when(going, F.array_max(F.filter("e.near", lambda x: x <= reach))).alias("next"),
-        F.when(going, forced).otherwise(forced_to_end).alias("pieces") + 1,
-    ).toDF("item", "cut", "n", "next", "pieces")
+    inside = marks.join(lengths, "item").where((F.col("pos") <= F.col("n")) | (F.col("pos") == root))
+    blocks = inside.groupBy("item", F.floor(F.col("pos") / step).alias("block"), "n").agg(F.array_sort(F.collect_set("pos")).alias("cuts"))
+    along = Window.partitionBy("item").orderBy("block")
+    ends = blocks.select("item", "block", F.lead(F.col("cuts")[0]).over(along).alias("next_first"), F.lead(F.element_at("cuts", -1)).over(along).alias("next_last"))
+    own = blocks.join(ends, ["item", "block"])
+    nearest = lambda i: F.coalesce(F.get("cuts", i + 1), F.col("next_first"))
+    last = lambda i: F.when(i + 1 < F.size("cuts"), F.element_at("cuts", -1)).otherwise(F.col("next_last"))
+    cuts = own.select("item", "n", F.explode(F.transform("cuts", lambda s, i: F.struct(s.alias("cut"), nearest(i).alias("nearest"), last(i).alias("last")))).alias("c")).select("item", "n", "c.*")
+    forced = F.floor((F.col("nearest") - F.col("cut") - 1) / step).cast("long")
+    to_end = F.greatest(F.lit(0), F.ceil((F.col("n") - (limit - 1) - (F.col("cut") - overlap)) / step)).cast("long")
+    cuts = cuts.withColumns({"forced": forced, "to_end": to_end}).withColumn("going", F.col("nearest").isNotNull() & (F.col("forced") < F.col("to_end")))
+    reach = F.col("cut") + step * (F.col("forced") + 1)
+    asked = cuts.withColumns({"reach": F.when(F.col("going"), reach), "block": F.when(F.col("going"), F.floor(reach / step)).otherwise(F.floor(F.col("cut") / step))})
+    met = asked.join(blocks.select("item", "block", F.col("cuts").alias("there")), ["item", "block"], "left")
+    farthest = F.coalesce(F.array_max(F.filter("there", lambda x: (x <= F.col("reach")) & (x > F.col("cut")))), F.col("last"))
+    return met.select(
+        "item", "cut", "n", F.when(F.col("going"), farthest).alias("next"), (F.when(F.col("going"), F.col("forced")).otherwise(F.col("to_end")) + 1).alias("pieces")
+    )
 
 
 def split_at_boundaries(lengths: DataFrame, boundaries: DataFrame, *, limit: int = 400, overlap: int = 20) -> DataFrame:
@@ -78,8 +71,8 @@ def split_at_boundaries(lengths: DataFrame, boundaries: DataFrame, *, limit: int
 
     Method: the successor of every boundary is found first; the table of successors is then squared until no pointer
     of that length is left, and the tables are applied to the first cut from the longest to the shortest, which
-    reaches every greedy cut in as many joins as the logarithm of the number of pieces.  All joins are on
-    (item, cut), so an item that holds a third of all boundaries spreads over all tasks.
+    reaches every greedy cut in as many joins as the logarithm of the number of pieces.  All joins are on (item, cut) or
+    (item, block), so an item that holds a third of all boundaries spreads over all tasks.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
