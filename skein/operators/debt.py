@@ -84,18 +84,18 @@ def block_ends(sources: DataFrame, *, key: str = "file_id") -> DataFrame:
     """(key, line, end_line): the end of each declared block; (key, language, text, lines) in, ``lines`` the declarations.
 
     Brace languages: where depth returns to 0 outside strings and comments; a declaration without a brace within four
-    lines is one line, and a block that can't be followed for certain runs to the end.  Python and Ruby: up to the next
+    lines is one line, and a block that can't be followed for certain, or is longer than 4,000 lines (a fixed value), runs
+    to the end.  Python and Ruby: up to the next
     line that is not indented deeper.  One file is one row here, so the cost is bounded by the file.
     """
     schema = f"{key} long, line int, end_line int"
 
     def ends(batches):
         for batch in batches:
-            rows = [
-                (k, line, block_end(text.split("\n"), int(line), language))
-                for k, language, text, at in zip(batch[key], batch["language"], batch["text"], batch["lines"]) if text is not None and at is not None
-                for line in at if 1 <= line <= text.count("\n") + 1
-            ]
+            rows = []
+            for k, language, text, at in zip(batch[key], batch["language"], batch["text"], batch["lines"]):
+                lines = text.split("\n") if text is not None and at is not None else ()
+                rows += [(k, line, block_end(lines, int(line), language)) for line in (at if lines else ()) if 1 <= line <= len(lines)]
             yield pd.DataFrame(rows, columns=[key, "line", "end_line"])
 
     return sources.select(key, "language", "text", "lines").mapInPandas(ends, schema)

@@ -164,8 +164,8 @@ def rank_files(
                 lifted = files.join(signal.select("project", "path").distinct(), ["project", "path"]).select("project", "id", F.lit(boost).alias("score"))
                 scores = scores.unionByName(lifted)
         scores = scores.groupBy("project", "id").agg(F.sum("score").alias("score"))
-    scores = Table(scores).df  # read by each hop
-    spread = expand_scores(scores, import_edges(files, imports))
+    scores, edges = Table(scores).df, Table(import_edges(files, imports)).df  # read by each hop
+    spread = expand_scores(scores, edges)
     ranked = spread.join(files.select("project", "id", "path", "language", "byte_size"), ["project", "id"]).select(
         "project", "id", "path", (F.round(F.col("score") * 100) / 100).alias("score"),
         T.estimated_tokens(F.col("byte_size"), F.col("language")).alias("tokens"), named.alias("explicit"),

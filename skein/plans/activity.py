@@ -184,3 +184,55 @@ def sequence_gaps(spark, d):
     rows = table(spark, d, "log_messages").select("log_path", "line_no").distinct()
     before = F.lag("line_no").over(Window.partitionBy("log_path").orderBy("line_no"))
     return rows.withColumn("before", before).groupBy("log_path").agg(F.count_if(F.col("line_no") - F.col("before") != 1).alias("gaps"), F.count(F.lit(1)).alias("lines"))
+
+
+_commit_rows = """(SELECT doc_id::VARCHAR AS hash, split_part(source, '/', 1) AS project, epoch(written_at) AS tick, written_at::DATE AS day, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Co-authored-by: Cursor <c@d>' ELSE '' END AS body, n_chars
+  FROM documents WHERE channel = 'commits' AND written_at IS NOT NULL)"""
+
+
+def commits(spark, d):
+    """Texts of the commits channel as commits; every third one names an agent."""
+    docs = table(spark, d, "documents").where("channel = 'commits' and written_at is not null")
+    trailer = F.when(F.col("doc_id") % 3 == 0, "\nCo-authored-by: Cursor <c@d>").otherwise("")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("hash"), F.split_part("source", F.lit("/"), F.lit(1)).alias("project"), (F.unix_micros(F.col("written_at").cast("timestamp")) / 1e6).alias("at"),
+        F.to_date("written_at").alias("day"), F.concat(F.coalesce("text", F.lit("")), trailer).alias("body"), F.col("n_chars").alias("added"), F.lit(0).alias("deleted"),
+        F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("subject"),
+    )
+
+
+_named = """list_filter(['Claude Code', 'Codex', 'Cursor', 'Gemini', 'Copilot'], lambda a: len(list_filter(string_split(lower(body), chr(10)), lambda l: contains(l, 'co-authored-by:') AND (
+  (a = 'Claude Code' AND contains(l, 'claude')) OR (a = 'Codex' AND (contains(l, 'codex') OR contains(l, 'openai'))) OR (a = 'Cursor' AND contains(l, 'cursor')) OR (a = 'Gemini' AND contains(l, 'gemini')) OR (a = 'Copilot' AND contains(l, 'copilot'))))) > 0)"""
+
+
+@query("attributed_commits", f"""
+    WITH c AS (SELECT *, {_named} AS named FROM {_commit_rows}),
+    live AS (SELECT c.hash, list(DISTINCT s.agent) AS agents FROM c JOIN {_sessions} s ON s.project = c.project AND c.tick BETWEEN start_ AND end_ GROUP BY c.hash)
+    SELECT c.hash, array_to_string(list_sort(list_distinct(list_concat(named, coalesce(live.agents, [])))), ',') AS agents FROM c LEFT JOIN live USING (hash)""")
+def attributed_commits(spark, d):
+    """Agents of each commit: those it names and those with a session of the project at its time."""
+    return J.attributed(commits(spark, d), session_spans(spark, d)).select("hash", F.array_join("agents", ",").alias("agents"))
+
+
+def _day_tokens(spark, d):
+    return table(spark, d, "log_messages").where("event_ts is not null").select(F.to_date("event_ts").alias("day"), F.coalesce("input_tokens", F.lit(0)).alias("tokens"))
+
+
+_tokens = "(SELECT event_ts::DATE AS day, coalesce(input_tokens, 0) AS tokens FROM log_messages WHERE event_ts IS NOT NULL)"
+
+
+@query("journal_summary", f"""
+    SELECT commits, by_agents, added, 0::BIGINT AS deleted, (SELECT count(DISTINCT day) FROM (SELECT day FROM {_commit_rows} UNION SELECT day FROM {_tokens} WHERE tokens > 0)) AS active_days, (SELECT sum(tokens) FROM {_tokens})::BIGINT AS tokens
+    FROM (SELECT count(*) AS commits, count(*) FILTER (WHERE len({_named}) > 0) AS by_agents, coalesce(sum(n_chars), 0)::BIGINT AS added FROM {_commit_rows})""")
+def journal_summary(spark, d):
+    rows = commits(spark, d).withColumn("agents", J.trailer_agents(F.col("body")))
+    return J.journal_summary(rows, _day_tokens(spark, d))
+
+
+@query("nested_journal", f"""
+    WITH n AS (SELECT day, list(hash ORDER BY tick DESC, hash) AS hashes FROM {_commit_rows} GROUP BY day), t AS (SELECT day, sum(tokens)::BIGINT AS tokens FROM {_tokens} GROUP BY day),
+    j AS (SELECT coalesce(n.day, t.day) AS day, array_to_string(coalesce(hashes, []), ',') AS hashes, tokens FROM n FULL JOIN t ON t.day = n.day)
+    SELECT day::VARCHAR AS day, hashes, tokens, row_number() OVER (ORDER BY day DESC)::INTEGER AS place FROM j""")
+def nested_journal(spark, d):
+    rows = J.nested_journal(commits(spark, d), _day_tokens(spark, d))
+    return rows.select(F.col("day").cast("string").alias("day"), F.array_join(F.transform("commits", lambda c: c["hash"]), ",").alias("hashes"), "tokens", "place")

@@ -11,7 +11,7 @@ from ..operators import index as X
 from ..operators import refine as Q
 from ..registry import Registry, table
 from .common import FILES, in_list, subwords_sql
-from .text import once
+from .text import _sensitive, once
 
 registry = Registry()
 query = registry.query
@@ -144,16 +144,40 @@ def untested_antijoin(spark, d):
     return B.untested_files(files, symbols, symbols.join(tests, "file_id").select("project", "name"), roots=["src", "lib", "core"])
 
 
-@query("stale_markers", f"""
-    SELECT path, line, age AS age_days FROM (
-      SELECT f.path || '@' || project AS path, s.line, floor((1781000000 - modified_at) / 86400)::BIGINT AS age
-      FROM (SELECT DISTINCT file_id, line FROM symbols WHERE name LIKE 'load%') s JOIN {FILES} f ON f.id = s.file_id) WHERE age >= 90""")
+@query("stale_markers", rf"""
+    SELECT id::VARCHAR AS path, line_no AS line, age AS age_days FROM (
+      SELECT id, line_no, floor((1781000000 - modified_at) / 86400)::BIGINT AS age, line FROM (
+        SELECT id, modified_at, unnest(string_split(head_text, chr(10))) AS line, unnest(range(1, len(string_split(head_text, chr(10))) + 1)) AS line_no FROM (SELECT DISTINCT * FROM file_heads WHERE head_text IS NOT NULL) JOIN {FILES} ON id = file_id)
+      WHERE regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])(TODO|FIXME|HACK|XXX)([^\p{{L}}\p{{N}}_]|$)')) WHERE age >= 90""")
 def stale_markers(spark, d):
-    """Declarations whose name starts with 'load' stand for marker lines, a file's time for the author's."""
-    files = once(table(spark, d, "files")).select(F.col("id").alias("file_id"), F.concat("path", F.lit("@"), "project").alias("path"), "modified_at")
-    rows = table(spark, d, "symbols").where("name like 'load%'").select("file_id", "line").distinct().join(files, "file_id")
-    blame = rows.select("path", "line", F.col("modified_at").alias("author_time"))
-    return B.stale_markers(rows.select("path", "line"), blame, now=F.lit(1781000000.0))
+    """Marker lines of the beginnings of all files; a file's time stands for that of each of its lines."""
+    times = once(table(spark, d, "files")).select(F.col("id").alias("file_id"), F.col("modified_at").alias("author_time"))
+    lines = heads(spark, d).join(times, "file_id").select(F.col("file_id").cast("string").alias("path"), "author_time", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    marked = lines.where(T.has_marker(F.col("text"))).withColumn("line", (F.col("at") + 1).cast("long"))
+    return B.stale_markers(marked.select("path", "line"), marked.select("path", "line", "author_time"), now=F.lit(1781000000.0))
+
+
+@query("debt_by_severity", f"""
+    SELECT kind, id, severity, row_number() OVER (PARTITION BY kind ORDER BY severity DESC NULLS LAST, path, id)::INTEGER AS place
+    FROM (SELECT coalesce(language, '?') AS kind, id, path, line_count AS severity FROM {FILES})""")
+def debt_by_severity(spark, d):
+    """Files as items, their language as the kind and their length as the severity."""
+    files = once(table(spark, d, "files")).select(F.coalesce("language", F.lit("?")).alias("kind"), "id", "path", F.col("line_count").alias("severity"))
+    return B.by_severity(files, order=["path", "id"]).select("kind", "id", "severity", "place")
+
+
+@query("index_counts", f"SELECT 'files' AS kind, count(*) AS n FROM {FILES} UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'imports', count(*) FROM imports")
+def index_counts(spark, d):
+    return X.index_counts(once(table(spark, d, "files")), table(spark, d, "symbols"), table(spark, d, "imports"))
+
+
+@query("symbols_of_paths", f"""
+    SELECT path, line, name, kind FROM symbols JOIN (SELECT id, path FROM {FILES} WHERE path IN (SELECT min(path) FROM {FILES} GROUP BY project)) f ON f.id = file_id""")
+def symbols_of_paths(spark, d):
+    """Symbols of the first file of each project, asked for by path."""
+    files = once(table(spark, d, "files"))
+    paths = [r["path"] for r in files.groupBy("project").agg(F.min("path").alias("path")).collect()]  # as a request names them
+    return X.symbols_of_paths(files, table(spark, d, "symbols"), paths)
 
 
 @query("counts_by_kind", f"""
@@ -187,9 +211,15 @@ def _sliced(sources):
     return C.sliced_files(sources, declared.join(_blocks(sources, declared), ["file_id", "line"], "left"), ["session", "cache"])
 
 
-@query("block_ends")
+@query("block_ends", f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS n FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT *, regexp_extract(line, '^[ \\t]*') AS lead, regexp_matches(line, '[^\\s\\x1c-\\x1f\\x0b\\x{{0085}}\\x{{00a0}}\\p{{Z}}]') AS shown, 'python' AS language FROM l),
+    k AS (SELECT *, length(lead) + 3 * (length(lead) - length(replace(lead, chr(9), ''))) AS deep, {_rule_sql()} AS r FROM i),
+    d AS (SELECT doc_id, n, deep FROM k WHERE r IS NOT NULL AND r.kind <> 'import'),
+    s AS (SELECT d.doc_id, d.n, min(x.n) AS stop FROM d LEFT JOIN k x ON x.doc_id = d.doc_id AND x.n > d.n AND x.shown AND x.deep <= d.deep GROUP BY ALL)
+    SELECT s.doc_id AS file_id, s.n AS line, greatest(s.n, coalesce(max(x.n), 0)) AS end_line FROM s LEFT JOIN k x ON x.doc_id = s.doc_id AND x.shown AND x.n > s.n AND x.n < coalesce(s.stop, 2147483647) GROUP BY s.doc_id, s.n""")
 def block_ends(spark, d):
-    """Blocks of the code in documents, read as Python; checked against hand-made sources in the tests."""
+    """Blocks of the code in documents, read as Python."""
     docs = texts(spark, d)
     return _blocks(docs, X.declarations(docs))
 
@@ -275,3 +305,17 @@ def refined_requests(spark, d):
     """Terms of the evaluation items as requests; expansion and correction are checked in the tests."""
     requests = table(spark, d, "eval_items").select(F.col("item_id").alias("request_id"), F.col("item_text").alias("text"))
     return Q.refined_terms(requests, vocabulary(spark, d)).select("request_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query("redacted_documents", rf"""
+    WITH w AS (SELECT doc_id, length(text) AS size, unnest(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f"''<>`,;()\[\]{{}}=]+')) AS word FROM (SELECT doc_id, text || ' see conf/.env.local:3, {{keys\\id_rsa}} and env.md' AS text FROM documents)),
+    p AS (SELECT *, lower(regexp_extract(replace(split_part(word, ':', 1), chr(92), '/'), '([^/]*)$', 1)) AS n, lower(replace(split_part(word, ':', 1), chr(92), '/')) AS p FROM w)
+    SELECT doc_id, count(*) AS hidden, (any_value(size) - sum(length(word)) + 7 * count(*))::BIGINT AS size FROM p WHERE {_sensitive} GROUP BY doc_id""")
+def redacted_documents(spark, d):
+    """How many names each text loses to redaction, and how long it is then; two are added to every text."""
+    from ..functions import paths as P
+
+    docs = table(spark, d, "documents").withColumn("text", F.concat("text", F.lit(" see conf/.env.local:3, {keys\\id_rsa} and env.md")))
+    docs = docs.withColumn("shown", P.redacted(F.col("text")))
+    hidden = F.regexp_count("shown", F.lit(P.REDACTED.replace("[", "\\[").replace("]", "\\]"))) - F.regexp_count("text", F.lit(P.REDACTED.replace("[", "\\[").replace("]", "\\]")))
+    return docs.select("doc_id", hidden.cast("long").alias("hidden"), F.char_length("shown").cast("long").alias("size")).where("hidden > 0")

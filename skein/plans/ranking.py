@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -159,6 +160,53 @@ def greedy_budget(spark, d):
     return R.fill_budget(docs, 4000, group="project", size="size", order=order).where("included").select("project", F.col("id").alias("doc_id"))
 
 
+_named_file = f"(SELECT min(path) AS path FROM {FILES} WHERE language = 'go')"
+_recent, _changed = "1770000000", "1775000000"
+
+
+@query("named_context", f"""
+    WITH f AS (SELECT * FROM {FILES}), {_edges}, seeds AS (SELECT project, id FROM f WHERE lower(path) = lower((SELECT path FROM {_named_file})) OR ends_with(lower(path), '/' || lower((SELECT path FROM {_named_file})))),
+    one AS (SELECT DISTINCT project, seeds.id AS seed, dst AS id FROM seeds JOIN edges USING (project) WHERE src = seeds.id),
+    two AS (SELECT DISTINCT project, seed, dst AS id FROM one JOIN edges USING (project) WHERE src = one.id AND dst <> seed EXCEPT SELECT * FROM one)
+    SELECT project, id, round(sum(w) * 100)::BIGINT AS hundredths, id IN (SELECT id FROM seeds) AS explicit FROM (
+      SELECT project, id, 5.0::DOUBLE AS w FROM seeds UNION ALL SELECT project, id, 2.0 FROM one UNION ALL SELECT project, id, 0.8 FROM two) GROUP BY project, id""")
+def named_context(spark, d):
+    """A request that names a file and nothing else: the file as an exact symbol, and what it reaches; signals don't count."""
+    files, symbols, imports = _inputs(spark, d)
+    path = files.where("language = 'go'").agg(F.min("path")).first()[0]
+    marks = files.select("project", "path")
+    ranked = R.rank_files(files, symbols, imports, f"the {path} please", BUDGET, changed=marks, recent=marks)
+    return ranked.select("project", "id", F.round(F.col("score") * 100).cast("long").alias("hundredths"), "explicit")
+
+
+@query("signalled_context", f"""
+    WITH f AS (SELECT * FROM {FILES}), {_edges},
+    seeds AS (SELECT project, id, ((modified_at >= {_changed})::INT * 3.0 + (modified_at >= {_recent})::INT * 1.5)::DOUBLE AS w FROM f WHERE modified_at >= {_recent}),
+    one AS (SELECT DISTINCT project, seeds.id AS seed, dst AS id FROM seeds JOIN edges USING (project) WHERE src = seeds.id),
+    two AS (SELECT DISTINCT project, seed, dst AS id FROM one JOIN edges USING (project) WHERE src = one.id AND dst <> seed EXCEPT SELECT * FROM one),
+    all_ AS (SELECT project, id, w FROM seeds UNION ALL SELECT h.project, h.id, 0.4 * w FROM one h JOIN seeds s ON s.id = h.seed UNION ALL SELECT h.project, h.id, 0.16 * w FROM two h JOIN seeds s ON s.id = h.seed)
+    SELECT id, round(sum(w) * 100)::BIGINT AS hundredths FROM all_ GROUP BY id""")
+def signalled_context(spark, d):
+    """A request without a term: only changed and recent files and what they reach."""
+    files, symbols, imports = _inputs(spark, d)
+    since = lambda when: files.where(F.col("modified_at") >= when).select("project", "path")
+    ranked = R.rank_files(files, symbols, imports, "please fix", BUDGET, changed=since(int(_changed)), recent=since(int(_recent)))
+    return ranked.select("id", F.round(F.col("score") * 100).cast("long").alias("hundredths"))
+
+
+@query("prompt_paths", f"""
+    {_ranked}, fresh AS (SELECT r.project, r.path, r.place FROM ranked r JOIN fold USING (project, place) WHERE included AND r.path NOT IN (SELECT path FROM f WHERE length(path) % 3 = 0))
+    SELECT project, path, place AS shown FROM (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY place)::INTEGER AS place FROM fresh) WHERE place <= 6""")
+def prompt_paths(spark, d):
+    """The best paths of the request that the last prompt didn't show; it showed those whose length is a multiple of three."""
+    from ..operators.context import prompt_paths as paths
+
+    before = once(table(spark, d, "files")).where(F.char_length("path") % 3 == 0).select("project", "path")
+    rows = paths(_rank(spark, d), before)
+    place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "tokens", "path"))
+    return rows.select("project", "path", place.alias("shown"))
+
+
 @query("signal_boosts", f"""
     SELECT id, ((project || path IN (SELECT project || path FROM {FILES} WHERE modified_at >= 1770000000))::INT * 30
       + (project || path IN (SELECT project || path FROM {FILES} WHERE modified_at >= 1760000000))::INT * 15)::BIGINT AS tenths FROM {FILES}""")

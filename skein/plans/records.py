@@ -168,6 +168,21 @@ def stale_snapshots(spark, d):
     return table(spark, d, "session_status").groupBy(flag.alias("stale")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stale_widgets", """
+    SELECT stale, count(*) AS n FROM (SELECT g IS NULL OR 1777593600 - g > 90 * 86400 OR g - 1777593600 > 90 * 86400 OR strftime(to_timestamp(g) AT TIME ZONE 'Asia/Seoul', '%Y-%m-%d') <> strftime(to_timestamp(1777593600) AT TIME ZONE 'Asia/Seoul', '%Y-%m-%d') AS stale
+      FROM (SELECT floor(epoch(last_event_at))::BIGINT AS g FROM session_status)) GROUP BY stale""")
+def stale_widgets(spark, d):
+    """The display's shorter rule (90 units back and ahead, here days), in another zone."""
+    g = F.unix_seconds(F.col("last_event_at").cast("timestamp"))
+    flag = D.stale(g, F.lit(1777593600).cast("long"), "Asia/Seoul", after=90 * 86_400, ahead=90 * 86_400)
+    return table(spark, d, "session_status").groupBy(flag.alias("stale")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("civil_days", "SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INTEGER AS day FROM orders")
+def civil_days(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", D.civil_day_number(F.col("o_orderdate")).alias("day"))
+
+
 @query("upserted_sessions", """
     WITH s AS (SELECT session_id, max(phase) AS phase FROM session_status GROUP BY session_id), m AS (SELECT session_id, 'seen' AS phase FROM log_messages WHERE session_id IS NOT NULL GROUP BY session_id)
     SELECT coalesce(m.phase, s.phase) AS phase, count(*) AS n FROM s FULL JOIN m USING (session_id) GROUP BY 1""")

@@ -140,7 +140,7 @@ def line_events(lines: DataFrame, *, value: str = "value") -> DataFrame:
     said = F.when(message & (role == "user"), "started").when(message & (role == "assistant"), F.when(final, "ended").otherwise("activity")).otherwise(one)
     rows = lines.withColumn("e", e).withColumns({"at": epoch_of(F.col("e.timestamp")), "__said": said})
     readable = F.col("e.type").isNotNull() & F.col("at").isNotNull()
-    rows = rows.withColumns({"readable": readable, "event": F.when(readable, F.col("__said")), "tool": F.when(F.col("__said").startswith("tool"), call)})
+    rows = rows.withColumns({"readable": readable, "event": F.when(readable, F.col("__said")), "tool": F.when(readable & F.col("__said").startswith("tool"), call)})
     return rows.where(~F.col("readable") | F.col("event").isNotNull()).drop("e", "__said")
 
 
