@@ -409,19 +409,18 @@ def recent_paths(lines: DataFrame, *, value: str = "value", own: str = "") -> Da
 def blame_times(output: DataFrame, *, text: str = "text") -> DataFrame:
     """(path, line, author_time) from ``blame --porcelain`` output, one text a file.
 
-    A header has a hash of 40 digits, the original and the final line; the next author-time belongs to it.  Commits that
-    come again have no author-time of their own; their lines take it from the first place in the file that has it.
+    A header has a hash of 40 digits, the original and the final line; the author-time that follows before the next header
+    belongs to it.  A commit that comes again has none of its own, and its lines none.
     """
     lines = output.select("path", F.posexplode(F.split(text, "\r?\n")).alias("at", "line"))
-    header = F.regexp_extract("line", r"^([0-9a-fA-F]{40}) ", 1)
+    header = r"^[0-9a-fA-F]{40} \d+ (\d+)"
     marks = lines.select(
-        "path", "at", F.when(header != "", header).alias("commit"), F.when(header != "", F.regexp_extract("line", r"^[0-9a-fA-F]{40} \d+ (\d+)", 1).try_cast("int")).alias("number"),
+        "path", "at", F.regexp_extract("line", header, 1).try_cast("int").alias("number"),
         F.regexp_extract("line", r"^author-time (-?\d+(\.\d+)?)$", 1).try_cast("double").alias("seconds"),
-    ).where("commit is not null or seconds is not null")
-    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.withColumn("commit", F.last("commit", ignorenulls=True).over(before))
-    times = placed.where("seconds is not null").groupBy("path", "commit").agg(F.min_by("seconds", "at").alias("author_time"))
-    return placed.where("number is not null").join(times, ["path", "commit"]).select("path", F.col("number").alias("line"), "author_time").distinct()
+    ).where("number is not null or seconds is not null")
+    before = Window.partitionBy("path").orderBy("at")  # the lines of one file
+    placed = marks.withColumns({"line": F.lag("number").over(before)}).where("seconds is not null and line is not null")
+    return placed.groupBy("path", "line").agg(F.max_by("seconds", "at").alias("author_time"))
 
 
 def present_agents(homes: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
