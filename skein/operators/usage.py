@@ -284,6 +284,23 @@ def activity_verdict(now: Column, activity: Column, stop: Column, written: Colum
     )
 
 
+def sequence_summary(packets: DataFrame, *, key: str, sequence: str, nonce: str) -> DataFrame:
+    """(key, packets, gaps, partial): numbered packets that came again count once; a number without the one before it, apart
+    from the first, is a gap; gaps and a change of ``nonce`` make the source partial.
+
+    The one before is found by an equality join on the number, so the packets of a source need no order.
+    """
+    rows = packets.where(F.col(key).isNotNull() & (F.col(sequence) > 0)).select(key, nonce, sequence).distinct()
+    after = rows.select(key, F.col(nonce).alias("__nonce"), (F.col(sequence) + 1).alias(sequence), F.lit(1).alias("__follows"))
+    same = rows.withColumn("__nonce", F.col(nonce)).withColumn("__n", F.coalesce("__nonce", F.lit(""))).join(
+        after.withColumn("__n", F.coalesce("__nonce", F.lit(""))).drop("__nonce"), [key, "__n", sequence], "left"
+    )
+    runs = same.groupBy(key, "__n").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("__follows") - 1).alias("gaps"))
+    return runs.groupBy(key).agg(
+        F.sum("n").alias("packets"), F.sum("gaps").alias("gaps"), ((F.sum("gaps") > 0) | (F.count(F.lit(1)) > 1)).alias("partial")
+    )
+
+
 def pending_calls(events: DataFrame, *, key: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
     """Keys whose last event opens a call: nothing has answered it since."""
     last = events.groupBy(*key).agg(F.max_by(opens, F.struct(*order)).alias("open"))

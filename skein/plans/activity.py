@@ -176,14 +176,14 @@ def focus_time(spark, d):
 
 
 @query("sequence_gaps", """
-    SELECT log_path, count(*) FILTER (WHERE line_no - before <> 1) AS gaps, count(*) AS lines FROM (
-      SELECT log_path, line_no, lag(line_no) OVER (PARTITION BY log_path ORDER BY line_no) AS before FROM (SELECT DISTINCT log_path, line_no FROM log_messages)) GROUP BY log_path""")
+    SELECT log_path, sum(n)::BIGINT AS packets, sum(gaps)::BIGINT AS gaps, sum(gaps) > 0 OR count(*) > 1 AS partial FROM (
+      SELECT log_path, nonce, count(*) AS n, count(*) FILTER (WHERE line_no - before <> 1) AS gaps FROM (
+        SELECT log_path, nonce, line_no, lag(line_no) OVER (PARTITION BY log_path, nonce ORDER BY line_no) AS before FROM (SELECT DISTINCT log_path, coalesce(session_id, '') AS nonce, line_no FROM log_messages)) GROUP BY ALL) GROUP BY log_path""")
 def sequence_gaps(spark, d):
-    from pyspark.sql import Window
+    """Lines of a log as numbered packets, their session as the nonce."""
+    from ..operators.usage import sequence_summary
 
-    rows = table(spark, d, "log_messages").select("log_path", "line_no").distinct()
-    before = F.lag("line_no").over(Window.partitionBy("log_path").orderBy("line_no"))
-    return rows.withColumn("before", before).groupBy("log_path").agg(F.count_if(F.col("line_no") - F.col("before") != 1).alias("gaps"), F.count(F.lit(1)).alias("lines"))
+    return sequence_summary(table(spark, d, "log_messages"), key="log_path", sequence="line_no", nonce="session_id")
 
 
 _commit_rows = """(SELECT doc_id::VARCHAR AS hash, split_part(source, '/', 1) AS project, epoch(written_at) AS tick, written_at::DATE AS day, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Co-authored-by: Cursor <c@d>' ELSE '' END AS body, n_chars

@@ -10,7 +10,7 @@ from ..operators import debt as B
 from ..operators import index as X
 from ..operators import refine as Q
 from ..registry import Registry, table
-from .common import FILES, in_list, subwords_sql
+from .common import FILES, STOPS, in_list, subwords_sql
 from .text import _sensitive, once
 
 registry = Registry()
@@ -300,10 +300,25 @@ def typo_correct(spark, d):
     return Q.corrections(terms, vocab)
 
 
-@query("refined_requests")
+_tables = "(VALUES " + ", ".join(f"('{k}', [{', '.join(chr(39) + w + chr(39) for w in words)}])" for k, words in Q.DICTIONARY.items()) + ")"
+_tries = "[{'p': 0, 'k': term}, " + ", ".join(f"CASE WHEN ends_with(term, '{p}') AND length(term) > {len(p)} THEN {{'p': {i}, 'k': left(term, length(term) - {len(p)})}} END" for i, p in enumerate(Q.PARTICLES, 1)) + "]"
+_requests = "(SELECT item_id, item_text AS text FROM eval_items UNION ALL SELECT -1 - doc_id, text FROM documents WHERE channel = 'issues')"
+
+
+@query("refined_requests", f"""
+    WITH q AS (SELECT item_id, unnest(l) AS term, unnest(range(1, len(l) + 1)) AS place FROM (SELECT item_id, list_filter({subwords_sql('text')}, lambda w: length(w) >= 2 AND w NOT IN {STOPS}) AS l FROM {_requests})),
+    u AS (SELECT DISTINCT term FROM q), k AS (SELECT term, unnest({_tries}) AS c FROM u),
+    m AS (SELECT term, arg_min(words, c.p) AS words FROM k JOIN {_tables} d(key, words) ON d.key = c.k GROUP BY term),
+    t AS (SELECT term FROM u WHERE length(term) >= 3 AND term NOT IN (SELECT term FROM m) AND term NOT IN (SELECT word FROM {_vocabulary})),
+    p AS (SELECT term, word, levenshtein(term, word) AS d FROM t, {_vocabulary} WHERE abs(length(term) - length(word)) <= 2 AND levenshtein(term, word) BETWEEN 1 AND CASE WHEN length(term) >= 6 THEN 2 ELSE 1 END),
+    b AS (SELECT * FROM p QUALIFY d = min(d) OVER (PARTITION BY term)), f AS (SELECT term, min(word) AS fix FROM b GROUP BY term HAVING count(*) = 1),
+    w AS (SELECT item_id, place, CASE WHEN words IS NULL THEN [coalesce(fix, q.term)] WHEN regexp_matches(q.term, '[^\\x00-\\x7F]') THEN words ELSE list_append(words, q.term) END AS ws FROM q LEFT JOIN m ON m.term = q.term LEFT JOIN f ON f.term = q.term),
+    e AS (SELECT item_id, place, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS sub FROM w), o AS (SELECT item_id, word, min(place * 1000 + sub) AS place FROM e GROUP BY ALL)
+    SELECT item_id AS request_id, string_agg(word, ' ' ORDER BY place) AS terms FROM o GROUP BY item_id""")
 def refined_requests(spark, d):
-    """Terms of the evaluation items as requests; expansion and correction are checked in the tests."""
-    requests = table(spark, d, "eval_items").select(F.col("item_id").alias("request_id"), F.col("item_text").alias("text"))
+    """Evaluation items and all issue texts as requests: terms expanded by the dictionary, corrected or kept."""
+    issues = table(spark, d, "documents").where("channel = 'issues'").select((-1 - F.col("doc_id")).alias("request_id"), "text")
+    requests = table(spark, d, "eval_items").select(F.col("item_id").alias("request_id"), F.col("item_text").alias("text")).unionByName(issues)
     return Q.refined_terms(requests, vocabulary(spark, d)).select("request_id", F.array_join("terms", " ").alias("terms"))
 
 
