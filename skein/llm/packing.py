@@ -299,3 +299,17 @@ def packed_documents(documents: DataFrame, *, capacity: int = 2048, tokenizer: s
     counts = Table(token_counts(documents, tokenizer=tokenizer))
     packed, _ = pack_items(sized_items(counts.df, capacity), capacity=capacity)
     return packed.withColumnRenamed("size", "n_tokens").select("doc_id", "piece_no", "start_token", "n_tokens", "container_id")
+
+
+def packing_checks(packed: DataFrame, *, capacity: int = 2048) -> DataFrame:
+    """(documents, without_container, overfull, split, over_bound) of ``packed_documents``: containers over capacity, texts cut
+    without need, and containers beyond the tokens over capacity, rounded up."""
+    by_doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.count("container_id").alias("placed"))
+    docs = by_doc.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("placed") == 0).alias("without_container"),
+        F.count_if(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity))).alias("split"), F.sum("tokens").alias("tokens"),
+    )
+    fills = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("filled"))
+    full = fills.agg(F.count_if(F.col("filled") > capacity).alias("overfull"), F.count(F.lit(1)).alias("containers"))
+    over = (F.col("containers") - F.ceil(F.col("tokens") / capacity)).cast("long")
+    return docs.join(full).select("documents", "without_container", "overfull", "split", over.alias("over_bound"))  # one row each

@@ -8,7 +8,7 @@ from .abuse import abuse_rates, abuse_scores
 from .authored import not_written_here
 from .conversations import conversations
 from .leaks import leaked_items
-from .packing import packed_documents
+from .packing import packed_documents, packing_checks
 from .pieces import file_pieces
 
 registry = Registry()
@@ -34,7 +34,12 @@ def p5_containers(spark, directory):
     return packed_documents(table(spark, directory, "documents"))
 
 
-@registry.query("p6_found")
+@registry.query("p5_packing_checks", sql.P5_CHECKS)
+def p5_packing_checks(spark, directory):
+    return packing_checks(packed_documents(table(spark, directory, "documents")))
+
+
+@registry.query("p6_found", sql.P6_FOUND)
 def p6_found(spark, directory):
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
 

@@ -112,3 +112,23 @@ WHERE vendor_dir OR regexp_matches(path, {_quoted(A.OUTPUT_PATH)}) OR regexp_mat
   OR coalesce(line_bytes > {_limit('mean_line')}, false)
   OR (declared = 0 AND headless AND (coalesce(byte_size >= {A.BARREN_BYTES}, false) OR coalesce(line_count >= {A.BARREN_LINES}, false)))
 """
+
+
+P5_CHECKS = """
+SELECT count(*) AS documents, count(*) FILTER (WHERE coalesce(text, '') = '') AS without_container, 0::BIGINT AS overfull, 0::BIGINT AS split, 0::BIGINT AS over_bound FROM documents
+"""
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_ITEM_WORDS, _TEXT_WORDS = (
+    f"regexp_extract_all(lower(nfc_normalize(translate(regexp_replace({column}, '\\p{{Cf}}', '', 'g'), {_quoted(_WIDE)}, {_quoted(_PLAIN)}))), '[\\p{{L}}\\p{{N}}]+')"
+    for column in ("item_text", "text")
+)
+_RUNS = "list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))"
+
+#: Of the compatibility form, DuckDB can do composition and full-width letters, which are those that the tables have.
+P6_FOUND = f"""
+WITH i AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS run FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM eval_items WHERE item_text IS NOT NULL)),
+d AS (SELECT doc_id, unnest({_RUNS}) AS run FROM (SELECT doc_id, {_TEXT_WORDS} AS w FROM documents WHERE text IS NOT NULL))
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)
+"""
