@@ -105,6 +105,11 @@ def top_with_rest(totals: DataFrame, *, name: str, value: str, k: int) -> DataFr
     return rows.select(F.col("t.name").alias(name), F.col("t.value").alias(value), "hidden_count", "hidden_value", "total")
 
 
+def ordered_models(totals: DataFrame) -> DataFrame:
+    """``totals`` (provider, model, tokens; a row a model) with ``place``: most tokens first, then provider, then name."""
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("tokens"), "provider", "model")))
+
+
 def merged_sessions(metrics: DataFrame, sessions: DataFrame) -> DataFrame:
     """(agent, session, tokens, metrics, last_event, path, partial): one row for all copies of a session's log.
 

@@ -271,3 +271,11 @@ def activity_round_trip(spark, d):
     for _ in range(2):
         S.write_activity(rows.where(F.col("ts") > middle), root, 1)
     return S.read_activity(spark, root).select("key", "day", F.col("estimatedNanoseconds").alias("nanoseconds"))
+
+
+@query("agent_homes", f"""
+    SELECT DISTINCT project AS home, agent FROM {FILES}, (VALUES ('one', 'src'), ('one', 'core'), ('two', 'assets'), ('three', 'none')) m(agent, marker) WHERE string_split(path, '/')[1] = marker""")
+def agent_homes(spark, d):
+    """A project stands for a home, its top folders for what exists there."""
+    homes = once(table(spark, d, "files")).select(F.col("project").alias("home"), F.split("path", "/")[0].alias("path")).distinct()
+    return R.present_agents(homes, {"one": ["src", "core"], "two": ["assets"], "three": ["none"]})

@@ -22,7 +22,7 @@ def events(spark, d):
 _ev = "(SELECT *, round(value * 100)::BIGINT AS cents, ts::DATE AS day FROM events)"
 
 
-@query("counter_delta", f"""
+@query("counter_delta", _counter_delta := f"""
     SELECT user_id, sum(delta)::BIGINT AS total, count(*) AS steps FROM (
       SELECT user_id, CASE WHEN p IS NULL OR cents < p THEN cents ELSE cents - p END AS delta
       FROM (SELECT user_id, cents, lag(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM {_ev})) WHERE delta > 0 GROUP BY user_id""")
@@ -45,7 +45,14 @@ def highwater_counter(spark, d):
 _by_line = "PARTITION BY log_path ORDER BY line_no, delivery_id ROWS UNBOUNDED PRECEDING"
 
 
-@query("carried_labels", f"""
+@query("counter_delta_parts", _counter_delta)
+def counter_delta_parts(spark, d):
+    """As ``counter_delta``, every user of more than 20 events cut into parts."""
+    deltas = U.counter_deltas(events(spark, d), key=["user_id"], order=["ts", "event_id"], value="cents", hot_rows=20)
+    return deltas.groupBy("user_id").agg(F.sum("delta").alias("total"), F.count(F.lit(1)).alias("steps"))
+
+
+@query("carried_labels", _carried := f"""
     SELECT cwd, model, count(*) AS n FROM (
       SELECT last_value(cwd IGNORE NULLS) OVER w AS cwd, last_value(model IGNORE NULLS) OVER w AS model FROM log_messages
       WINDOW w AS ({_by_line})) GROUP BY ALL""")
@@ -54,6 +61,13 @@ def carried_labels(spark, d):
     return rows.groupBy("cwd", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("carried_labels_parts", _carried)
+def carried_labels_parts(spark, d):
+    """As ``carried_labels``, every log of more than 20 lines cut into parts."""
+    rows = U.carried_forward(table(spark, d, "log_messages"), key=["log_path"], order=["line_no", "delivery_id"], columns=["cwd", "model"], hot_rows=20)
+    return rows.groupBy("cwd", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
 _sum4 = " + ".join(f"greatest(coalesce({c}, 0), 0)" for c in USAGE_COUNTERS)
 _messages = f"""messages AS (
   SELECT message_id, max(tokens) AS tokens, min(event_ts) AS first_at, arg_min(coalesce(model, '?'), ROW(-tokens, event_ts IS NULL, coalesce(event_ts, TIMESTAMP '1970-01-01'), delivery_id)) AS model
@@ -92,6 +106,14 @@ def top_models(spark, d):
     return _messages_df(spark, d).groupBy("model").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "model").limit(3)
 
 
+@query("ordered_models", f"""WITH {_messages}, t AS (SELECT split_part(model, '-', 1) AS provider, model, sum(tokens)::BIGINT AS tokens FROM messages GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY tokens DESC, provider, model)::INTEGER AS place FROM t""")
+def ordered_models(spark, d):
+    """Models by tokens, then provider, then name; the first part of a model's name stands for its provider."""
+    totals = _messages_df(spark, d).groupBy(F.split_part("model", F.lit("-"), F.lit(1)).alias("provider"), "model").agg(F.sum("tokens").alias("tokens"))
+    return U.ordered_models(totals)
+
+
 @query("topk_hidden", """
     WITH t AS (SELECT source, sum(n_chars)::BIGINT AS size FROM documents WHERE source IS NOT NULL GROUP BY source),
     top AS (SELECT * FROM t ORDER BY size DESC, source LIMIT 5)

@@ -43,7 +43,8 @@ def test_oracle(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if not n.startswith("p")))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DIRECTORY).schema.names
+    rows = QUERIES[name](spark, DIRECTORY).toPandas()
+    assert len(rows.columns) and len(rows)
 
 
 def test_entry(spark):
