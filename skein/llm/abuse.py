@@ -8,7 +8,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмнтвгпԛԝӏοανρ
 LEET = str.maketrans("013457@$!+", "oieastasit")
 LEET_L = str.maketrans("013457@$!+", "oleastaslt")
 FORMAT_CHARACTERS = regex.compile(r"[\p{Cf}\p{Mn}]+")
+MAYBE_SPACED_OUT = re.compile(r"[-_.+ ][^\W\d_]([-_.+ ])[^\W\d_](?![^\W_])")  # every text that has the next has this
 SPACED_OUT = re.compile(r"(?<![^\W_])[^\W\d_]([-_.+ ])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 HANGUL_GAP = re.compile(r"(?<=[가-힣])[\d.*_\-·]+(?=[가-힣])")
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!+'’][^\W_]+)*")
@@ -31,6 +32,7 @@ STRETCHED = re.compile(r"(.)\1{2,}")
 UNKNOWN = ""
 LIMIT = 4.0  # greatest log-odds of one position
 AT_ONCE = 200_000  # tokens scored together
+HASH = np.uint64(0x9E3779B97F4A7C15)  # an odd number whose product spreads over the upper bits
 BINS = 16  # counted scores to a unit
 
 
@@ -39,7 +41,9 @@ def plain_text(text: str) -> str:
     if not text.isascii():
         text = FORMAT_CHARACTERS.sub("", unicodedata.normalize("NFKC", text))
         text = HANGUL_GAP.sub("", text)
-    return SPACED_OUT.sub(lambda m: m.group().replace(m.group(1), ""), text).lower()
+    if MAYBE_SPACED_OUT.search(text):
+        text = SPACED_OUT.sub(lambda m: m.group().replace(m.group(1), ""), text)
+    return text.lower()
 
 
 def tokens_of(text: str) -> list[str]:
@@ -118,6 +122,7 @@ class Grams:
     numbers: dict[str, int]
     pairs: np.ndarray
     triples: np.ndarray
+    tables: dict = field(default_factory=dict, repr=False)
 
     def __len__(self) -> int:
         return 1 + len(self.numbers) + len(self.pairs) + len(self.triples)
@@ -130,6 +135,31 @@ class Grams:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, at + 1, 0)
 
+    def _hashed(self, name: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """For each slot of a hash table, eight to a key, the place of the first key there, and whether there are more."""
+        if name not in self.tables:
+            keys = getattr(self, name)
+            shift = np.uint64(64 - max(4, int(8 * len(keys)).bit_length()))
+            slots = keys.astype(np.uint64) * HASH >> shift
+            places, crowded = np.zeros(1 << int(np.uint64(64) - shift), dtype=np.int64), np.zeros(1 << int(np.uint64(64) - shift), dtype=bool)
+            places[slots[::-1]] = np.arange(len(keys), 0, -1)
+            crowded[slots[places[slots] != np.arange(1, len(keys) + 1)]] = True
+            self.tables[name] = places, crowded, shift
+        return self.tables[name]
+
+    def lookup(self, name: str, wanted: np.ndarray) -> np.ndarray:
+        """As ``_places``, by a hash table; the few wanted keys of crowded slots by search."""
+        keys = getattr(self, name)
+        if not len(keys):
+            return np.zeros(len(wanted), dtype=np.int64)
+        places, crowded, shift = self._hashed(name)
+        slots = wanted.astype(np.uint64) * HASH >> shift
+        found = places[slots]
+        found[keys[found - 1] != wanted] = 0
+        again = np.flatnonzero(crowded[slots] & (found == 0))
+        found[again] = self._places(keys, wanted[again])
+        return found
+
     def pair_keys(self, ids: np.ndarray) -> np.ndarray:
         return ids[:-1] * (len(self.numbers) + 1) + ids[1:]
 
@@ -140,9 +170,9 @@ class Grams:
         """For each position the numbers of the word, pair and triple that end there, 0 where unknown."""
         pairs, triples = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         if len(ids) > 1:
-            pairs[1:] = self._places(self.pairs, self.pair_keys(ids))
+            pairs[1:] = self.lookup("pairs", self.pair_keys(ids))
         if len(ids) > 2:
-            triples[2:] = self._places(self.triples, self.triple_keys(ids, pairs[1:]))
+            triples[2:] = self.lookup("triples", self.triple_keys(ids, pairs[1:]))
         words = len(self.numbers)
         return ids, np.where(pairs > 0, pairs + words, 0), np.where(triples > 0, triples + words + len(self.pairs), 0)
 
@@ -152,17 +182,17 @@ class Grams:
 
 
 class Reader(dict):
-    """Token to the number of the word it stands for, remembered as tokens are met."""
+    """What stands between two blanks to the numbers of the words it stands for, remembered as it is met; no token has blanks."""
 
     def __init__(self, speller: Speller, numbers: dict[str, int]) -> None:
         super().__init__()
         self.speller, self.known = speller, numbers
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) > 200_000:
             self.clear()
-        number = self[token] = self.known.get(self.speller("0" if token.isdigit() else token), 0)
-        return number
+        found = self[chunk] = tuple(self.known.get(self.speller("0" if token.isdigit() else token), 0) for token in TOKEN.findall(chunk))
+        return found
 
 
 @dataclass
@@ -181,7 +211,7 @@ class AbuseModel:
     def numbered(self, text: str) -> list[int]:
         if self.reader is None:
             self.reader = Reader(Speller(self.words), self.grams.numbers)
-        return list(map(self.reader.__getitem__, TOKEN.findall(plain_text(text))))
+        return list(chain.from_iterable(map(self.reader.__getitem__, plain_text(text).split())))
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Each position by the longest n-gram ending there that the model knows, less the drift."""
@@ -409,12 +439,19 @@ def corpus_frequencies(documents: DataFrame, words: Sequence[str]) -> dict[str,
     """Share of all documents that have each of ``words`` (the model's vocabulary, bounded by the labelled sample)."""
     wanted = frozenset(words)
 
+    class Chunks(dict):
+        def __missing__(self, chunk: str) -> frozenset[str]:
+            if len(self) > 200_000:
+                self.clear()
+            words = self[chunk] = wanted.intersection(TOKEN.findall(chunk))
+            return words
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, texts = Counter(), 0
+        found, texts, chunks = Counter(), 0, Chunks()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
                 texts += 1
-                found.update(wanted.intersection(TOKEN.findall(text.lower())))
+                found.update(set().union(*map(chunks.__getitem__, set(text.as_py().lower().split()))))
         found[UNKNOWN] = texts
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
