@@ -20,7 +20,6 @@ from .text import _dirs, _sensitive, once
 
 registry = Registry()
 query = registry.query
-_by_log = Window.partitionBy("path")
 
 
 def _folder(spark) -> str:
@@ -85,8 +84,9 @@ def read_problems(spark, d):
 def _written_logs(spark, d, root, *, later: bool):
     """Writes the first or the second half of every log's lines; the first half ends in the middle of a line."""
     lines = _lines(spark, d, "line_no", "delivery_id")
-    place = F.row_number().over(_by_log.orderBy("line_no", "delivery_id"))
-    lines = lines.withColumns({"place": place, "all": F.count(F.lit(1)).over(_by_log)})
+    by_log = Window.partitionBy("path")
+    place = F.row_number().over(by_log.orderBy("line_no", "delivery_id"))
+    lines = lines.withColumns({"place": place, "all": F.count(F.lit(1)).over(by_log)})
     cut = F.col("place") == F.floor((F.col("all") + 1) / 2)
     half = F.floor(F.char_length("value") / 2).cast("int")
     early, late = F.substring(F.col("value"), F.lit(1), half), F.concat(F.substring(F.col("value"), half + 1, F.lit(2**30)), F.lit("\n"))

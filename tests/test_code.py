@@ -126,9 +126,10 @@ def test_stores(spark, tmp_path):
     path = str(tmp_path / "u")
     S.append_usage(spark.createDataFrame([("read .env now",)], "query string"), path)
     assert spark.read.parquet(path).first()["query"] == "read [민감 파일] now"
-    S.write_activity(spark.createDataFrame([("a", 1)], "key string, v long"), str(tmp_path / "act"))
-    S.write_activity(spark.createDataFrame([("a", 2), ("b", 1)], "key string, v long"), str(tmp_path / "act"))
-    assert {(r["key"], r["v"]) for r in spark.read.json(str(tmp_path / "act")).collect()} == {("a", 2), ("b", 1)}
+    document = '{"version":1,"day":"2026-01-01","timeZoneID":"UTC","estimatedNanoseconds":%d,"phase":"paused","partial":false,"idleSeconds":300,"generatedAt":%d}'
+    S.write_activity(spark.createDataFrame([("a", document % (1, 1))], "key string, document string"), str(tmp_path / "act"), 0)
+    S.write_activity(spark.createDataFrame([("a", document % (2, 2)), ("b", document % (1, 2))], "key string, document string"), str(tmp_path / "act"), 1)
+    assert {(r["key"], r["estimatedNanoseconds"]) for r in S.read_activity(spark, str(tmp_path / "act")).collect()} == {("a", 2), ("b", 1)}
 
 
 def test_every_text_is_sliced_in_its_language(spark, tmp_path):
