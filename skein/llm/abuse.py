@@ -351,7 +351,7 @@ class Fitter:
         model = self.fit(None, background)
         model.rate, model.scale = null_distribution([(top, n) for top, n, marked in held if not marked and n])
         self.held = sorted(((model.calibrated(top, n), marked) for top, n, marked in held), reverse=True)
-        model.threshold = best_threshold(self.held)
+        model.threshold = best_cut(self.held)[0]
         return model
 
 
@@ -382,8 +382,9 @@ def null_distribution(tops: Sequence[tuple[float, int]], rounds: int = 30) -> tu
     return rate, scale
 
 
-def best_threshold(held: Sequence[tuple[float, bool]], share: float | None = None) -> float:
-    """The score that parts marked from unmarked held-out texts (by falling score) with the best F1.
+def best_cut(held: Sequence[tuple[float, bool]], share: float | None = None) -> tuple[float, float]:
+    """(score, real): the score that parts marked from unmarked held-out texts (by falling score) with the best F1, and how
+    many abusive texts there are to one with that score (precision over recall).
 
     ``share`` is the part of the corpus that is abusive: raters saw a sample with more of it, so each unmarked text
     stands for as many as it takes to bring marked and unmarked texts to that share.  Raters miss some abuse: as many
@@ -392,27 +393,28 @@ def best_threshold(held: Sequence[tuple[float, bool]], share: float | None = Non
     marked = sum(m for _, m in held)
     clean = len(held) - marked
     if not marked or not clean:
-        return math.inf
+        return math.inf, 1.0
     upper = [m for _, m in held[: next(n for n, k in enumerate(accumulate(m for _, m in held), 1) if 2 * k >= marked)]]
     missed = (len(upper) - sum(upper)) / sum(upper)
     weight = 1.0 if share is None else (1 - share) / share * marked / clean
-    best, hits, false = (0.0, math.inf), 0, 0
+    best, hits, false = (0.0, math.inf, 1.0), 0, 0
     for n, (score, m) in enumerate(held, 1):
         hits, false = hits + m, false + (not m)
         follows = held[n][0] if n < len(held) else 0.0
-        if score > follows and (f1 := 2 * hits / (hits + weight * max(0.0, false - missed * hits) + marked)) > best[0]:
-            best = (f1, (score + follows) / 2)
-    return best[1]
+        found = hits + weight * max(0.0, false - missed * hits)
+        if score > follows and (f1 := 2 * hits / (found + marked)) > best[0]:
+            best = (f1, (score + follows) / 2, marked / found)
+    return best[1:]
 
 
 def corpus_threshold(held: Sequence[tuple[float, bool]], scores: dict[int, int], bins: int) -> float:
-    """``best_threshold`` at the share of the corpus that it reports itself; ``scores`` counts documents by score * bins."""
+    """The score of ``best_cut`` at the share of abuse that the corpus has by it; ``scores`` counts documents by score * bins."""
     documents = sum(scores.values())
     share, threshold = None, math.inf
     for _ in range(20):
-        threshold, before = best_threshold(held, share), threshold
-        found = sum(n for b, n in scores.items() if b >= threshold * bins)
-        if threshold == before or not found or found == documents:
+        before, (threshold, real) = threshold, best_cut(held, share)
+        found = real * sum(n for b, n in scores.items() if b >= threshold * bins)
+        if threshold == before or not 0 < found < documents:
             break
         share = found / documents
     return threshold

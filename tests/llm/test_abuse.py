@@ -163,8 +163,8 @@ def test_threshold_follows_the_share_of_the_corpus():
     rng = random.Random(1)
     held = sorted([(rng.gauss(12, 3), True) for _ in range(300)] + [(rng.gauss(4, 3), False) for _ in range(700)], reverse=True)
     held = [(s, m if rng.random() > 0.04 else False) for s, m in held]
-    assert A.best_threshold(held, 0.01) > A.best_threshold(held, 0.1) >= A.best_threshold(held, 0.3) - 1
-    assert A.best_threshold([], 0.1) == A.best_threshold([(1.0, True)], 0.1) == float("inf")
+    assert A.best_cut(held, 0.01)[0] > A.best_cut(held, 0.1)[0] >= A.best_cut(held, 0.3)[0] - 1
+    assert A.best_cut([], 0.1) == A.best_cut([(1.0, True)], 0.1) == (float("inf"), 1.0)
     assert A.corpus_threshold([], {0: 5}, 16) == float("inf")
 
 
