@@ -87,14 +87,14 @@ def import_edges(spark, d):
 
 
 @query("graph_two_hops", f"""WITH f AS (SELECT * FROM {FILES}), {_edges},
-    one AS (SELECT DISTINCT src AS seed, dst AS id FROM edges WHERE src % 50 = 1),
+    one AS (SELECT DISTINCT src AS seed, dst AS id FROM edges WHERE src % 100 = 0),
     two AS (SELECT DISTINCT seed, dst AS id FROM one JOIN edges ON src = one.id WHERE dst <> seed EXCEPT SELECT * FROM one)
     SELECT id, round(sum(w) * 1e4)::BIGINT AS score FROM (
-      SELECT DISTINCT id, id AS seed, 1.0::DOUBLE AS w FROM f WHERE id % 50 = 1 UNION ALL SELECT id, seed, 0.4 FROM one UNION ALL SELECT id, seed, 0.16 FROM two) GROUP BY id""")
+      SELECT DISTINCT id, id AS seed, 1.0::DOUBLE AS w FROM f WHERE id % 100 = 0 UNION ALL SELECT id, seed, 0.4 FROM one UNION ALL SELECT id, seed, 0.16 FROM two) GROUP BY id""")
 def graph_two_hops(spark, d):
-    """Reach of a stated seed set (every fiftieth file) over all edges."""
+    """Reach of the files whose id is divisible by 100, as queries against all edges."""
     files, _, imports = _inputs(spark, d)
-    seeds = files.where("id % 50 = 1").select("project", "id", F.lit(1.0).alias("score"))
+    seeds = files.where("id % 100 = 0").select("project", "id", F.lit(1.0).alias("score"))
     reached = R.expand_scores(seeds, R.import_edges(files, imports))
     return reached.select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
 
@@ -218,18 +218,18 @@ def signal_boosts(spark, d):
 
 
 @query("graph_expand_2hop", """
-    WITH half AS (SELECT DISTINCT l_suppkey AS a, -l_partkey AS b FROM lineitem),
+    WITH half AS (SELECT DISTINCT l_suppkey AS a, -l_partkey - 1 AS b FROM lineitem),
     edges AS (SELECT a AS src, b AS dst FROM half UNION ALL SELECT b, a FROM half),
-    one AS (SELECT src AS seed, dst AS id FROM edges WHERE src > 0 AND src % 97 = 5),
+    one AS (SELECT src AS seed, dst AS id FROM edges WHERE src >= 0 AND src % 100 = 0),
     two AS (SELECT DISTINCT seed, dst AS id FROM one JOIN edges ON src = one.id WHERE dst <> seed EXCEPT SELECT * FROM one)
     SELECT id, round(sum(w) * 1e4)::BIGINT AS score FROM (
-      SELECT DISTINCT src AS id, src AS seed, 1.0::DOUBLE AS w FROM edges WHERE src > 0 AND src % 97 = 5
+      SELECT DISTINCT src AS id, src AS seed, 1.0::DOUBLE AS w FROM edges WHERE src >= 0 AND src % 100 = 0
       UNION ALL SELECT id, seed, 0.4 FROM one UNION ALL SELECT id, seed, 0.16 FROM two) GROUP BY id""")
 def graph_expand_2hop(spark, d):
-    """Reach of a stated seed set of suppliers over all supplier and part links."""
-    half = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
+    """Reach of the suppliers whose key is divisible by 100, as queries against all supplier and part links."""
+    half = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct()
     edges = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("project", F.lit("all"))
-    seeds = half.where("src % 97 = 5").select(F.lit("all").alias("project"), F.col("src").alias("id"), F.lit(1.0).alias("score")).distinct()
+    seeds = half.where("src % 100 = 0").select(F.lit("all").alias("project"), F.col("src").alias("id"), F.lit(1.0).alias("score")).distinct()
     return R.expand_scores(seeds, edges).select("id", F.round(F.col("score") * 1e4).cast("long").alias("score"))
 
 

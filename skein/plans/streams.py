@@ -114,3 +114,32 @@ def stream_activity_ledger(spark, d):
         (F.col("event_type") != "error").alias("focused"), (F.unix_micros("ts") / 1e6).alias("tick"),
     )
     return S.run_to_end(S.activity_ledger(packets), mode="update")
+
+
+_coalesced = """
+    WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS new FROM events),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
+    SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, bool_or(event_type = 'error') AS force, max(value) AS level FROM i GROUP BY user_id, island"""
+
+
+def _requests(rows):
+    return rows.select("user_id", "ts", (F.col("event_type") == "error").alias("force"), F.col("value").alias("level"))
+
+
+@query("coalesced_requests", _coalesced)
+def coalesced_requests(spark, d):
+    """Events of a user within two hours of each other as one request."""
+    rows = S.coalesced(_requests(table(spark, d, "events")), key="user_id", at="ts", gap="2 hours", late="1 hour", flags=["force"], levels=["level"])
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query("stream_coalesced", _coalesced)
+def stream_coalesced(spark, d):
+    """As ``coalesced_requests``, as a stream; one more event of each user far ahead moves the watermark past all others."""
+    path, end = scratch_path(spark), F.lit("2100-01-01").cast("timestamp")
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    _requests(events).write.parquet(f"{path}/requests.parquet")
+    _requests(events.limit(1).withColumn("ts", end)).write.mode("append").parquet(f"{path}/requests.parquet")
+    stream = spark.readStream.schema("user_id long, ts timestamp, force boolean, level double").parquet(f"{path}/requests.parquet")
+    rows = S.run_to_end(S.coalesced(stream, key="user_id", at="ts", gap="2 hours", late="1 hour", flags=["force"], levels=["level"]))
+    return rows.where(F.col("first") < end).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -381,6 +381,20 @@ def activity_ledger(stream: DataFrame, *, zone: str = "UTC", idle: float = 300.0
     return stream.withWatermark("ts", late).groupBy("day").applyInPandasWithState(step, LEDGER_OUT, "state string", "update", "NoTimeout")
 
 
+def coalesced(requests: DataFrame, *, key: str, at: str, gap: str, late: str, flags: Sequence[str] = (), levels: Sequence[str] = ()) -> DataFrame:
+    """(key, first, last, n, flags, levels): requests that come within ``gap`` of each other make one.
+
+    A flag is set if any of them sets it, a level is the highest that any asks for, so nothing asked for is lost.  Works on a
+    stream, where a merged request comes out once the watermark has passed it, and on a table.
+    """
+    timed = requests.withWatermark(at, late) if requests.isStreaming else requests
+    merged = timed.groupBy(key, F.session_window(at, gap).alias("w")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags], *[F.max(v).alias(v) for v in levels],
+    )
+    return merged.drop("w")
+
+
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, *, every: str | None = None):
     """Starts a stream whose micro-batches go to ``write``; one batch is active at a time, so requests coalesce."""
     writer = stream.writeStream.option("checkpointLocation", state).foreachBatch(write)
