@@ -83,29 +83,56 @@ def _limit(field: str) -> str:
     return f"CASE language{cases} ELSE {getattr(A.Layout(), field)} END"
 
 
+def _listed(values) -> str:
+    return "[" + ", ".join(_quoted(v) for v in values) + "]"
+
+
+#: What a comment opened by a generator begins with, spelled out phrase by phrase.
+_OPENINGS = [
+    "code generated by", "code generated from", "@generated", "do not edit", "automatisch erzeugt", "automatisch generiert", "자동 생성된 파일", "자동생성된 파일", "generated by",
+    *[f"{at}auto{sep}generated by" for at in ("", "@") for sep in ("", "-", " ")], *[f"<auto{sep}generated" for sep in ("", "-")],
+    *[f"auto{sep}generated {what}" for sep in ("", "-", " ") for what in ("file", "code", "by", "from")],
+    *[
+        f"{this}{what} {verb} {how}" for this in ("this ", "") for what in ("file", "code", "class") for verb in ("was", "is", "has been")
+        for how in ("generated", *(f"auto{more}{sep}generated" for more in ("", "matically") for sep in ("", "-", " ")), "created by a tool", "produced by a tool")
+    ],
+]
+_WORD = "regexp_matches(np[-1], '^[0-9A-Za-z_]+$')"
+
+#: Names and comments are taken apart into lists here, where the operator has patterns; the thresholds are its parameters.
 P4_FOUND = f"""
 WITH f AS (SELECT DISTINCT id AS file_id, coalesce(path, '') AS path, language, byte_size, line_count FROM files WHERE id IS NOT NULL),
 h AS (SELECT file_id, arg_max(head_text, length(head_text)) AS head FROM file_heads GROUP BY file_id),
 s AS (SELECT file_id, count(*) AS declared FROM symbols GROUP BY file_id),
 r AS (
-  SELECT f.*, coalesce(head, '') AS head, coalesce(declared, 0) AS declared, length(coalesce(head, '')) AS size,
-    CASE WHEN line_count > 0 AND byte_size >= 0 THEN byte_size / line_count END AS line_bytes, trim(coalesce(head, '')) = '' AS headless,
-    regexp_extract(path, {_quoted(A.PACKAGE)}, 1) AS package, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.\\w+$', '') AS stem,
-    regexp_matches(path, {_quoted(A.VENDOR_PATH)}) AS vendor_dir
+  SELECT f.*, coalesce(head, '') AS head, coalesce(declared, 0) AS declared, length(coalesce(head, '')) AS size, string_split(path, '/') AS parts, string_split(string_split(path, '/')[-1], '.') AS np,
+    CASE WHEN line_count > 0 AND byte_size >= 0 THEN byte_size / line_count END AS line_bytes, trim(coalesce(head, '')) = '' AS headless, string_split(lower(coalesce(head, '')), chr(10)) AS lines
   FROM f LEFT JOIN h USING (file_id) LEFT JOIN s USING (file_id)),
-p AS (SELECT package AS stem FROM r WHERE vendor_dir AND package <> '' GROUP BY package HAVING count(*) > 1),
+n AS (
+  SELECT *, array_to_string(CASE WHEN len(np) > 1 THEN np[:-2] ELSE np END, '.') AS stem, list_has_any(parts[:-3], {_listed(A.VENDOR_DIRS)}) AS vendored,
+    list_has_any(parts[:-2], {_listed(A.OUTPUT_DIRS)}) OR contains('/' || path, '/target/codegen/')
+      OR (len(np) > 2 AND {_WORD} AND np[-2] IN ('pb', 'g', 'gen', 'generated', 'freezed', 'designer')) OR (len(np) > 1 AND {_WORD} AND ends_with(np[-2], '_generated'))
+      OR ends_with(path, '_pb2.py') OR ends_with(path, '_pb2.pyi') OR ends_with(path, '_pb2_grpc.py') OR ends_with(path, '_pb2_grpc.pyi') OR (ends_with(path, 'Grpc.java') AND path[-10] BETWEEN 'a' AND 'z') AS made,
+    len(np) > 1 AND {_WORD} AND ((len(np) > 2 AND np[-2] IN ('min', 'bundle', 'chunk')) OR ends_with(np[-2], '-bundle') OR ends_with(np[-2], '-chunk')
+      OR (len(np) > 2 AND length(np[-2]) >= 6 AND translate(np[-2], '0123456789abcdef', '') = '' AND np[-1] IN ('js', 'ts', 'css', 'mjs'))) AS bundled,
+    list_transform(list_filter(lines, lambda x: regexp_matches(x, '^\\s*(//|#|--|/[*]|[*]|;|<!--)')), lambda x: regexp_replace(x, '^\\s*(//|#|--|/[*]+!?|[*]|;|<!--)\\s*', '')) AS comments,
+    string_split(string_split(ltrim(lower(head), E' \\t\\n\\r'), chr(10))[1], '|') AS banner
+  FROM r),
+p AS (SELECT unnest(list_transform(list_filter(range(1, len(parts) - 1), lambda i: list_contains({_listed(A.VENDOR_DIRS)}, parts[i])), lambda i: CASE WHEN parts[i + 1] IN ('Checkouts', 'lib') AND len(parts) > i + 2 THEN parts[i + 2] ELSE parts[i + 1] END)[1:1]) AS stem FROM n WHERE vendored),
+k AS (SELECT stem FROM p WHERE stem <> '' GROUP BY stem HAVING count(*) > 1),
 l AS (
-  SELECT *, stem IN (SELECT stem FROM p) AS packaged, list_max(list_transform(string_split(head, chr(10)), lambda x: length(x))) AS longest,
-    CASE WHEN size > 0 THEN length(regexp_replace(head, '\\S', '', 'g')) / size ELSE 0 END AS space,
-    CASE WHEN size > 0 THEN length(regexp_replace(head, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / size ELSE 0 END AS alnum,
-    CASE WHEN size > 0 THEN len(list_filter(regexp_extract_all(head, '[\\w.]+'), lambda w: regexp_matches(w, {_quoted(A.NUMBER)}))) / size ELSE 0 END AS numbers,
-    CASE WHEN size > 0 THEN len(regexp_extract_all(head, '[;{{}}]')) / size ELSE 0 END AS statements,
-    coalesce(list_max(list_transform(regexp_extract_all(head, {_quoted(A.ENCODED)}, 1), lambda x: length(x))), 0) AS run,
+  SELECT *, stem IN (SELECT stem FROM k) AS packaged, list_max(list_transform(string_split(head, chr(10)), lambda x: length(x))) AS longest,
+    len(list_filter(comments, lambda c: len(list_filter({_listed(_OPENINGS)}, lambda o: starts_with(c, o))) > 0 OR regexp_matches(c, '^produced by [^ ]+ [0-9.]+ *; *regenerate'))) > 0 AS opened,
+    len(banner) > 1 AND regexp_matches(trim(banner[1]), '^(//|#|--|/[*]+!?|;)\\s*[0-9a-z_.-]+ v?[0-9]+([.][0-9]+)+$') AND starts_with(trim(banner[2]), '(c)') AND regexp_matches(array_to_string(banner[2:], '|'), 'licen[sc]e') AS released,
+    len(list_filter(string_split(head, ''), lambda c: regexp_matches(c, '\\s'))) / greatest(size, 1) AS space,
+    len(list_filter(string_split(head, ''), lambda c: regexp_matches(c, '[\\p{{L}}\\p{{N}}]'))) / greatest(size, 1) AS alnum,
+    len(list_filter(regexp_extract_all(head, '[0-9A-Za-z_.]+'), lambda w: regexp_matches(w, '^(0x[0-9a-fA-F]+|[0-9]+([.][0-9]+)?)$'))) / greatest(size, 1) AS numbers,
+    (length(head) - length(translate(head, ';{{}}', ''))) / greatest(size, 1) AS statements,
+    coalesce(list_max(list_transform(regexp_extract_all(head, '([0-9a-fA-F]{{32,}}|[A-Za-z0-9+/]{{60,}})'), lambda x: length(x))), 0) AS run,
     coalesce(list_max(list_transform(regexp_extract_all(head, '\\S+'), lambda x: length(x))), 0) AS unbroken
-  FROM r)
+  FROM n)
 SELECT file_id FROM l
-WHERE vendor_dir OR regexp_matches(path, {_quoted(A.OUTPUT_PATH)}) OR regexp_matches(path, {_quoted(A.GENERATED_NAME)}) OR regexp_matches(head, {_quoted(A.GENERATOR_LINE)})
-  OR regexp_matches(path, {_quoted(A.BUNDLE_NAME)}) OR regexp_matches(head, {_quoted(A.BANNER_LINE)}) OR regexp_matches(path, {_quoted("(^|/)" + A.RELEASE_NAME)})
+WHERE vendored OR made OR bundled OR opened OR released OR regexp_matches(parts[-1], '^[A-Za-z][0-9A-Za-z_.-]*-v?[0-9]+([.][0-9]+)+[.][0-9A-Za-z_]+$')
   OR (headless AND packaged) OR run > {_limit('encoded_run')} OR numbers > {_limit('numbers')}
   OR (alnum > {_limit('alphanumeric')} AND unbroken > {_limit('unbroken')})
   OR (longest > {_limit('longest_line')} AND space < {_limit('dense_whitespace')} AND statements > {_limit('statement_share')})
