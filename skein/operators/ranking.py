@@ -33,15 +33,27 @@ def idf(df: Column, n: Column) -> Column:
     return F.least(F.lit(2.6), F.greatest(F.lit(0.12), rarity * penalty))
 
 
-def indexed_words(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(project, id, word, place): the words of each file by where they stand."""
+def indexed_words(files: DataFrame, symbols: DataFrame, imports: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
+    """(project, id, word, place): the words of each file by where they stand.
+
+    With ``terms``, texts that hold none of them are left out before they are taken apart; a term with letters beyond ASCII,
+    whose lower case can depend on what stands around it, lets every text through.
+    """
     own = files.select("project", "id", "path")
     by_file = own.select("project", "id")
+    simple = terms and all(t.isascii() for t in terms)
+
+    def holding(rows: DataFrame, text: str) -> DataFrame:
+        found = F.lit(False)
+        for t in terms:
+            found = found | F.lower(text).contains(t)
+        return rows.where(found) if simple else rows
+
+    paths, names, modules = holding(own, "path"), holding(symbols.select(F.col("file_id").alias("id"), "name"), "name"), holding(imports.select(F.col("file_id").alias("id"), "module"), "module")
+    word = lambda c, place: (F.explode(T.subwords(c)).alias("word"), F.lit(place).alias("place"))
     rows = [
-        own.select("project", "id", F.explode(T.subwords(F.col("path"))).alias("word"), F.lit("path").alias("place")),
-        own.select("project", "id", F.explode(T.subwords(T.path_stem(F.col("path")))).alias("word"), F.lit("stem").alias("place")),
-        symbols.select(F.col("file_id").alias("id"), "name").join(by_file, "id").select("project", "id", F.explode(T.subwords(F.col("name"))).alias("word"), F.lit("symbol").alias("place")),
-        imports.select(F.col("file_id").alias("id"), "module").join(by_file, "id").select("project", "id", F.explode(T.subwords(F.col("module"))).alias("word"), F.lit("import").alias("place")),
+        paths.select("project", "id", *word(F.col("path"), "path")), paths.select("project", "id", *word(T.path_stem(F.col("path")), "stem")),
+        names.join(by_file, "id").select("project", "id", *word(F.col("name"), "symbol")), modules.join(by_file, "id").select("project", "id", *word(F.col("module"), "import")),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -59,7 +71,7 @@ def lexical_scores(files: DataFrame, symbols: DataFrame, imports: DataFrame, ter
     wanted = F.array(*map(F.lit, terms))
     word, place = F.col("word"), F.col("place")
     hit = F.filter(wanted, lambda t: (word == t) | ((place == "symbol") & (F.char_length(t) >= 3) & word.contains(t)))
-    hits = indexed_words(files, symbols, imports).select("project", "id", "word", "place", F.explode(hit).alias("term"))
+    hits = indexed_words(files, symbols, imports, terms).select("project", "id", "word", "place", F.explode(hit).alias("term"))
     exact = word == F.col("term")
     worth = (
         F.when((place == "symbol") & exact, SYMBOL_EXACT).when(place == "symbol", SYMBOL_PARTIAL)
