@@ -19,8 +19,8 @@ def by_size(rows: DataFrame, key: Sequence[str], small: Callable[[DataFrame], Da
 
     Counting keys is combined before its shuffle; both ways give the same result, so the limit only decides how.
     """
-    hot = Table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*[F.col(k).alias(f"__{k}") for k in key]))
-    if hot.df.isEmpty():
+    hot = Table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*[F.col(k).alias(f"__{k}") for k in key]), counted=True)
+    if not hot.rows:
         hot.drop()
         return small(rows)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _local_dir: str | None = None
@@ -54,14 +55,21 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """A frame written once to the shared folder; ``df`` reads it back without the plan that made it."""
+    """A frame written once to the shared folder; ``df`` reads it back without the plan that made it.
 
-    def __init__(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
+    ``rows`` tells how many rows a ``counted`` one has, without a job of its own.
+    """
+
+    def __init__(self, df: DataFrame, partition_by: tuple[str, ...] = (), *, counted: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark)
+        seen = Observation()
+        if counted:
+            df = df.observe(seen, F.count(F.lit(1)).alias("n"))
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
-        self.schema = self.spark.read.parquet(self.path).schema
+        self.schema = self.spark.read.parquet(self.path).schema if partition_by else df.schema
+        self.rows = seen.get["n"] if counted else None
 
     @property
     def df(self) -> DataFrame:
