@@ -85,9 +85,10 @@ def split_at_boundaries(lengths: DataFrame, boundaries: DataFrame, *, limit: int
         first, second = jumps[-1], jumps[-1].toDF("item", "mid", "far", "more")
         squared = Table(
             first.join(second, (first["item"] == second["item"]) & (first["next"] == second["mid"]))
-            .select(first["item"], "cut", F.col("far").alias("next"), (F.col("pieces") + F.col("more")).alias("pieces"))
+            .select(first["item"], "cut", F.col("far").alias("next"), (F.col("pieces") + F.col("more")).alias("pieces")),
+            counted=True,
         )
-        if squared.df.isEmpty():
+        if not squared.rows:
             squared.drop()
             break
         jumps.append(squared.df)
