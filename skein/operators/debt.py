@@ -20,6 +20,10 @@ MIN_LINES, MIN_CHARACTERS = 5, 40  # fixed values: smaller bodies are no clones
 _STRING = r'"(?:\\.|[^"\\])*(?:"|\z)|\'(?:\\.|[^\'\\])*(?:\'|\z)'
 SLASH_CODE = rf"(?s)({_STRING})|//[^\n]*|/\*.*?(?:\*/|\z)"
 HASH_CODE = rf"(?s)({_STRING})|#[^\n]*"
+#: The same strings for Java, whose loops over a group with branches recurse for each turn unless they are possessive.  No turn
+#: given back could end a string, so the matches are the same; a string may be of any length.
+_LOOPED = r'"(?:[^"\\]++|\\.)*+(?:"|\z)|\'(?:[^\'\\]++|\\.)*+(?:\'|\z)'
+_JAVA_SLASH, _JAVA_HASH = (pattern.replace(_STRING, _LOOPED) for pattern in (SLASH_CODE, HASH_CODE))
 
 
 def code_only(text: Column, language: Column) -> Column:
@@ -28,7 +32,7 @@ def code_only(text: Column, language: Column) -> Column:
     A scan from left to right is what one alternation of 'string or comment' does, so no Python is needed.
     """
     hashed = F.coalesce(language.isin(*HASH_LANGUAGES), F.lit(False))
-    return F.when(hashed, F.regexp_replace(text, HASH_CODE, "")).otherwise(F.regexp_replace(text, SLASH_CODE, ""))
+    return F.when(hashed, F.regexp_replace(text, _JAVA_HASH, "")).otherwise(F.regexp_replace(text, _JAVA_SLASH, ""))
 
 
 def branch_count(code: Column) -> Column:

@@ -48,6 +48,15 @@ def test_branches(spark, code, language, n):
     assert spark.range(1).select(B.branch_count(B.code_only(F.lit(code), F.lit(language)))).first()[0] == n
 
 
+@pytest.mark.parametrize("language", ["java", "python"])
+def test_branches_beside_long_strings(spark, language):
+    """A string of any length, closed or not, doesn't use up the stack."""
+    bodies = [q + body * 100_000 for q in "'\"" for body in ("x", "\\n", "a\\'\\\"")]
+    rows = [(f"if {body}{end}", 2 if end else 1) for body in bodies for end in (body[0] + " while", "")]
+    df = spark.createDataFrame(rows, "text string, want long")
+    assert df.where(B.branch_count(B.code_only(F.col("text"), F.lit(language))) != F.col("want")).count() == 0
+
+
 def test_clones_ignore_names_and_layout(spark):
     body = "\n".join(["  alpha = compute(first, second)", "  beta = alpha + third", "  gamma = beta * 2", "  return gamma"])
     rows = [(1, f"def one():\n{body}"), (2, f"def two():  # note\n{body}\n\n"), (3, "def tiny():\n  return 1"), (4, None)]
