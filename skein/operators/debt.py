@@ -15,6 +15,7 @@ BRANCH_WORDS = r"(?<![\p{L}_])(if|for|while|case|catch|guard|elif|except|rescue|
 BRANCH_SIGNS = r"(&&|\|\|| \? )"
 DEBT_KINDS = ("todo", "complexity", "duplicate", "untested")
 MIN_LINES, MIN_CHARACTERS = 5, 40  # fixed values: smaller bodies are no clones
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # category Zs, as SQL's trim takes off
 
 #: Strings (with escapes, up to their end or the text's), then comments: blanked in this order of appearance.
 _STRING = r'"(?:\\.|[^"\\])*(?:"|\z)|\'(?:\\.|[^\'\\])*(?:\'|\z)'
@@ -40,9 +41,14 @@ def branch_count(code: Column) -> Column:
     return (F.regexp_count(code, F.lit(BRANCH_WORDS)) + F.regexp_count(code, F.lit(BRANCH_SIGNS))).cast("long")
 
 
+def body_lines(code: Column) -> Column:
+    """Lines that aren't blank, without the spaces around them."""
+    return F.filter(F.transform(F.split(code, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
+
+
 def body_digest(code: Column) -> Column:
     """Digest of a body without its first line, spaces and blank lines; null if it is too small to matter."""
-    lines = F.filter(F.transform(F.split(code, "\n"), F.trim), lambda x: x != "")
+    lines = body_lines(code)
     rest = F.replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n"), F.lit(" "))
     return F.when((F.size(lines) >= MIN_LINES) & (F.char_length(rest) >= MIN_CHARACTERS), F.sha2(F.concat_ws(":", F.size(lines).cast("string"), rest), 256))
 

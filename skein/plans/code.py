@@ -123,7 +123,7 @@ def branch_counts(spark, d):
 def duplicate_groups(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     code = docs.select("doc_id", B.code_only(F.col("text"), F.lit("java")).alias("code"))
-    lines = F.size(F.filter(F.transform(F.split("code", "\n"), F.trim), lambda x: x != ""))
+    lines = F.size(B.body_lines(F.col("code")))
     bodies = code.select("doc_id", B.body_digest(F.col("code")).alias("digest"), lines.alias("lines"))
     return B.duplicate_groups(bodies, digest="digest", order=["doc_id"], lines="lines")
 

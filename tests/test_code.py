@@ -65,6 +65,20 @@ def test_clones_ignore_names_and_layout(spark):
     assert [(r["copies"], r["id"], r["severity"]) for r in groups] == [(2, 1, 5)]
 
 
+def test_clones_have_no_line_numbers_trimmed(spark):
+    lines = ["head", "1 a 1", "2", " \u00a0", " \t", "5 ", " ", "\u30007 end \u3000", "x" * 40]
+    body = spark.range(1).select(F.lit("\n".join(lines)).alias("code"))
+    assert body.select(B.body_lines(F.col("code"))).first()[0] == ["head", "1 a 1", "2", "\t", "5", "7 end", "x" * 40]
+
+
+def test_duplicates_with_long_strings(spark, tmp_path):
+    rest = "\n".join(f"line {n} of a body that is long enough" for n in range(5)) + "\n' 6 '\n 6 \n \n"
+    rows = [(1, f"a '{'x' * 100_000}'\n{rest}"), (2, f"b '{'y' * 100_000}' + c\n\n\n{rest}"), (3, "'" + "z" * 100_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["duplicate_groups"](spark, str(tmp_path)).collect()
+    assert [(r["copies"], r["doc_id"], r["severity"]) for r in got] == [(2, 1, 7)]
+
+
 def test_untested(spark):
     files = spark.createDataFrame([(1, "p", "src/a.py"), (2, "p", "src/b.py"), (3, "p", "tests/test_a.py"), (4, "p", "app/c.py"), (5, "q", "src/d.py")], "id long, project string, path string")
     symbols = spark.createDataFrame([(1, "alpha"), (2, "beta"), (4, "gamma"), (5, "alpha"), (3, "t")], "file_id long, name string")
