@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def test_branches_beside_long_strings(spark, language):
     assert df.where(B.branch_count(B.code_only(F.col("text"), F.lit(language))) != F.col("want")).count() == 0
 
 
+def test_stripped_lengths_are_those_of_the_stated_pattern(spark, tmp_path):
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("\"'\\/*\n #a\u00e9\U0001f600", k=draw.randrange(40))) for _ in range(2_000)]
+    texts += [q + "it's \\" * 50_000 + end for q in ("", "'", '"', "//", "/*") for end in ("", "'", "\n b")]
+    spark.createDataFrame(enumerate(texts), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n"] for r in entry.queries()["code_only_lengths"](spark, str(tmp_path)).collect()}
+    stated = re.compile(B.SLASH_CODE.replace(r"\z", r"\Z"))
+    assert got == {n: len(stated.sub("", text)) for n, text in enumerate(texts)}
+
+
 def test_clones_ignore_names_and_layout(spark):
     body = "\n".join(["  alpha = compute(first, second)", "  beta = alpha + third", "  gamma = beta * 2", "  return gamma"])
     rows = [(1, f"def one():\n{body}"), (2, f"def two():  # note\n{body}\n\n"), (3, "def tiny():\n  return 1"), (4, None)]
