@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Table
 from . import scan
 
 
@@ -107,17 +108,15 @@ def measured_time(events: DataFrame, *, most_ranges: int = 512, hot_rows: int =
     not 0, without a completed interval, and an interval of no length is a completed one.  Intervals of a source count
     once where they overlap; beyond ``most_ranges`` separate ones the source is partial.
     """
-    stops = events.where("kind = 'interrupt'").select("n")
-    keyed = events.where("kind in ('begin', 'end') and source is not null and id is not null and id <> '' and octet_length(id) <= 128")
-    epochs = _epochs(keyed, stops)
     w = Window.partitionBy("source", "id", "epoch").orderBy("n")
-    seen = epochs.withColumn("before", F.lag("kind").over(w))
+    seen = _epochs(events).withColumn("before", F.lag("kind").over(w))
     real = seen.where(F.coalesce("before", F.lit("end")) != F.col("kind"))
-    paired = real.withColumns({"began": F.lag("at").over(w), "next": F.lead("kind").over(w)})
+    paired = real.withColumns({"began": F.lag("at").over(w), "next": F.lead("kind").over(w)}).where("kind = 'end' or next is null")
+    paired = Table(paired.select("source", "kind", "began", "at", "epoch")).df  # read four times below
     runs = paired.where("kind = 'end'").select("source", F.col("began").alias("start"), F.col("at").alias("end"))
     backwards = runs.where("end < start").select("source")
-    last = stops.agg(F.count(F.lit(1)).alias("last"))  # one row
-    cut = paired.where("kind = 'begin' and next is null").join(last, F.col("epoch") < F.col("last")).select("source")
+    last = events.where("kind = 'interrupt'").agg(F.count(F.lit(1)).alias("last"))  # one row
+    cut = paired.where("kind = 'begin'").join(last, F.col("epoch") < F.col("last")).select("source")
     refused = events.where("kind = 'begin' and source is not null and (id is null or id = '' or octet_length(id) > 128)").select("source")
     done = merged_intervals(runs, key=["source"], start="start", end="end", hot_rows=hot_rows).where("end is not null")
     lengths = done.groupBy("source").agg(F.sum(F.col("end") - F.col("start")).alias("length"), F.count_if(F.col("end") > F.col("start")).alias("ranges"))
@@ -127,8 +126,19 @@ def measured_time(events: DataFrame, *, most_ranges: int = 512, hot_rows: int =
     return rows.select("source", "length", F.coalesce("ranges", F.lit(0)).alias("ranges"), (F.coalesce("broken", F.lit(False)) | (F.coalesce("ranges", F.lit(0)) > most_ranges)).alias("partial"))
 
 
-def _epochs(rows: DataFrame, stops: DataFrame) -> DataFrame:
-    """``rows`` with ``epoch``: how many stops have a smaller ``n``.  Stops are few (a sleep, a restart) and become one sorted
-    array, so rows aren't put in order for it."""
-    array = stops.agg(F.array_sort(F.collect_list("n")).alias("stops"))
-    return rows.join(F.broadcast(array)).withColumn("epoch", F.size(F.filter("stops", lambda s: s < F.col("n")))).drop("stops")
+def _epochs(events: DataFrame) -> DataFrame:
+    """The beginnings and ends that have a source and an id, with ``epoch``: how many interrupts have a smaller ``n``.
+
+    Both are put in order once, by a range partitioning; each part counts its own interrupts and adds those of the parts
+    before, so their number doesn't matter.
+    """
+    stop = F.col("kind") == "interrupt"
+    keyed = F.col("kind").isin("begin", "end") & F.col("source").isNotNull() & F.col("id").isNotNull() & (F.col("id") != "") & (F.octet_length("id") <= 128)
+    rows = events.where(stop | keyed).select("source", "id", "kind", "at", "n", F.coalesce(stop & F.col("n").isNotNull(), F.lit(False)).cast("int").alias("__stop"))
+    parts = scan.parted(rows, [], ["n", "__stop"])  # a stop comes after the rows of its own n
+    earlier = parts.groupBy(scan.PART).agg(F.sum("__stop").alias("__stops"))  # no more rows than shuffle partitions
+    before = Window.orderBy(scan.PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = earlier.select(scan.PART, F.coalesce(F.sum("__stops").over(before), F.lit(0)).alias("__earlier"))
+    inside = Window.partitionBy(scan.PART).orderBy(scan.ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = parts.withColumn("__inside", F.sum("__stop").over(inside)).where(~stop)
+    return counted.join(F.broadcast(earlier), scan.PART).withColumn("epoch", F.col("__earlier") + F.col("__inside")).select("source", "id", "kind", "at", "n", "epoch")

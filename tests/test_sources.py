@@ -1,4 +1,6 @@
+import bisect
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,44 @@ def test_measured_time(spark, events, want):
     assert [(r["length"], r["ranges"], r["partial"]) for r in got] == [want]
 
 
+def test_measured_time_with_many_interrupts(spark):
+    """Against a walk along the order; interrupts are as many as anything else, so they can't be held in one row."""
+    draw = random.Random(3)
+    kinds = draw.choices(["begin", "end", "interrupt"], k=20_000)
+    events = [(None, None, k, n, n) if k == "interrupt" else (f"s{draw.randrange(3)}", f"i{draw.randrange(4)}", k, n, n) for n, k in enumerate(kinds)]
+    opened, spans, broken = {}, {}, set()
+    for source, i, kind, at, _ in events:
+        if kind == "begin":
+            opened.setdefault((source, i), at)
+        elif kind == "end" and (source, i) in opened:
+            spans.setdefault(source, []).append((opened.pop((source, i)), at))
+        elif kind == "interrupt":
+            broken |= {s for s, _ in opened}
+            opened.clear()
+    want = {}
+    for source, found in spans.items():
+        merged = []
+        for a, b in sorted(found):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        want[source] = (sum(b - a for a, b in merged), len(merged), source in broken)
+    df = spark.createDataFrame(events, "source string, id string, kind string, at long, n long").repartition(4)
+    assert {r["source"]: (r["length"], r["ranges"], r["partial"]) for r in I.measured_time(df, most_ranges=10_000).collect()} == want
+    epochs = I._epochs(df)
+    assert "collect_list" not in epochs._jdf.queryExecution().toString()
+    stops = [n for n, k in enumerate(kinds) if k == "interrupt"]
+    assert all(r["epoch"] == bisect.bisect_left(stops, r["n"]) for r in epochs.collect())
+
+
+def test_interrupts_of_equal_or_no_order(spark):
+    """An interrupt counts for larger numbers only; one without a number for none, but it leaves what is open partial."""
+    rows = [("s", "i", "begin", 1, 1), (None, None, "interrupt", 2, 3), ("s", "i", "end", 4, 3), ("t", "j", "begin", 1, None), ("t", "j", "end", 5, 5), (None, None, "interrupt", 9, None)]
+    got = I.measured_time(spark.createDataFrame(rows, "source string, id string, kind string, at long, n long")).collect()
+    assert {(r["source"], r["length"], r["ranges"], r["partial"]) for r in got} == {("s", 3, 1, False), ("t", None, 0, True)}
+
+
 def test_measured_ranges_are_bounded(spark):
     rows = spark.range(40).selectExpr("'s' source", "'i' id", "if(id % 2 = 0, 'begin', 'end') kind", "id at", "id n")
     assert I.measured_time(rows, most_ranges=19).first()["partial"] and not I.measured_time(rows, most_ranges=20).first()["partial"]
