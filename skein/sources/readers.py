@@ -42,7 +42,8 @@ COUNTER_LINE = T.StructType([
 
 TREE_ROW = "path string, byte_size long, modified_at double, rules string"
 IGNORE_FILE = ".gitignore"
-MOST_RULE_CHARACTERS = 1_000_000  # of all ignore files of a tree, which become part of the plan
+RULE_ROW = "directory string, place long, pattern string, negated boolean, only boolean"
+MOST_HELD = 4_000_000  # characters that a task holds before it hands rows on
 
 
 def _entries(root: str, here: str) -> tuple[list[str], list[tuple]]:
@@ -81,21 +82,44 @@ def list_tree(spark: SparkSession, root: str, *, fan: int = 64) -> DataFrame:
         found += files
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "byte_size", "modified_at", "rules"]
         for batch in batches:
-            stack = list(batch["path"])
+            stack, rows, held = list(batch["path"]), [], 0
             while stack:
                 try:
                     inner, files = _entries(root, stack.pop())
                 except OSError:
                     continue
                 stack += inner
-                if files:
-                    yield pd.DataFrame(files, columns=["path", "byte_size", "modified_at", "rules"])
+                rows += files
+                held += sum(len(path) + len(rules or "") for path, _, _, rules in files)
+                if held >= MOST_HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     top = spark.createDataFrame(sorted(found), TREE_ROW)
     if not todo:
         return top
-    return top.unionByName(spark.createDataFrame([(t,) for t in todo], "path string").repartition(len(todo)).mapInPandas(walk, TREE_ROW))
+    tasks = min(len(todo), max(fan, 2 * spark.sparkContext.defaultParallelism))  # a wide folder leaves far more open than are needed
+    return top.unionByName(spark.createDataFrame([(t,) for t in todo], "path string").repartition(tasks).mapInPandas(walk, TREE_ROW))
+
+
+def _rule_rows(written: DataFrame, first: list[str]) -> DataFrame:
+    """``RULE_ROW`` of the lines of ignore files (path, rules), and of ``first``, which stand before the root's own."""
+
+    def rows(directory: str, lines: list[str], place: int) -> list[tuple]:
+        found = ((n, P.compile_ignore_rule(line)) for n, line in enumerate(lines, place))
+        return [(directory, n, r.pattern, r.negated, r.directories_only) for n, r in found if r]
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["rules"]):
+                if found := rows(os.path.dirname(path), text.splitlines(), 0):
+                    yield pd.DataFrame(found, columns=["directory", "place", "pattern", "negated", "only"])
+
+    return written.mapInPandas(compiled, RULE_ROW).unionByName(written.sparkSession.createDataFrame(rows("", first, -len(first)), RULE_ROW))
 
 
 def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] | None = None) -> DataFrame:
@@ -106,24 +130,21 @@ def scan_tree(spark: SparkSession, root: str, ignore_lines: list[str] | None = N
     left is read by the tasks, from a folder that all of them see.
     """
     listed = Table(list_tree(spark, root)).df
-    written = listed.where("rules is not null").select("path", "rules")
-    if written.agg(F.coalesce(F.sum(F.length("rules")), F.lit(0))).first()[0] > MOST_RULE_CHARACTERS:
-        raise ValueError("the ignore files of this tree are too large for a plan")
-    rules = {os.path.dirname(r["path"]): r["rules"].splitlines() for r in written.collect()}
-    if ignore_lines:
-        rules[""] = [*ignore_lines, *rules.get("", [])]
+    rules = _rule_rows(listed.where("rules is not null").select("path", "rules"), list(ignore_lines or ()))
     files = listed.drop("rules").where(F.col("byte_size") <= MOST_BYTES)
     files = files.where(~P.ignored_directory(F.col("path")) & ~P.ignored_file(F.col("path")))
-    files = P.ignored_by_rules(files, rules).where("not ignored").drop("ignored")
-    texts = files.join(read_files(files, root).where("problem is null"), "path")
+    files = P.ignored_by_rule_rows(files, rules).where("not ignored").drop("ignored")
+    files = files.repartition(2 * spark.sparkContext.defaultParallelism)  # paths are small, what they lead to isn't
+    texts = read_files(files, root, kept={"byte_size": "long", "modified_at": "double"}).where("problem is null")
     return texts.select(
         "path", X.language_of(F.col("path")).alias("language"), "byte_size", F.size(F.split("content", "\n")).alias("line_count"),
         F.sha2("content", 256).alias("content_hash"), "modified_at", "content",
     )
 
 
-def read_files(paths: DataFrame, root: str, *, most: int = MOST_BYTES) -> DataFrame:
-    """(path, content, problem): whole text of each relative path below ``root``, read by the tasks.
+def read_files(paths: DataFrame, root: str, *, most: int = MOST_BYTES, kept: dict[str, str] | None = None) -> DataFrame:
+    """(path, content, problem): whole text of each relative path below ``root``, read by the tasks; ``kept`` columns of
+    ``paths`` (with their types) come along after the path.
 
     A path that leaves the root, has an empty or dotted component or goes over a link is refused; so are files that aren't
     regular, have more than ``most`` bytes or aren't UTF-8.  Nothing is cut: the content is null where there is a problem.
@@ -156,12 +177,23 @@ def read_files(paths: DataFrame, root: str, *, most: int = MOST_BYTES) -> DataFr
         except OSError:
             return None, "refused"
 
+    known = {"path": "string"} | (kept or {})
+    names = [*known, "content", "problem"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
-                yield pd.DataFrame([(path, *read(path))], columns=["path", "content", "problem"])
-
-    return paths.select("path").mapInPandas(run, "path string, content string, problem string")
+            rows, held = [], 0
+            for row in batch.itertuples(index=False, name=None):
+                content, problem = read(row[0])
+                rows.append((*row, content, problem))
+                held += len(content or "")
+                if held >= MOST_HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return paths.select(*known).mapInPandas(run, ", ".join(f"{c} {kind}" for c, kind in known.items()) + ", content string, problem string")
 
 
 def log_lines(spark: SparkSession, location: str, needles: list[str]) -> DataFrame:

@@ -64,6 +64,25 @@ def test_scanned_tree(spark, tmp_path, fan):
         R.list_tree(spark, root + "/none")
 
 
+def test_rules_as_rows_decide_as_one_expression(spark):
+    rules = {"": ["*.log", "build/", "!keep.log"], "a": ["!*.log", "/only.txt", "b/"], "a/b": ["!z.log"], "c": ["sub", "!sub/x", "*"], "c/d": ["!*"], "é": ["/x"]}
+    paths = [f"{d}{n}" for d in ("", "a/", "a/b/", "ab/", "build/", "a/build/", "c/", "c/d/", "c/sub/", "é/", "é/x/") for n in ("x", "x.log", "keep.log", "only.txt", "b", "z.log", "sub")]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    made = spark.createDataFrame([(d, n, r.pattern, r.negated, r.directories_only) for d, lines in rules.items() for n, r in enumerate(map(P.compile_ignore_rule, lines))], R.RULE_ROW)
+    assert {r["path"] for r in P.ignored_by_rule_rows(df, made).where("ignored").collect()} == ignored(spark, rules, paths)
+    assert P.ignored_by_rule_rows(df, made).count() == len(paths)
+
+
+def test_tree_with_many_ignore_files(spark, tmp_path):
+    """Ignore files over a million characters in all, and more folders than tasks."""
+    root = str(tmp_path)
+    for n in range(120):
+        tree(root, {f"p{n}/.gitignore": "#" + "x" * 10_000 + f"\n*.t{n % 7}\n", f"p{n}/a.t3": f"{n}", f"p{n}/b.py": "b"})
+    assert R.list_tree(spark, root).rdd.getNumPartitions() <= 64 + spark.sparkContext.defaultParallelism
+    got = {r["path"]: r["content"] for r in R.scan_tree(spark, root).collect()}
+    assert got == {f"p{n}/b.py": "b" for n in range(120)} | {f"p{n}/a.t3": f"{n}" for n in range(120) if n % 7 != 3}
+
+
 def test_files_that_must_not_be_read(spark, tmp_path):
     root = str(tmp_path / "in")
     tree(root, {"ok.txt": "ok", "big.txt": "x" * 50, "d/e.txt": ""})
