@@ -23,8 +23,10 @@ SLASH_CODE = rf"(?s)({_STRING})|//[^\n]*|/\*.*?(?:\*/|\z)"
 HASH_CODE = rf"(?s)({_STRING})|#[^\n]*"
 #: The same strings for Java, whose loops over a group with branches recurse for each turn unless they are possessive.  No turn
 #: given back could end a string, so the matches are the same; a string may be of any length.
-_LOOPED = r'"(?:[^"\\]++|\\.)*+(?:"|\z)|\'(?:[^\'\\]++|\\.)*+(?:\'|\z)'
-_JAVA_SLASH, _JAVA_HASH = (pattern.replace(_STRING, _LOOPED) for pattern in (SLASH_CODE, HASH_CODE))
+_LOOPED = {quote: rf"{quote}(?:[^{quote}\\]++|\\.)*+(?:{quote}|\z)" for quote in "\"'"}
+_SLASH, _HASH = r"//[^\n]*|/\*.*?(?:\*/|\z)", r"#[^\n]*"
+#: The only texts in which a quote may begin no string; each such quote would be tried up to the end of the text.
+_CUT = r"(?<!\\)(?:\\\\)*+\\\z"
 
 
 def code_only(text: Column, language: Column) -> Column:
@@ -33,7 +35,26 @@ def code_only(text: Column, language: Column) -> Column:
     A scan from left to right is what one alternation of 'string or comment' does, so no Python is needed.
     """
     hashed = F.coalesce(language.isin(*HASH_LANGUAGES), F.lit(False))
-    return F.when(hashed, F.regexp_replace(text, _JAVA_HASH, "")).otherwise(F.regexp_replace(text, _JAVA_SLASH, ""))
+    return F.when(hashed, _stripped(text, _HASH)).otherwise(_stripped(text, _SLASH))
+
+
+def _stripped(text: Column, comments: str) -> Column:
+    """A text that ends within an escape is cut before the first quote that ends nowhere, of either kind.
+
+    After a quote that ends nowhere none of its kind ends: escapes are the same from whichever quote they are counted.
+    """
+
+    def without(part: Column, quotes: str) -> Column:
+        return F.regexp_replace(part, "(?s)" + "|".join([*(_LOOPED[q] for q in quotes), comments]), "")
+
+    def scan(quotes: str) -> str:
+        return "(?:" + "|".join([f"[^{quotes}/#]++", *(_LOOPED[q] for q in quotes), comments, "[/#]"]) + ")*+"
+
+    parts = rf"""(?s)\A({scan("\"'")})("{scan("'")}|'{scan('"')}|)(.*)\z"""
+    first, second, third = (F.regexp_extract(text, parts, n) for n in (1, 2, 3))
+    one_kind = F.when(second.startswith('"'), without(second, "'")).otherwise(without(second, '"'))
+    cut = text.endswith("\\") & text.rlike(_CUT)
+    return F.when(cut, F.concat(without(first, "\"'"), one_kind, without(third, ""))).otherwise(without(text, "\"'"))
 
 
 def branch_count(code: Column) -> Column:

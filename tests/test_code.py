@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,20 @@ def test_stripped_lengths_are_those_of_the_stated_pattern(spark, tmp_path):
     assert got == {n: len(stated.sub("", text)) for n, text in enumerate(texts)}
 
 
+@pytest.mark.parametrize("language, stated", [("java", B.SLASH_CODE), ("python", B.HASH_CODE)])
+def test_texts_cut_within_an_escape(spark, language, stated):
+    """Quotes that end nowhere stay, and none of them is followed to the end of the text."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("\"\"''\\\\/*\n #a\u00e9\U0001f600", k=draw.randrange(40))).rstrip("\\") + "\\" * draw.choice([1, 1, 2, 3]) for _ in range(4_000)]
+    code = B.code_only(F.col("text"), F.lit(language))
+    rows = spark.createDataFrame([(t, re.sub(stated.replace(r"\z", r"\Z"), "", t)) for t in texts], "text string, want string").select("want", code.alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    long = ['a "' + '\\"' * 60_000 + "\\", "a '\"" + "\\'\\\"" * 30_000 + "\\"]
+    began = time.monotonic()
+    got = spark.createDataFrame([(t,) for t in long], "text string").select(code.alias("got")).collect()
+    assert [r["got"] for r in got] == long and time.monotonic() - began < 20
+
+
 def test_clones_ignore_names_and_layout(spark):
     body = "\n".join(["  alpha = compute(first, second)", "  beta = alpha + third", "  gamma = beta * 2", "  return gamma"])
     rows = [(1, f"def one():\n{body}"), (2, f"def two():  # note\n{body}\n\n"), (3, "def tiny():\n  return 1"), (4, None)]
